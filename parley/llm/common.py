@@ -88,3 +88,13 @@ def file_system(uri: str):
     if (path := local_path(uri)) is not None:
         return fs.LocalFileSystem(), os.path.abspath(path)
     return fs.FileSystem.from_uri(uri)
+
+
+def ship(spark: SparkSession, value) -> Callable:
+    """value on every executor, once a worker: a function that returns it. Classes go by value (broadcasts alone would pickle them by name)."""
+    import pickle
+
+    from pyspark import cloudpickle
+
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
