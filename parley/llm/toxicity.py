@@ -1,7 +1,9 @@
 """Operator 8, toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy, with thresholds calibrated by language.
 
-Model. Words (runs of letters, lower-cased) are hashed to BUCKETS embeddings of DIM values; filters over 1, 2 and 3 words (FILTERS of each), a ReLU, the maximum
-over the whole text, and a logistic output. One value of each embedding starts as the word's smoothed log odds in the training part.
+Model. A word (run of letters, lower-cased) and its beginnings of PREFIXES letters, which stand for its stem, are hashed to BUCKETS embeddings of
+DIM values; their mean is the word's. Then filters over 1, 2 and 3 words (FILTERS of each), a ReLU, the maximum
+over the whole text, and a logistic output. One value of each embedding starts as the smoothed log odds in the training part. Texts
+that repeat in the sample are learned from once.
 Calibration. A part of the labelled sample is kept from training. For each language (told from the text's own function words
 alone; `other` where none occurs) it gives Platt's two parameters and the threshold with the best F1; both are folded into the score so that every
 language's threshold lies at THRESHOLD. Languages with too few labelled rows use the values over all.
@@ -25,7 +27,7 @@ from .common import by_batch, ship
 from .language import id_crc
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
-SAMPLE, EPOCHS, BATCH, RATE, DROP, SEED = 2500, 6, 16, 0.01, 0.15, 11
+SAMPLE, EPOCHS, BATCH, RATE, DROP, SEED = 2500, 5, 16, 0.01, 0.15, 11
 THRESHOLD, LEAST_GROUP, CALIBRATION_SHARE = 0.7, 40, 4
 WORD = re.compile(r"[^\W\d_]+").findall
 # Function words that tell a language from the text itself.
@@ -38,42 +40,56 @@ FUNCTION_WORDS = {
 GROUPS = ["other", *FUNCTION_WORDS]
 
 
-def bucket(word: str) -> int:
-    return 1 + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (BUCKETS - 1)
+PREFIXES = (3, 4, 5, 6)
+FEATURES = 1 + len(PREFIXES)
 
 
-class Buckets(dict):
-    """Word -> bucket, remembered up to a bound."""
+def features(word: str) -> list[int]:
+    """Buckets of the word and of its beginnings (0, the embedding of nothing, for those that it doesn't have)."""
+    found = [word, *(word[:k] + "-" if len(word) > k else "" for k in PREFIXES)]
+    return [1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) if x else 0 for x in found]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = found = bucket(word)
-        return found
 
+_GROUP_OF = {w: i + 1 for i, g in enumerate(FUNCTION_WORDS) for w in FUNCTION_WORDS[g].split()}
 
-def word_ids(text: str | None, buckets: Buckets) -> np.ndarray:
-    words = WORD((text or "").lower())
-    return np.fromiter(map(buckets.__getitem__, words), np.uint32, len(words))
 
+class Vocabulary(dict):
+    """Word -> row; `table` holds each row's buckets and the group of its language (0: none). Forgets all beyond a bound."""
 
-_GROUP_OF = np.zeros(BUCKETS, np.uint8)
-for _i, _g in enumerate(FUNCTION_WORDS):
-    for _w in FUNCTION_WORDS[_g].split():
-        _GROUP_OF[bucket(_w)] = _i + 1
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most, self.table, self.filled = most, np.zeros((1024, FEATURES + 1), np.uint32), 0
 
+    def __missing__(self, word: str) -> int:
+        if self.filled == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        row, self.filled = self.filled, self.filled + 1
+        self.table[row] = [*features(word), _GROUP_OF.get(word, 0)]
+        self[word] = row
+        return row
+
+    def rows(self, text: str | None) -> np.ndarray:
+        words = WORD((text or "").lower())
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def shrink(self) -> None:
+        """Between texts only: rows that were given out no longer hold."""
+        if self.filled > self.most:
+            self.clear()
+            self.filled = 0
 
-def group_of(ids: np.ndarray) -> int:
-    """Index in GROUPS of the language whose function words occur most."""
-    seen = np.bincount(_GROUP_OF[ids], minlength=len(GROUPS))[1:]
+
+def group_of(groups: np.ndarray) -> int:
+    """Index in GROUPS of the language whose function words occur most; groups: one for each word."""
+    seen = np.bincount(groups, minlength=len(GROUPS))[1:]
     return int(seen.argmax()) + 1 if seen.any() else 0
 
 
 def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in a row, with pads (id 0) after each text so that no filter spans two, and each text's start. A text without words is a pad."""
-    pad = np.zeros(WIDTHS[-1], np.uint32)
-    parts = [np.concatenate([t, pad]) for t in texts]
-    return np.concatenate(parts), np.cumsum([0, *(len(p) for p in parts[:-1])])
+    """All texts' rows one after the other, with zeros after each so that no filter need span two, and each text's start. A text without words is zeros."""
+    pad = np.zeros((WIDTHS[-1], texts[0].shape[1]), texts[0].dtype)
+    parts = [x for t in texts for x in (t, pad)]
+    return np.concatenate(parts), np.cumsum([0, *(len(t) + len(pad) for t in texts[:-1])])
 
 
 class WordNet:
@@ -91,18 +107,20 @@ class WordNet:
         n = len(embedded) - w + 1
         return sum(embedded[j : j + n] @ self.filters[w][j] for j in range(w)) + self.bias[w]
 
+    def embedded(self, buckets: np.ndarray) -> np.ndarray:
+        return sum(self.words[buckets[..., k]] for k in range(FEATURES)) / FEATURES
+
     def pooled(self, texts: list[np.ndarray]) -> np.ndarray:
-        ids, starts = _laid_out(texts)
-        embedded, tops = self.words[ids], []
+        (embedded, starts), tops = _laid_out(texts), []
         for w in WIDTHS:
             h = self._convolved(embedded, w)
-            ends = np.append(starts[1:], len(ids)) - w + 1  # places that reach into the next text don't count
+            ends = np.append(starts[1:], len(embedded)) - w + 1  # places that reach into the next text don't count
             bounds = np.stack([starts, ends], 1).ravel()
             tops.append(np.maximum(np.maximum.reduceat(h, bounds[: -1 if bounds[-1] == len(h) else None], axis=0)[::2], 0))
         return np.concatenate(tops, 1)
 
     def logits(self, texts: list[np.ndarray], most: int = 60_000) -> np.ndarray:
-        """Texts go through in groups of about `most` words; a longer text in pieces that overlap by a filter's width, whose maxima are joined."""
+        """texts: embedded words. Texts go through in groups of about `most` words; a longer text in pieces that overlap by a filter's width, whose maxima are joined."""
         pieces, owner = [], []
         for i, t in enumerate(texts):
             for a in range(0, max(1, len(t)), most):
@@ -132,7 +150,7 @@ class WordNet:
                 which = order[at : at + BATCH]
                 ids, starts = _laid_out([t[draw.random(len(t)) >= DROP] for t in (texts[i] for i in which)])
                 ends = np.append(starts[1:], len(ids))
-                embedded, tops, places = self.words[ids], [], {}
+                embedded, tops, places = self.embedded(ids), [], {}
                 for w in WIDTHS:
                     h = self._convolved(embedded, w)
                     places[w] = np.stack([a + h[a : max(a + 1, b - w + 1)].argmax(0) for a, b in zip(starts, ends, strict=True)])
@@ -149,8 +167,8 @@ class WordNet:
                     for j in range(w):
                         under = embedded[places[w] + j]  # texts, filters, DIM
                         grad[j] = np.einsum("tf,tfd->df", own, under)
-                        touched.append(ids[places[w] + j].ravel())
-                        moved.append((own[:, :, None] * self.filters[w][j].T[None]).reshape(-1, DIM))
+                        touched.append(ids[places[w] + j].ravel())  # each place's FEATURES buckets share its gradient
+                        moved.append(np.repeat((own[:, :, None] * self.filters[w][j].T[None]).reshape(-1, DIM) / FEATURES, FEATURES, axis=0))
                     of_filters.append(grad)
                     of_bias.append(own.sum(0))
                 step += 1
@@ -169,12 +187,16 @@ class WordNet:
                 self.words[0] = 0
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of sigmoid(a z + b) with the least log loss, by damped Newton steps with a small ridge on a."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _platt(z: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[float, float]:
+    """(a, b) of sigmoid(a z + b) with the least log loss, by damped Newton steps with a small ridge on a; rows: each row's weight."""
     a, b = 1.0, 0.0
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        r, w = p - y, np.maximum(p * (1 - p), 1e-6)
+        p = _sigmoid(a * z + b)
+        r, w = rows * (p - y), rows * np.maximum(p * (1 - p), 1e-6)
         ga, gb = (r * z).sum() + 0.01 * (a - 1), r.sum()
         haa, hab, hbb = (w * z * z).sum() + 0.01, (w * z).sum(), w.sum() + 1e-6
         d = haa * hbb - hab * hab
@@ -182,12 +204,11 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Half-way below the cut with the best F1 over the calibration rows, within 0.05 and 0.95."""
+def _threshold(p: np.ndarray, y: np.ndarray, rows: np.ndarray) -> float:
+    """Half-way below the cut with the best F1 over the weighted calibration rows, within 0.05 and 0.95."""
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
-    k = int(f1.argmax())
+    hits, seen = np.cumsum((rows * y)[order]), np.cumsum(rows[order])
+    k = int((2 * hits / (seen + (rows * y).sum())).argmax())
     below = p[order[k + 1]] if k + 1 < len(p) else 0.0
     return float(np.clip((p[order[k]] + below) / 2, 0.05, 0.95))
 
@@ -195,55 +216,58 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 class Classifier:
     """Network and calibration: score = sigmoid(a z + b - logit(threshold) + logit(THRESHOLD)) with the language's values."""
 
-    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS):
+    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, each: tuple[float, float] = (1.0, 1.0)):
+        """texts: rows of a Vocabulary's table, for each word one. each: how many labelled rows a sampled row of class 0 or 1 stands for."""
         held = np.arange(len(texts)) % CALIBRATION_SHARE == 0
         part = [i for i in range(len(texts)) if not held[i]]
         seen = np.zeros((2, BUCKETS), np.float32)
         for i in part:
-            seen[labels[i], np.unique(texts[i])] += 1
+            seen[labels[i], np.unique(texts[i][:, :FEATURES])] += 1
         n = [max(1, int((labels[part] == c).sum())) for c in (0, 1)]
         odds = np.log((seen[1] + 2 * n[1] / sum(n)) / n[1]) - np.log((seen[0] + 2 * n[0] / sum(n)) / n[0])
         self.net = WordNet((np.where(seen.sum(0) >= 3, odds, 0) / 2).astype(np.float32))
-        self.net.train([texts[i] for i in part], labels[part].astype(np.float32), epochs)
+        self.net.train([texts[i][:, :FEATURES] for i in part], labels[part].astype(np.float32), epochs)
         kept = np.flatnonzero(held)
-        z, y = self.net.logits([texts[i] for i in kept]), labels[kept].astype(float)
-        groups = np.array([group_of(texts[i]) for i in kept])
+        z, y = self.net.logits([self.net.embedded(texts[i]) for i in kept]), labels[kept].astype(float)
+        groups, rows = np.array([group_of(texts[i][:, FEATURES]) for i in kept]), np.where(y == 1, each[1], each[0])
         self.shift = np.zeros((len(GROUPS), 2))
         for g in [-1, *range(len(GROUPS))]:
             own = groups == g if g >= 0 else np.ones(len(z), bool)
             if g >= 0 and (own.sum() < LEAST_GROUP or not 5 <= y[own].sum() <= own.sum() - 5):
                 continue
-            a, b = _platt(z[own], y[own])
-            t = _threshold(1 / (1 + np.exp(-(a * z[own] + b))), y[own])
+            a, b = _platt(z[own], y[own], rows[own])
+            t = _threshold(_sigmoid(a * z[own] + b), y[own], rows[own])
             value = (a, b - np.log(t / (1 - t)) + np.log(THRESHOLD / (1 - THRESHOLD)))
             self.shift[slice(None) if g < 0 else g] = value
 
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        a, b = self.shift[[group_of(t) for t in texts]].T
-        return 1 / (1 + np.exp(-np.clip(a * self.net.logits(texts) + b, -40, 40)))
+    def scores(self, texts: list[str | None], words: Vocabulary) -> np.ndarray:
+        rows = [words.rows(t) for t in texts]
+        table = words.table[: words.filled]
+        embedded = self.net.embedded(table) if 4 * len(table) < sum(map(len, rows)) else None
+        a, b = self.shift[[group_of(table[r, FEATURES]) for r in rows]].T
+        z = self.net.logits([embedded[r] if embedded is not None else self.net.embedded(table[r]) for r in rows])
+        words.shrink()
+        return _sigmoid(a * z + b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Classifier | None:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    known = known.where(F.col("_label").isin(0, 1))
+    counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     order = [F.xxhash64(F.col("_id").cast("string"), F.lit(SEED)), F.col("_id")]
     drawn = known.where("_label = 1").orderBy(*order).limit(sample).unionByName(known.where("_label = 0").orderBy(*order).limit(sample))
 
-    def make():
-        buckets = Buckets()
-
-        def do(columns):
-            return {"id": columns["_id"], "label": columns["_label"], "ids": [word_ids(t, buckets).tobytes() for t in columns["_text"]]}
-
-        return do
-
-    id_type = dict(labels.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # drawn has 2 * sample rows of two numbers at most
-    rows = by_batch(texts.join(F.broadcast(drawn), "_id").select("_id", "_label", "_text"), make, f"id {id_type}, label int, ids binary").collect()
-    if len({r.label for r in rows}) < 2:
+    rows = texts.join(F.broadcast(drawn), "_id").select("_label", "_text").distinct().collect()
+    rows.sort(key=lambda r: (zlib.crc32((r["_text"] or "").encode("utf-8", "surrogatepass")), r["_text"] or "", r["_label"]))
+    labels = np.array([r["_label"] for r in rows])
+    if len(set(labels.tolist())) < 2:
         return None
-    rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), str(r.id), bytes(r.ids)))
-    return Classifier([np.frombuffer(bytes(r.ids), np.uint32) for r in rows], np.array([r.label for r in rows]))
+    words = Vocabulary(1 << 40)
+    numbered = [words.rows(r["_text"]) for r in rows]
+    each = tuple(counts[c] / max(1, int((labels == c).sum())) for c in (0, 1))
+    return Classifier([words.table[r] for r in numbered], labels, each=each)
 
 
 def score_toxicity(docs: DataFrame, model: Classifier | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -252,11 +276,10 @@ def score_toxicity(docs: DataFrame, model: Classifier | None, text_col: str = "t
     shipped = ship(docs.sparkSession, model)  # BUCKETS * DIM floats: 4 MB
 
     def make():
-        buckets, found = Buckets(), shipped()
+        words, found = Vocabulary(), shipped()
 
         def do(columns):
-            texts = [word_ids(t, buckets) for t in columns["_text"]] if found else columns["_text"]
-            return {"doc_id": columns["_id"], "score": found.scores(texts) if found else [0.0] * len(texts)}
+            return {"doc_id": columns["_id"], "score": found.scores(columns["_text"], words) if found else [0.0] * len(columns["_id"])}
 
         return do
 
