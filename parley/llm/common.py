@@ -98,3 +98,13 @@ def ship(spark: SparkSession, value) -> Callable:
 
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(sent.value)
+
+
+def once_a_process(key: str, make: Callable):
+    """make()'s value, kept as long as the Python worker lives, since workers run many tasks. (Functions that go by value have new globals in every task.)"""
+    import sys
+
+    kept = sys.__dict__.setdefault("_parley_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -38,7 +38,7 @@ COMPONENTS, BANDS, ROWS = 128, 25, 5
 DEVIATIONS = 4.0
 #: Rows that a broadcast may have: 16-byte keys, some 20 MB.
 BROADCAST_ROWS = 250_000
-OUTSIDE_BLOCK, MEMBER_BLOCK = 256, 1024
+OUTSIDE_BLOCK, MEMBER_BLOCK = 128, 512
 AT_ONCE = 250
 
 _U = np.uint64

@@ -12,7 +12,7 @@ Order. Shards ascend by key and so do documents in them; rows with one key stand
 more than a shard's rows is spread over several shards.
 
 Encoding. Texts are split as the tokenizer itself splits them before merging and each distinct piece goes through the tokenizers library once
-per task; a text with a special token's string goes through it whole. Both give the ids of encode(text, add_special_tokens=False).
+while a worker remembers it; a text with a special token's string, or with numbers that re doesn't know as such, goes through it whole. Both give the ids of encode(text, add_special_tokens=False).
 
 Recovery. A shard is written to a name of its own attempt and then renamed, so a repeated or doubled task leaves whole files with equal content.
 
@@ -24,19 +24,23 @@ from __future__ import annotations
 import bisect
 import io
 import json
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, file_system, fresh_dir, pieces, ship
+from .common import by_batch, file_system, fresh_dir, once_a_process, pieces, ship
 from .near_copies import mix
 
 END_ID = 2
-SHARD_ROWS, MOST_SHARDS, KEYS_A_SHARD, PIECES_KEPT = 2048, 50_000, 20, 600_000
+SHARD_ROWS, MOST_SHARDS, KEYS_A_SHARD = 2048, 50_000, 20
+#: Bounds of the encoder's memory: characters split at a time, distinct pieces remembered.
+PART_CHARS, PIECES_KEPT = 500_000, 300_000
 GAMMA, LEVELS = 1.6, 40
 _U = np.uint64
 
@@ -168,40 +172,66 @@ def sort_key(key) -> tuple:
     return key is not None, key if key is not None else 0
 
 
+# Fixed value: Unicode white space.
+_SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Fixed value: how a byte-level tokenizer splits texts before merging. Letters and numbers are those of re, which differ from Unicode's in the numbers of Nl and No alone.
+_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^{_SPACES}\w]|_)+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+
+
 class Encoder:
-    """Texts to ids with one tokenizer, given as the text of its file."""
+    """Texts to ids with one tokenizer, given as the text of its file. Remembers pieces in two generations: those in use stay."""
 
     def __init__(self, tokenizer_json: str, width: int):
-        import regex
+        import unicodedata
+
         from tokenizers import Tokenizer
 
         self.tokenizer, source = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
         byte_level = source["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        # Fixed value: the pattern of the library's byte-level splitting.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall if byte_level and not source["normalizer"] and not source["post_processor"] else None
+        self.split = re.compile(_SPLIT).findall if byte_level and not source["normalizer"] and not source["post_processor"] else None
         self.special = [t["content"] for t in source["added_tokens"]]
-        self.type = np.dtype(f"<u{width}")
+        self.odd = frozenset(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No"))
+        # The characters that stand for bytes in a byte-level vocabulary; bytes that don't show get those from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: b if b in plain else 256 + i for i, b in enumerate([b for b in range(256) if b not in plain] + plain)}
+        self.code = {2: "H", 4: "I"}[width]
+        self.end = array(self.code, [END_ID]).tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids with the end id, as bytes."""
-        end = np.array([END_ID], self.type).tobytes()
-        texts = [t or "" for t in texts]
-        whole = [i for i, t in enumerate(texts) if self.split is None or any(s in t for s in self.special)]
-        split = [None if self.split is None else self.split(t) for t in texts]
-        for i in whole:
-            split[i] = None
-        new = list(set().union(*(p for p in split if p)).difference(self.known))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.known.update(zip(part, map(self._bytes, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        out = [self._bytes(self.tokenizer.encode(t, add_special_tokens=False)) + end if p is None else b"".join(map(self.known.__getitem__, p)) + end for t, p in zip(texts, split, strict=True)]
+        out, part, size = [], [], 0
+        for t in texts:  # pieces of a part's texts are held at a time
+            part.append(t or "")
+            size += len(part[-1])
+            if size >= PART_CHARS:
+                out += self._part(part)
+                part, size = [], 0
+        return out + self._part(part)
+
+    def _part(self, texts: list[str]) -> list[bytes]:
+        split = [None if self._whole(t) else self.split(t) for t in texts]
+        new = set().union(*(p for p in split if p is not None)).difference(self.known)
+        seen = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in seen)
+        self.known.update((w, self._merged(w)) for w in new.difference(seen))
+        out = [(self._bytes(self.tokenizer.encode(t, add_special_tokens=False)) if p is None else b"".join(map(self.known.__getitem__, p))) + self.end for t, p in zip(texts, split, strict=True)]
         if len(self.known) > PIECES_KEPT:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         return out
 
+    def _whole(self, text: str) -> bool:
+        """Texts that re would split in another way than the tokenizer."""
+        return self.split is None or any(s in text for s in self.special) or not (text.isascii() or self.odd.isdisjoint(set(text)))
+
+    def _merged(self, piece: str) -> bytes:
+        """The library's merging step alone, for a piece that its splitting would leave whole."""
+        shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        return array(self.code, [x.id for x in self.tokenizer.model.tokenize(shown)]).tobytes()
+
     def _bytes(self, encoding) -> bytes:
-        return np.array(encoding.ids, self.type).tobytes()
+        return array(self.code, encoding.ids).tobytes()
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None = None, text_col: str = "text", id_col: str = "doc_id", shard_rows: int = SHARD_ROWS) -> str:
@@ -215,7 +245,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     with open(tokenizer_file, encoding="utf-8") as f:  # the driver's copy goes to the executors
         tokenizer_json = f.read()
     width = 2 if Tokenizer.from_str(tokenizer_json).get_vocab_size(with_added_tokens=True) <= 65_536 else 4
-    source = ship(spark, tokenizer_json)
+    source, name = ship(spark, tokenizer_json), zlib.crc32(tokenizer_json.encode())
     total = docs.count()
     shard_rows = max(shard_rows, -(-total // MOST_SHARDS))
     n_shards = -(-total // shard_rows)
@@ -232,7 +262,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     bounds = sorted({*bounds, *((*sort_key(k), p) for k, n in hot.items() for p in range(n))})
 
     def encode():
-        encoder = Encoder(source(), width)
+        encoder = once_a_process(f"encoder-{name}-{width}", lambda: Encoder(source(), width))
 
         def do(columns):
             shard = [bisect.bisect_right(bounds, (*sort_key(k), p)) for k, p in zip(columns["key"], columns["part"], strict=True)]
