@@ -1,0 +1,165 @@
+"""Licences, HTML, secrets, leaks."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from parley.llm import html, leaks, licenses, secrets
+
+
+def brute_licences(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places, found = [], set()
+    for phrase, label in licenses.BASE_PHRASES.items():
+        p = phrase.split()
+        own = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        places += own
+        found |= {label} if own else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found))
+
+
+def test_licences_against_brute_force(spark, sf_dir, texts):
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.op1(spark, sf_dir).collect()}
+    assert got == {k: brute_licences(t) for k, t in texts.items()}
+    assert any(x[1] for x in got.values())
+
+
+def test_overlapping_phrases():
+    machine = licenses.automaton()
+    draw = random.Random(4)
+    words = "gnu general public license apache mit cc by MIT-License é CC_BY lesser".split()
+    for _ in range(300):
+        text = "".join(draw.choice(words) + draw.choice([" ", "-", "\n", ""]) for _ in range(draw.randint(0, 30)))
+        r = licenses.scan(text, machine)
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_licences(text)
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_expressions():
+    read = lambda s: licenses.evaluate(licenses.to_postfix(s)[0])
+    assert read("mit or gpl-3.0-only and apache-2.0") == (True, ["mit", "gpl-3.0-only", "apache-2.0"])
+    assert read("(mit or gpl-3.0-only) and gpl-2.0") == (False, ["mit", "gpl-3.0-only", "gpl-2.0"])
+    assert read("apache-2.0 with llvm-exception and mit") == (True, ["apache-2.0", "mit"])
+    for broken in ("mit or", "(mit", "and mit", "", "or"):
+        assert not licenses.to_postfix(broken)[1]
+    row = licenses.scan("// SPDX-License-Identifier: GPL-2.0-only OR MIT\nx", licenses.automaton())
+    assert row["allowed"] and row["ids"] == "gpl-2.0-only,mit" and row["labels"] == "gpl,mit"
+
+
+def test_licences_of_odd_rows(odd, empty):
+    rows = licenses.licences(odd).collect()
+    assert len(rows) == 8 and {r.n_words for r in rows if r.doc_id in (1, 2, 3)} == {0}
+    assert licenses.licences(empty).count() == 0
+
+
+def test_html_layout():
+    r = lambda s: html.render(s)["text"]
+    assert r("<p>a<p>b <b>c</b>\n d<div>e</div>f") == "a\n\nb c d\n\ne\nf"
+    assert r("<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>z") == "- a\n- b\n    3. c\n    4. d\n\nz"
+    assert r("<table><tr><th>k<th>value<tr><td>long key<td>v</table>") == "k         value\nlong key  v"
+    assert r("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>c</table>").split("\n")[1] == "a  b  c"
+    assert r("<pre> x\n  y</pre>") == " x\n  y"
+    assert r("a<br>b<!-- c --><script>d</script><p hidden>e</p><p style='display: none'>f<p>g &amp; h") == "a\nb\n\ng & h"
+    assert r("<title>t</title><textarea><b>x</b></textarea>1 < 2") == "<b>x</b>1 < 2"
+    assert r(None) == r("") == r("<") .replace("<", "") == ""
+    assert r("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert r("</p></li></b>x</div>") == "x"
+
+
+def test_html_keeps_all_visible_words(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r.text for r in html.op2(spark, sf_dir).collect()}
+    import html as entities
+
+    for r in pages.collect():
+        body = re.sub(r"(?s)<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->", " ", r.html)
+        words = entities.unescape(re.sub(r"<[^>]+>", " ", body)).split()
+        shown = [w for w in got[r.page_id].split() if w != "-"]
+        assert [w for w in words if w != "-"] == shown
+
+
+def test_html_of_odd_rows(odd, empty):
+    pages = odd.withColumn("html", F.col("text")).withColumn("page_id", F.col("doc_id"))
+    assert html.extract(pages).count() == 8 and html.extract(empty.selectExpr("doc_id page_id", "text html")).count() == 0
+
+
+def brute_secrets(text):
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        found += [(m.start(), "assign", m.end())] if len(m[2]) >= 8 else []
+    found += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    order = ["assign", "access", "hex"]
+    return sorted(found, key=lambda x: (x[0], order.index(x[1])))
+
+
+def test_base_secrets_against_brute_force(spark, sf_dir, texts):
+    rows = secrets.op4(spark, sf_dir).collect()
+    for r in rows:
+        spans = brute_secrets(texts[r.doc_id] or "")
+        line = ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, x, _ in spans) for k in ("assign", "access", "hex"))
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("learned")) == line
+    assert len(rows) == len(texts)
+
+
+def test_base_secret_corner_cases():
+    for text in ("TOKEN: abc token=abcdefgh", "api_key=\"AKIA" + "A" * 16, "password = token=abcdefghij", "passwd:" + "f" * 40, "ſecret=abcdefgh", "ToKen'='0123456789abcdef0123456789abcdef"):
+        assert [(a, k, b) for a, b, k, _ in secrets.base_spans(text)] == brute_secrets(text)
+
+
+def test_grammar_inference():
+    draw = random.Random(2)
+    key = lambda: "AKIA" + "".join(draw.choice("ABCDEFGHIJKLMNOP0123456789") for _ in range(16))
+    words = [f"page{draw.randint(1, 99)}.example{draw.randint(1, 9)}.com/path" for _ in range(200)]
+    model = secrets.Model({"access": [key() for _ in range(200)]}, words)
+    assert len(model.kinds["access"][0].next) < 60
+    assert sum(model.score(key()) > 0.99 for _ in range(200)) > 180 and all(model.score(w) < 0.5 for w in words[:20])
+    text = f"see {key()} or {words[0]}"
+    assert [k for _, _, k, _ in model.spans([])] == [] and len(secrets.candidates(text, [])) == 2
+    total = sum(2.718281828 ** secrets.Automaton(["99", "9f", "ff", "99"]).log_likelihood(s) for s in ("99", "9f", "ff", "f9"))
+    assert 0.3 < total <= 1
+
+
+def test_masking(spark, odd, empty):
+    rows = [(i, f"é token = {'0123456789abcdef' * 2} tail", "en", "s", 0) for i in range(3)] + [(9, "clean text", "en", "s", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.masked(df).collect()}
+    assert got[0] == ("é [SECRET] tail", 15) and got[9] == ("clean text", 10)
+    assert sorted(map(str, secrets.masked(odd).collect())) == sorted(map(str, odd.collect()))
+    assert secrets.masked(empty).count() == 0 and secrets.find_secrets(empty).count() == 0
+
+
+def words_of(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+
+
+def test_leaks(spark, sf_dir, texts):
+    items = {r.item_id: words_of(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    whole = {(d, i) for d, t in texts.items() for i, w in items.items() if f" {' '.join(w)} " in f" {' '.join(words_of(t))} "}
+    got = {(r.doc_id, r.item_id): r for r in leaks.op6(spark, sf_dir).collect()}
+    assert whole <= set(got)
+    for (d, i), r in got.items():
+        assert r.n_matched >= min(leaks.LEAST_TOKENS, leaks.LEAST_SHARE * len(items[i])) and len(set(words_of(texts[d])) & set(items[i])) > 5
+
+
+def test_substitutions_and_blocks(spark, odd, empty):
+    draw = random.Random(1)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    items = [[word() for _ in range(30)] for _ in range(6)]
+    rows = []
+    for i, item in enumerate(items):
+        changed = [w if k % 9 != 4 else word() for k, w in enumerate(item)]
+        rows.append((i, " ".join([word() for _ in range(20)] + changed + [word() for _ in range(20)])))
+    rows.append((50, " ".join(word() for _ in range(80))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(90, None), (91, "too short")], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.first_word) for r in leaks.find_leaks(docs, bench).collect())
+    assert found == [(i, i, 20) for i in range(6)]
+    assert sorted((r.doc_id, r.item_id, r.first_word) for r in leaks.find_leaks(docs, bench, block_tokens=60).collect()) == found
+    assert [r.doc_id for r in leaks.without_leaks(docs, bench, block_tokens=60).collect()] == [50]
+    assert leaks.without_leaks(odd, bench).count() == 8 and leaks.find_leaks(empty, bench).count() == 0 and leaks.find_leaks(docs, bench.limit(0)).count() == 0
