@@ -101,8 +101,9 @@ def read(spark: SparkSession, path: str, kind: str | None = None, schema: str |
 
 def read_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, faults with the line's text) of JSON lines."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select(F.col("_corrupt").alias("line"))
+    lines = spark.read.text(path).where(F.btrim("value") != "")
+    rows = lines.select("value", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("x"))
+    return rows.where("x._corrupt is null").select("x.*").drop("_corrupt"), rows.where("x._corrupt is not null").select(F.col("value").alias("line"))
 
 
 # --- shapes of public conversation sets, to (conv_id, turns, meta)
