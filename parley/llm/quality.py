@@ -8,11 +8,11 @@ by it when the measure lies beyond the cutoff. For each stratum (a column's valu
 documents are the holdout. With n of them, of which the cutoff rejects k, the hypothesis "the cutoff rejects more than
 alpha / rules of good documents" is rejected if P(Binomial(n, alpha / rules) <= k) <= delta / (strata * rules). In a rule the
 cutoffs are tested from the most lenient to the strictest and testing stops at the first that fails (fixed sequence), so the
-family-wise error over all strata, rules and cutoffs is at most delta (Bonferroni over strata and rules). The strictest
-certified cutoff holds; a rule without one rejects nothing in that stratum. So with confidence 1 - delta no stratum loses
+family-wise error over all strata, rules and cutoffs is at most delta (Bonferroni over strata and rules). Of the certified
+cutoffs the one with the best balance holds: its share of labelled bad documents rejected, less COST times that of good ones (the most
+lenient of equals). A rule without a certified cutoff, or with no gain, rejects nothing in that stratum. So with confidence 1 - delta no stratum loses
 more than alpha of its good documents through the method (the base limits come before it and aren't part of that bound:
 documents that they fail are in no holdout).
-A certified cutoff is used only where it also rejects labelled bad documents at a higher rate than good ones.
 
 Edge cases. Text null: no words, base_failed. Stratum null: a stratum of its own; strata without labels: base limits alone. doc_id null: measured and kept or not
 like any other, never labelled. Repeated doc_ids: each row is judged by itself; labels that disagree count as bad. Empty
@@ -35,7 +35,7 @@ RULES: dict[str, list[float]] = {
     "same_word_share": [0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1],
     "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3],
 }
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA, COST = 0.05, 0.05, 5.0
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 
@@ -119,11 +119,13 @@ def certify(counts: list[tuple], alpha: float = ALPHA, delta: float = DELTA, rul
     for stratum, n_good, n_bad, by_rule in counts:
         own = certified.setdefault(stratum, {})
         for (rule, cutoffs), rejected in zip(rules.items(), by_rule, strict=True):
+            best = 0.0
             for cutoff, (good, bad) in zip(cutoffs, rejected, strict=True):
                 if not n_good or good > each * n_good or binomial_tail(good, n_good, each) > level:
                     break
-                if bad * n_good > good * n_bad:
-                    own[rule] = cutoff
+                gain = bad / max(1, n_bad) - COST * good / n_good
+                if gain > best:
+                    own[rule], best = cutoff, gain
     return certified
 
 
