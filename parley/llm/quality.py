@@ -156,7 +156,8 @@ def verdict(m, stratum, cutoffs: dict) -> F.Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents that pass, with their own columns. Measures twice (once for the cutoffs, once to decide) so that no text is shuffled."""
-    held = measure(docs.select(id_col, stratum_col, text_col), text_col).select(id_col, stratum_col, "_quality")
+    # saved, or the optimizer measures once for the filter and once more for the values
+    held = saved(measure(docs.select(id_col, stratum_col, text_col), text_col).select(id_col, stratum_col, "_quality"), "quality")
     cutoffs = fit(held, labels, stratum_col, id_col)
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     judged = measure(docs.select(own, F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum")), "_text")
