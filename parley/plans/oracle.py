@@ -245,3 +245,11 @@ ORACLE["quality_noise_flags"] = (
     f"wd AS (SELECT doc_id, max(n) AS wd, count(*) AS kinds FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({WORDY('text')}) AS w FROM d) GROUP BY ALL) GROUP BY 1) "
     "SELECT doc_id, CASE WHEN length(v) < 24 THEN 'too_short' WHEN ch / length(v) >= 0.65 THEN 'repeated_character' WHEN length(regexp_replace(v, '[^\\p{L}\\p{N}]', '', 'g')) / length(v) < 0.25 THEN 'few_letters' WHEN wd >= 8 AND kinds <= 2 THEN 'repeated_word' ELSE 'none' END AS noise FROM d LEFT JOIN ch USING (doc_id) LEFT JOIN wd USING (doc_id)"
 )
+ORACLE["validation_stages"] = """WITH m AS (SELECT o_orderkey AS k FROM orders), s AS (
+SELECT 'content' AS stage, k % 11 / 10 AS v, 0.80 AS t FROM m UNION ALL SELECT 'construct', k % 7 / 6, 0.90 FROM m UNION ALL SELECT 'criterion', CASE WHEN k % 5 <> 0 THEN k % 3 / 2 END, 0.50 FROM m UNION ALL SELECT 'irr', k % 2, 0.61 FROM m UNION ALL SELECT 'retest', 0.7, 0.70 FROM m)
+SELECT stage, CASE WHEN v IS NULL THEN 'pending' WHEN v >= t THEN 'passed' ELSE 'failed' END AS status, count(*) AS n FROM s GROUP BY ALL"""
+ORACLE["validation_readiness"] = "SELECT o_orderkey AS case_id, CAST(o_orderkey % 3 = 0 AS BIGINT) AS failed, CAST(o_orderkey % 4 = 0 AS BIGINT) AS pending, CASE WHEN o_orderkey % 3 = 0 THEN 'not_ready' WHEN o_orderkey % 4 = 0 THEN 'unknown' ELSE 'ready' END AS readiness FROM orders"
+ORACLE["quota_per_group"] = "SELECT doc_id, source, CAST(place AS INTEGER) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) WHERE place <= 5"
+ORACLE["rule_gaps"] = f"WITH {INJECTED}, {event_sql(EVENT, False)}, o AS (SELECT DISTINCT CASE rule_id WHEN 'FR_03' THEN 'ZZ_01' ELSE rule_id END AS rule_id FROM risk) SELECT coalesce(k.rule_id, o.rule_id) AS rule_id, CASE WHEN o.rule_id IS NULL THEN 'missing' WHEN k.rule_id IS NULL THEN 'unknown' ELSE 'seen' END AS state FROM (SELECT rule_id FROM ehit_rule) k FULL OUTER JOIN o ON k.rule_id = o.rule_id"
+ORACLE["nested_list_profile"] = "SELECT lang, count(*) AS rows, CAST(sum(n) AS BIGINT) AS elements, count(*) FILTER (WHERE n = 0) AS empty, CAST(max(n) AS INTEGER) AS largest FROM (SELECT lang, len(regexp_extract_all(text, '\\b[A-Z][a-z]+ing\\b')) AS n FROM documents) GROUP BY lang"
+ORACLE["report_markdown"] = f"""{REPORT} SELECT conv_id, CAST(length('# Report' || chr(10) || chr(10) || '- decision: ' || CASE WHEN blocking = 0 THEN 'GO' ELSE 'NO_GO' END || chr(10) || '- risk_status: ' || {STATUS_NAME("risk")} || chr(10) || '- stability_index: ' || CAST(CAST(CASE WHEN risk = 3 THEN least(idx, 69) ELSE idx END AS INTEGER) AS VARCHAR)) AS INTEGER) AS n_chars FROM r2"""

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import pii
 from ..functions import text as tx
-from ..operators import agreement, deid, events, filtering, gate, ledger, profile, regression, sampling, scores, turns
+from ..operators import agreement, deid, events, filtering, gate, ledger, profile, regression, sampling, scores, turns, validation
 from ..rules import EVENT_RULES, SIGNAL_RULES
-from ..sources import transcripts
-from . import risk
+from ..sources import sinks, transcripts
+from . import datasets, risk
 from .risk import Config
 
 #: What the analysis queries add to every fourth turn, since the tables hold no rule's phrase.
@@ -542,3 +542,54 @@ def canonical_digests(spark, sf_dir):
 def uniform_id_checks(spark, sf_dir):
     n = F.lpad((F.col("o_orderkey") * 104729 % 100_000_000).cast("string"), 8, "0")
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), n.alias("value"), pii.uniform_id_valid(n).alias("valid"))
+
+
+# --- validation, corpora
+
+
+@query
+def validation_stages(spark, sf_dir):
+    n = F.col("o_orderkey")
+    metrics = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), (n % 11 / 10).alias("content_validity"), (n % 7 / 6).alias("construct_fit"), F.when(n % 5 != 0, (n % 3 / 2).cast("string")).otherwise("n/a").alias("criterion_correlation"), (n % 2).alias("kappa"), F.lit(0.7).alias("retest_correlation"))
+    stages = validation.evaluate_stages(metrics, "case_id")
+    return stages.groupBy("stage", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def validation_readiness(spark, sf_dir):
+    n = F.col("o_orderkey")
+    metrics = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.when(n % 3 == 0, 0.7).otherwise(0.9).alias("content_validity"), F.lit(0.95).alias("construct_fit"), F.when(n % 4 != 0, F.lit(0.6)).alias("criterion_correlation"), F.lit(0.7).alias("kappa"), F.lit(0.7).alias("retest_correlation"))
+    return validation.readiness(validation.evaluate_stages(metrics, "case_id"), "case_id").select("case_id", "failed", "pending", "readiness")
+
+
+@query
+def quota_per_group(spark, sf_dir):
+    return validation.quota(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 5).select("doc_id", "source", F.col("place").cast("int").alias("place"))
+
+
+@query
+def rule_gaps(spark, sf_dir):
+    observed = events.risk_events(injected(spark, sf_dir), drift=False).select(F.when(F.col("rule_id") == "FR_03", "ZZ_01").otherwise(F.col("rule_id")).alias("rule_id"))
+    known = spark.createDataFrame([(r[0],) for r in EVENT_RULES], "rule_id string")
+    return validation.rule_gaps(observed, known)
+
+
+@query
+def nested_list_profile(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+ing\b"), F.lit(0)).alias("found"))
+    return validation.nested_profile(rows, "found", ["lang"]).select("lang", "rows", "elements", "empty", "largest")
+
+
+@query
+def dataset_test_run(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    nested = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    made = F.transform("m", lambda x: F.struct(F.concat(F.lit("T"), (x["turn"] + 1).cast("string")).alias("id"), x["role"].alias("role"), x["text"].alias("text"), F.lit("trusted").alias("source_trust"), F.lit(False).alias("boundary_bypass")))
+    sets = nested.select("conv_id", F.when(F.col("conv_id") % 3 == 0, "a").otherwise("b").alias("dataset"), F.lit("en").alias("language"), made.alias("turns"))
+    return datasets.run(sets, {"a": 2, "b": 1}, 30, config=Config(deidentify=False))["summary"]
+
+
+@query
+def report_markdown(spark, sf_dir):
+    report = injected_run(spark, sf_dir).report
+    return report.select("conv_id", F.length(sinks.report_markdown("Report", ["decision", "risk_status", "stability_index"])).alias("n_chars"))

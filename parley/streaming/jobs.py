@@ -12,19 +12,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..rules import ESCALATE_AT, REPEAT_WINDOW
 
 
+def timed(stream: DataFrame, time_col: str, late: str) -> DataFrame:
+    """The stream with a watermark; times without a zone count as the session's."""
+    return stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
+
+
 def tumbling_counts(stream: DataFrame, time_col: str, by: str, width: str = "6 hours", late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts per window and group; rows later than `late` are left out, windows are emitted when they can't change."""
     window = F.window(time_col, width, slide) if slide else F.window(time_col, width)
-    return stream.withWatermark(time_col, late).groupBy(window.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
+    return timed(stream, time_col, late).groupBy(window.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
 def sessions(stream: DataFrame, time_col: str, key: str, gap: str = "12 hours", late: str = "1 hour") -> DataFrame:
-    return stream.withWatermark(time_col, late).groupBy(F.session_window(time_col, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return timed(stream, time_col, late).groupBy(F.session_window(time_col, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def distinct_within(stream: DataFrame, time_col: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """First row of each key while its watermark lasts, so state is bounded."""
-    return stream.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
+    return timed(stream, time_col, late).dropDuplicatesWithinWatermark(keys)
 
 
 LEDGER_STATE = "repeat_count int, last_turn int"

@@ -178,6 +178,8 @@ def test_streams(spark, sf_dir, tmp_path):
     events.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
 
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+
     def run(df, name):
         query = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         query.awaitTermination(240)
@@ -188,3 +190,4 @@ def test_streams(spark, sf_dir, tmp_path):
     assert 0 < counted <= events.count()
     keyed = stream.selectExpr("user_id AS conv_id", "event_type AS entry_key", "CAST(event_id AS INT) AS turn_idx", "event_id % 5 = 0 AS resolved")
     assert run(jobs.repeat_ledger(keyed), "ledger").count() == events.count()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
