@@ -217,11 +217,13 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes with links: smallest labels of neighbours, then labels' labels, until nothing changes."""
     edges = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"), F.lit(True).alias("changed")), "labels")
+    few = labels.count() <= BROADCAST_ROWS  # all tables below but edges have at most a row for each of these
+    held = F.broadcast if few else lambda df: df
     while labels.where("changed").limit(1).count():
-        seen = edges.join(labels.select(F.col("node").alias("b"), F.col("component").alias("label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
-        spread = saved(labels.join(seen, "node").select("node", F.col("component").alias("was"), F.least("component", "label").alias("component")), "labels")
+        seen = edges.join(held(labels.select(F.col("node").alias("b"), F.col("component").alias("label"))), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
+        spread = saved(labels.join(held(seen), "node").select("node", F.col("component").alias("was"), F.least("component", "label").alias("component")), "labels")
         onward = spread.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = saved(spread.join(onward, "component", "left").select("node", F.coalesce(F.least("component", "next"), F.col("component")).alias("component"), (F.coalesce(F.least("component", "next"), F.col("component")) != F.col("was")).alias("changed")), "labels")
+        labels = saved(spread.join(held(onward), "component", "left").select("node", F.coalesce(F.least("component", "next"), F.col("component")).alias("component"), (F.coalesce(F.least("component", "next"), F.col("component")) != F.col("was")).alias("changed")), "labels")
     return labels.select("node", "component")
 
 

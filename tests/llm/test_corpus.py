@@ -110,7 +110,9 @@ def test_classes_against_brute_force(spark, sf_dir, texts):
     assert {r.doc_id: r.class_id for r in near_copies.op5(spark, sf_dir).collect()} == brute_classes(texts)
 
 
-def test_a_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("rows", [0, near_copies.BROADCAST_ROWS])
+def test_a_large_group_of_near_copies(spark, monkeypatch, rows):
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", rows)
     draw = random.Random(6)
     base = [f"w{i}" for i in range(100)]
     texts = {i: " ".join(w if draw.random() > p else f"z{draw.randint(0, 999)}" for w in base) for i, p in enumerate([0.0, *(draw.choice([0.01, 0.02, 0.04, 0.08]) for _ in range(160))])}
