@@ -1,10 +1,9 @@
 """Operator 10, packing: optimal length buckets by dynamic programming over the global length histogram, token-budget batches inside each bucket.
 
-Method. The lengths of all documents are counted exactly (one row for each distinct length reaches the driver; lengths are integers, so their number is bounded by the
-longest text, and above MAX_DISTINCT distinct values they're rounded up to a multiple of the smallest power of two that
-brings them below it). Dynamic programming finds the at most `n_buckets` bucket ends with the least padding, exactly: cost(i, j) is the
+Method. The lengths of all documents are counted exactly (one row for each distinct length reaches the driver, as Arrow columns; lengths are integers, so their number is bounded by the
+longest text, and none is rounded). Dynamic programming finds the at most `n_buckets` bucket ends with the least padding, exactly: cost(i, j) is the
 padding of lengths i..j in a bucket that ends at j; it fulfils the quadrangle inequality, so divide and conquer takes
-O(buckets * distinct * log distinct). In a bucket of padded length L every batch holds floor(budget / L) documents (one at least);
+O(buckets * distinct * log distinct), a level at a time in numpy. In a bucket of padded length L every batch holds floor(budget / L) documents (one at least);
 documents are ranked within their bucket by hash and batches are cut by rank, so each bucket has one incomplete batch at most.
 The rank is found without gathering a bucket: each bucket is dealt over shards by hash, ranked in its shard, and shifted by the sizes of the shards before it.
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, saved
 
-N_BUCKETS, BUDGET, MAX_DISTINCT, SHARD_ROWS = 16, 16_384, 16_384, 1_000
+N_BUCKETS, BUDGET, SHARD_ROWS = 16, 16_384, 1_000
 
 
 def n_words(text) -> F.Column:
@@ -33,28 +32,33 @@ def n_words(text) -> F.Column:
 
 
 def best_ends(lengths: list[int], counts: list[int], n_buckets: int = N_BUCKETS) -> list[int]:
-    """Ends of the buckets with the least padding; lengths ascending and distinct. Exact."""
+    """Ends of the buckets with the least padding; lengths ascending and distinct. Exact, in whole numbers."""
     m = len(lengths)
     if not m:
         return []
     k = min(n_buckets, m)
-    size, count = np.asarray(lengths, np.float64), np.asarray(counts, np.float64)
-    many, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(size * count)])
+    kind = np.int64 if int(lengths[-1]) * int(np.sum(counts)) < 1 << 63 else object
+    size, count = np.asarray(lengths).astype(kind), np.asarray(counts).astype(kind)
+    many, total = np.concatenate([[0], np.cumsum(count)]).astype(kind), np.concatenate([[0], np.cumsum(size * count)]).astype(kind)
     best = size * many[1:] - total[1:]  # one bucket for lengths 0..j
-    choice = np.zeros((k, m), np.int64)
+    choice = np.zeros((k, m), np.int32)
     for b in range(1, k):
-        after = np.full(m, np.inf)
-        todo = [(b, m - 1, b, m - 1)]
-        while todo:  # the best first length of the last bucket never falls as j grows
-            low, high, first, last = todo.pop()
-            if low > high:
-                continue
+        after = np.zeros(m, kind)  # below b: never read
+        low, high, first, last = (np.array([x]) for x in (b, m - 1, b, m - 1))
+        while low.size:  # a level of halves; the best first length of the last bucket never falls as j grows
             j = (low + high) // 2
-            i = np.arange(first, min(j, last) + 1)
-            cost = best[i - 1] + size[j] * (many[j + 1] - many[i]) - (total[j + 1] - total[i])
-            at = int(cost.argmin())
-            after[j], choice[b, j] = cost[at], i[at]
-            todo += [(low, j - 1, first, int(i[at])), (j + 1, high, int(i[at]), last)]
+            n = np.minimum(j, last) - first + 1
+            start = np.cumsum(n) - n
+            i = np.arange(n.sum()) + np.repeat(first - start, n)
+            to = np.repeat(j, n)
+            cost = best[i - 1] + size[to] * (many[to + 1] - many[i]) - (total[to + 1] - total[i])
+            least = np.minimum.reduceat(cost, start)
+            hits = np.flatnonzero(cost == np.repeat(least, n))
+            at = i[hits[np.searchsorted(hits, start)]]
+            after[j], choice[b, j] = least, at
+            low, high, first, last = np.concatenate([low, j + 1]), np.concatenate([j - 1, high]), np.concatenate([first, at]), np.concatenate([at, last])
+            left = low <= high
+            low, high, first, last = (x[left] for x in (low, high, first, last))
         best = after
     ends, j = [], m - 1
     for b in range(k - 1, -1, -1):
@@ -63,23 +67,14 @@ def best_ends(lengths: list[int], counts: list[int], n_buckets: int = N_BUCKETS)
     return ends[::-1]
 
 
-def granule(n_distinct: int, longest: int) -> int:
-    """1, or the power of two to whose multiples lengths are rounded up."""
-    step = 1
-    while n_distinct > MAX_DISTINCT and longest // step >= MAX_DISTINCT:
-        step *= 2
-    return step
-
-
 def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = None, n_buckets: int = N_BUCKETS, budget: int = BUDGET) -> DataFrame:
     length = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)) if length_col else n_words(F.col(text_col)).cast("long")
     sized = saved(docs.select(F.col(id_col).alias("doc_id"), length.alias("n_tokens")), "lengths")
-    spread = sized.agg(F.countDistinct("n_tokens").alias("n"), F.max("n_tokens").alias("longest")).first()
-    step = granule(spread.n, spread.longest or 0)
-    rounded = F.greatest(F.ceil(F.col("n_tokens") / step) * step, F.lit(1)).cast("long")
-    histogram = sorted((r.x, r["count"]) for r in sized.groupBy(rounded.alias("x")).count().collect())
-    ends = best_ends([x for x, _ in histogram], [n for _, n in histogram], n_buckets) or [1]
-    held = np.add.reduceat([n for _, n in histogram], [0, *np.searchsorted([x for x, _ in histogram], ends[:-1], side="right")]) if histogram else [0]
+    rounded = F.greatest("n_tokens", F.lit(1))
+    histogram = sized.groupBy(rounded.alias("x")).count().toArrow().sort_by("x")
+    lengths, counts = (histogram[c].to_numpy() for c in ("x", "count"))
+    ends = best_ends(lengths, counts, n_buckets) or [1]
+    held = np.add.reduceat(counts, [0, *np.searchsorted(lengths, ends[:-1], side="right")]) if len(lengths) else [0]
 
     last = len(ends) - 1
     bucket = F.coalesce(*(F.when(rounded <= e, F.lit(i)) for i, e in enumerate(ends)), F.lit(last))

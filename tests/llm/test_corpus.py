@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import deque
 
 import numpy as np
 import pytest
@@ -189,6 +190,34 @@ def test_best_buckets():
         assert ends == sorted(ends) and padding(lengths, counts, ends) == best and len(ends) == min(k, len(lengths))
 
 
+def test_best_buckets_of_many_lengths(spark):
+    """More than 16,384 distinct lengths and one far longer: ends stay those of the exact histogram."""
+    rows = spark.range(17_000).selectExpr("id AS doc_id", "id % 17000 + 1 AS n").union(spark.range(40_000).selectExpr("id + 20000", "id % 40 + 1")).union(spark.createDataFrame([(90_000, 20_000_000)], "doc_id long, n long"))
+    got = packing.pack(rows, length_col="n").groupBy("bucket").agg(F.min("n_tokens"), F.max("n_tokens"), F.max("padded"), F.sum("padding")).orderBy("bucket").collect()
+    lengths, counts = np.unique(np.concatenate([np.arange(1, 17_001), np.arange(40_000) % 40 + 1, [20_000_000]]), return_counts=True)
+    assert [r[3] for r in got] == [r[2] for r in got] == packing.best_ends(lengths, counts)
+    assert sum(r[4] for r in got) == padding_of(lengths, counts, packing.N_BUCKETS)
+
+
+def padding_of(lengths, counts, k):
+    """The least padding with k buckets, by the convex hull of lines instead of divide and conquer."""
+    many, total = np.concatenate([[0], np.cumsum(counts)]).tolist(), np.concatenate([[0], np.cumsum(lengths * counts)]).tolist()
+    best = [0] + [float("inf")] * len(lengths)
+    for _ in range(k):
+        after, hull = [0], deque()
+        for j, size in enumerate(lengths.tolist()):
+            line = (-many[j], best[j] + total[j])  # cost of a last bucket from j, without its own part
+            while best[j] < float("inf") and len(hull) > 1 and (hull[-1][1] - hull[-2][1]) * (hull[-1][0] - line[0]) >= (line[1] - hull[-1][1]) * (hull[-2][0] - hull[-1][0]):
+                hull.pop()
+            if best[j] < float("inf"):
+                hull.append(line)
+            while len(hull) > 1 and hull[1][0] * size + hull[1][1] <= hull[0][0] * size + hull[0][1]:
+                hull.popleft()
+            after.append(size * many[j + 1] - total[j + 1] + hull[0][0] * size + hull[0][1])
+        best = after
+    return best[-1]
+
+
 def test_packing(spark, sf_dir, texts, odd, empty):
     rows = packing.op10(spark, sf_dir).collect()
     assert {r.doc_id: r.n_tokens for r in rows} == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in texts.items()}
