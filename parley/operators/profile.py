@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pii import matches_of
+
 # Names and patterns of secrets in source texts.
 SECRET_PATTERNS = {
     "gitlab-pat": r"\bglpat-[A-Za-z0-9\-_.]{20,}\b",
@@ -53,12 +55,16 @@ def distribution_check(rows: DataFrame, column: str, targets: DataFrame, toleran
 
 
 def secret_findings(texts: DataFrame, id_col: str, text_col: str = "text", patterns: dict[str, str] | None = None) -> DataFrame:
-    """id, line and column (from 1), pattern and excerpt of every line's first match of each pattern."""
+    """id, line and column (from 1), pattern and the line's excerpt of all matches of each pattern in the whole text; a match may span lines and counts where it starts."""
     patterns = patterns or SECRET_PATTERNS
     any_of = F.col(text_col).rlike("|".join(f"(?:{p})" for p in patterns.values()))
-    lines = texts.where(any_of).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("place", "line"))
-    hits = F.explode(F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(name).alias("pattern"), F.regexp_extract("line", f"({p})", 1).alias("value"))) for name, p in patterns.items()))))
-    return lines.select("id", (F.col("place") + 1).alias("line_no"), "line", hits.alias("h")).select("id", "line_no", F.position("h.value", "line").alias("column_no"), "h.pattern", F.substring(F.btrim("line"), 1, 120).alias("excerpt"))
+    own = texts.where(any_of).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = F.concat(*(F.transform(matches_of(F.col("text"), p), lambda m: F.struct(F.lit(name).alias("pattern"), m["start"].alias("start"))) for name, p in patterns.items()))
+    hits = own.withColumn("found", found).select("id", "text", F.explode("found").alias("h"))
+    hits = hits.withColumn("before", F.substring("text", F.lit(1), F.col("h.start")))
+    start = F.substring_index("before", "\n", -1)  # of the line
+    line = F.concat(start, F.substring_index(F.substring("text", F.col("h.start") + 1, F.length("text")), "\n", 1))
+    return hits.select("id", (F.regexp_count("before", F.lit("\n")) + 1).alias("line_no"), (F.length(start) + 1).alias("column_no"), "h.pattern", F.substring(F.btrim(line), 1, 120).alias("excerpt"))
 
 
 def latest(reports: DataFrame, time_col: str, id_col: str, size: int = 50) -> DataFrame:

@@ -167,6 +167,21 @@ def test_secret_lines(spark):
     assert got == [(2, 3, "gitlab-pat"), (3, 1, "generic-secret-assignment")]
 
 
+def test_all_secrets_of_a_text(spark):
+    """Several of a kind on one line, and matches that span lines, as text.matchAll() over the whole text gives them."""
+    key = "sk-" + "a1" * 10
+    texts = ["é token=abcdefghijklmnop, token: 'qrstuvwxyzabcdef' end", 'a\n  token:\n "abcdefghijklmnop"\nb', f"{key} {key}\n\n{key}", "-----BEGIN PRIVATE KEY-----\n" * 2, "password =\n\n" + "x" * 15]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    expected = []
+    for i, text in enumerate(texts):
+        for kind, pattern in profile.SECRET_PATTERNS.items():
+            for m in re.finditer(pattern, text, re.A):
+                line = text.count("\n", 0, m.start())
+                expected.append((i, line + 1, m.start() - text.rfind("\n", 0, m.start()), kind, text.split("\n")[line].strip(" ")))
+    assert [sum(e[0] == i for e in expected) for i in range(5)] == [2, 1, 3, 2, 0]
+    assert sorted(map(tuple, profile.secret_findings(df, "id").collect())) == sorted(expected)
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([("ruleVersion", "zh-TW", '{"b":1,"a":{"d":null,"c":[1,2]}}', "漢字ab")], "a string, b string, c string, d string")
     row = df.select(tx.kebab(F.col("a")).alias("k"), tx.language_label(F.col("b")).alias("l"), tx.canonical_json(F.col("c")).alias("j"), tx.cjk_ratio(F.col("d")).alias("r")).first()
