@@ -1,11 +1,12 @@
 """Operator 2, HTML extraction: a tree builder with implied tags drives a layout renderer that emits all visible text.
 
 Parsing. A tokenizer splits the page into tags, comments and text; the builder keeps the stack of open elements, supplies the ends that HTML
-leaves out (p before a block, li, dt, dd, option, tr, td, table sections) and ignores ends without a start. It emits balanced
+leaves out (head before what can't stand in it, p before a block, li, dt, dd, option, tr, td, table sections, svg and math before blocks) and ignores ends without a start. It emits balanced
 open and close events, so pages of any depth need no recursion.
 
 Visibility. Not shown: head, title, script, style, template, noscript and other raw elements, comments, elements with `hidden`, `display:none` or
-`visibility:hidden`, inputs of type hidden (inputs and images show their value or alt text when they have one).
+`visibility:hidden`, inputs of type hidden (inputs and images show their value or alt text when they have one). Of svg its text and foreignObject
+elements are shown, of math all but annotations, of object what it holds for those who can't load it.
 
 Layout. Blocks start on lines of their own; paragraphs, headings, lists, tables and quotations stand between empty lines; br breaks
 a line; list items have "- " or their number and two more spaces for each level; pre keeps its spaces; table cells are aligned in columns,
@@ -26,7 +27,9 @@ from .common import by_batch
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes audio video canvas datalist annotation annotation-xml".split())
+#: Within svg only.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern filter lineargradient radialgradient".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table caption tr ul".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir".split())
 CLOSES_P = BLOCK - frozenset("body html option optgroup legend caption tr select".split())
@@ -44,12 +47,19 @@ IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
     **{s: (frozenset({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}), frozenset({"table"})) for s in ("thead", "tbody", "tfoot")},
     "body": (frozenset({"head"}), frozenset({"html"})),
 }
+#: What may stand in head; the start of anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta title style script noscript noframes template".split())
+#: HTML elements that end an open svg or math, and elements of these in which HTML may stand.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+FOREIGN, HOLDS_HTML = frozenset({"svg", "math"}), frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+MATH_TOKENS = frozenset("mi mo mn ms mtext".split())
 SCOPE = frozenset("table td th caption html template button".split())
 PAD_MOST = 40
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 _BLANK = re.compile(r"[\x20\t\n\r\f\v]+")
 
 
@@ -107,15 +117,24 @@ def events(page: str):
 
     for kind, name, rest in tokens(page):
         if kind == "text":
+            if stack and stack[-1] == "head" and name.strip(" \t\n\r\f"):
+                yield pop()
             yield "text", name if rest in RAW - {"title", "textarea"} else entities.unescape(name) if "&" in name else name, {}
         elif kind == "open":
+            if stack and stack[-1] == "head" and name not in IN_HEAD:
+                yield pop()
+            if name == "head" and any(x != "html" for x in stack):
+                continue
+            foreign = depth.get("svg") or depth.get("math")
+            if foreign and name in ENDS_FOREIGN:
+                yield from end_within(FOREIGN, HOLDS_HTML)
             if name in CLOSES_P and depth.get("p"):
                 yield from end_within(frozenset({"p"}), SCOPE)
             if name in IMPLIED and any(depth.get(x) for x in IMPLIED[name][0]):
                 yield from end_within(*IMPLIED[name])
             found = attributes(rest) if rest.strip() else {}
             yield "open", name, found
-            if name in VOID:
+            if name in VOID or foreign and _SELF_CLOSED.search(rest):
                 yield "close", name, {}
             else:
                 stack.append(name)
@@ -229,12 +248,12 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
 def render(page: str | None) -> dict:
     """text, and the numbers of tables, list items and headings shown."""
     flow, flows, tables, lists = Flow(), [], [], []
-    hidden = pre = 0
+    hidden = pre = drawings = labels = 0
     n = {"n_tables": 0, "n_items": 0, "n_headings": 0}
     open_hidden: list[bool] = []
     for kind, name, found in events(page or ""):
         if kind == "text":
-            if not hidden and name:
+            if not hidden and name and (labels or not drawings):
                 if tables and not flows_in_cell(tables):
                     if not name.isspace():
                         tables[-1]["caption"].words(name)
@@ -245,6 +264,7 @@ def render(page: str | None) -> dict:
             continue
         if kind == "open":
             hides = name in UNSEEN or "hidden" in found or bool(found.get("style") and _HIDING.search(found["style"])) or (name == "input" and found.get("type", "").lower() == "hidden")
+            hides = hides or bool(drawings) and (name in UNDRAWN or found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse"))
             if name not in VOID:
                 open_hidden.append(hides)
             hidden += hides and name not in VOID
@@ -288,7 +308,13 @@ def render(page: str | None) -> dict:
                 flow.end_line(name in SPACED)
                 if name in ("blockquote", "dd"):
                     flow.indent.append("  ")
+            elif name in MATH_TOKENS:
+                flow.words(" ")
+            elif drawings and name in ("text", "foreignobject"):
+                flow.words(" ")
+                labels += 1
             pre += name == "pre"
+            drawings += name == "svg"
             continue
         if name in VOID:
             continue
@@ -297,6 +323,7 @@ def render(page: str | None) -> dict:
             hidden -= hides
             continue
         pre -= name == "pre"
+        drawings -= name == "svg"
         if name == "table" and tables:
             made = tables.pop()
             flow = made["outer"]
@@ -322,6 +349,11 @@ def render(page: str | None) -> dict:
             flow.end_line(name in SPACED)
             if name in ("blockquote", "dd") and flow.indent:
                 flow.indent.pop()
+        elif name in MATH_TOKENS:
+            flow.words(" ")
+        elif drawings and name in ("text", "foreignobject"):
+            flow.words(" ")
+            labels -= 1
     return {"text": "\n".join(flow.done()), **n}
 
 

@@ -69,6 +69,22 @@ def test_html_layout():
     assert r("</p></li></b>x</div>") == "x"
 
 
+def test_html_without_end_of_head():
+    r = lambda s: html.render(s)["text"]
+    assert r("<head><title>T</title><h1>Hi</h1><p>text") == "Hi\n\ntext"
+    assert r("<html><head><meta charset=utf-8><title>T</title>\n <link rel=x>bare text<p>more</html>") == "bare text\n\nmore"
+    assert r("<head><script>x</script><style>y</style><noscript>n</noscript><template><p>z</template><base href=/>\n</head><body>b") == "b"
+    assert r("<head><title>T</title><div>a</div></head><body><p>b<head><p>c") == "a\n\nb\n\nc"
+
+
+def test_html_of_drawings_formulas_and_fallbacks():
+    r = lambda s: html.render(s)["text"]
+    assert r("<p>a <svg><title>t</title><desc/><defs><text>no</text></defs><path d='M0'/><g>no<text x=1>one</text><text>two <tspan>three</tspan></text></g></svg> b") == "a one two three b"
+    assert r("<svg><foreignObject><p>html</p></foreignObject></svg><svg><g><path d='M0'><p>after") == "html\n\nafter"
+    assert r("<math><semantics><mfrac><mn>1</mn><mi>n</mi></mfrac><annotation>no</annotation></semantics></math>, <math><mi>x</mi></math>") == "1 n , x"
+    assert r("<object data=x><param name=y>fallback</object> z") == "fallback z"
+
+
 def test_html_keeps_all_visible_words(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r.text for r in html.op2(spark, sf_dir).collect()}
