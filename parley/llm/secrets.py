@@ -4,7 +4,8 @@ Method. The base patterns' matches are the labelled credentials, one class for e
 (SAMPLE distinct values, lowest hash first) a prefix tree with counts is built over character classes; states whose
 continuations don't differ by more than the Hoeffding bound are merged (red-blue order, folding kept deterministic), which gives
 a stochastic automaton for each kind. Another one is inferred in the same way from candidates that no pattern labels. A candidate is
-any run of CANDIDATE's characters with a letter and a digit that overlaps no base match. It is a secret if, under some kind's automaton, (a) its mean log likelihood a
+what base matches leave of any run of CANDIDATE's characters, whole, and its parts: each piece after a '=' or '/', and all that follows the first '='. Candidates have ASSIGN_LEAST
+characters or more, as the shortest labelled credentials, with a letter and a digit. Of secrets one within another the outer is given. A candidate is a secret if, under some kind's automaton, (a) its mean log likelihood a
 symbol isn't below that of all but QUANTILE of the kind's own sample, and (b) its log odds against the background reach ODDS.
 
 Edge cases. Text null or empty: no spans. No base match in the table: no automata, so base spans only. Several rows with one
@@ -30,7 +31,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "learned")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{ASSIGN_LEAST},}}")
 SAMPLE, QUANTILE, ODDS, MERGE_ALPHA = 400, 0.01, math.log(99), 0.05
 
 
@@ -51,15 +52,37 @@ def _place(span) -> tuple:
 
 
 def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int, str]]:
-    found = []
+    """(start, end, value) by start, longest first; taken: base_spans()."""
+    found, at = set(), 0
     for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if not value.isalpha() and not value.isdigit() and _LETTER(value) and _DIGIT(value) and not any(a < m.end() and m.start() < b for a, b, *_ in taken):
-            found.append((m.start(), m.end(), value))
-    return found
-
-
-_LETTER, _DIGIT = re.compile("[A-Za-z]").search, re.compile("[0-9]").search
+        if m[0].isalpha() or m[0].isdigit():
+            continue
+        start, end = m.span()
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        for a, b, *_ in taken[at:]:
+            if a >= end:
+                break
+            if b > start:
+                found.update(_parts(text, start, a))
+                start = b
+        found.update(_parts(text, start, end))
+    return [(a, b, text[a:b]) for a, b in sorted(found, key=lambda x: (x[0], -x[1]))]
+
+
+def _parts(text: str, start: int, end: int):
+    """Places of a run and of its parts that are candidates."""
+    if end - start < ASSIGN_LEAST:
+        return
+    cuts = [m.end() for m in _SEPARATOR.finditer(text, start, end)]
+    places = [(start, end), *zip(cuts, [c - 1 for c in cuts[1:]] + [end], strict=False)]
+    first = text.find("=", start, end) + 1
+    for a, b in [*places, (first, end)] if first else places:
+        if b - a >= ASSIGN_LEAST and _LETTER(text, a, b) and _DIGIT(text, a, b):
+            yield a, b
+
+
+_LETTER, _DIGIT, _SEPARATOR = re.compile("[A-Za-z]").search, re.compile("[0-9]").search, re.compile("[=/]")
 #: Symbols of the automata: classes of characters. Characters of a class are alike.
 _CLASS = {c: "9" for c in "0123456789"} | {c: "f" for c in "abcdef"} | {c: "z" for c in "ghijklmnopqrstuvwxyz"} | {c: "F" for c in "ABCDEF"} | {c: "Z" for c in "GHIJKLMNOPQRSTUVWXYZ"}
 SYMBOLS = "9fzFZ+/_.=-"
@@ -176,7 +199,12 @@ class Model:
 
     def spans(self, found: list[tuple]) -> list[tuple]:
         least = 1 / (1 + math.exp(-ODDS))
-        return [(a, b, "learned", v) for a, b, v in found if self.score(v) >= least]
+        kept, reach = [], -1
+        for a, b, v in found:  # by start, longest first
+            if b > reach and self.score(v) >= least:
+                kept.append((a, b, "learned", v))
+                reach = b
+        return kept
 
 
 _SPAN = "array<struct<s:long,e:long,kind:string,value:string>>"

@@ -141,6 +141,24 @@ def test_grammar_inference():
     assert 0.3 < total <= 1
 
 
+def test_short_and_joined_candidates():
+    """Eight characters are enough, base spans are cut out of a run, and names and paths don't hide values."""
+    found = lambda text: [v for *_, v in secrets.candidates(text, secrets.base_spans(text))]
+    access = "AKIA" + "A1" * 8
+    assert found("x a1b2c3d4 y a1b2c3d") == ["a1b2c3d4"]
+    assert found(f"{access}/q7w8e9r0t1") == ["/q7w8e9r0t1", "q7w8e9r0t1"]
+    assert found("KEY=q7w8e9r0/t1y2u3i4o5") == ["KEY=q7w8e9r0/t1y2u3i4o5", "q7w8e9r0/t1y2u3i4o5", "q7w8e9r0", "t1y2u3i4o5"]
+    assert found("host.example/q7w8e9r0t1") == ["host.example/q7w8e9r0t1", "q7w8e9r0t1"]
+    draw = random.Random(5)
+    value = lambda: "".join(draw.choice("abcdefghij") + draw.choice("0123456789") for _ in range(5))
+    words = [f"{draw.choice(['Section', 'Chapter', 'Version'])}-{draw.randint(1, 9999)}" for _ in range(300)]
+    model = secrets.Model({"assign": [value() for _ in range(300)]}, words)
+    short, hidden, after = value(), value(), value()
+    text = f"Version-12 {short} NAME={hidden} {access}/{after} Chapter-7"
+    got = [v for *_, v in model.spans(secrets.candidates(text, secrets.base_spans(text)))]
+    assert len(got) == 3 and all(x in y for x, y in zip((short, hidden, after), got, strict=True))
+
+
 def test_masking(spark, odd, empty):
     rows = [(i, f"é token = {'0123456789abcdef' * 2} tail", "en", "s", 0) for i in range(3)] + [(9, "clean text", "en", "s", 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
