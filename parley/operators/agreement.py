@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the highest severity of an annotation.
+MOST_SEVERE = 4
+
 
 def kappa(pairs: DataFrame, a: str, b: str, by: list[str] | None = None, decimals: int = 6, empty: float | None = 0.0) -> DataFrame:
     """Unweighted Cohen's kappa with n and observed and expected agreement, over all or for each group. Expected agreement 1: kappa is 1 if observed is 1, else 0."""
@@ -52,8 +55,11 @@ def axis_agreement(rows: DataFrame, axes: list[str], decimals: int = 6) -> DataF
 
 
 def severity_units(units: DataFrame, ratings: DataFrame) -> DataFrame:
-    """conv_id, turn_id, a, b: each rater's highest severity of a turn, 0 where it has none. Units are the given turns and all rated ones."""
-    worst = ratings.groupBy("conv_id", "turn_id").agg(*(F.max(F.when(F.col("rater") == r, F.col("severity"))).alias(r) for r in ("a", "b")))
+    """conv_id, turn_id, a, b: each rater's highest severity (within 0 to MOST_SEVERE; 0 if no finite number) of a turn, 0 where it has none. Units are the given turns and all rated ones."""
+    number = F.col("severity").try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    bounded = F.when(~finite, 0).when(number < 0, 0).when(number > MOST_SEVERE, MOST_SEVERE).otherwise(F.col("severity"))
+    worst = ratings.withColumn("severity", bounded).groupBy("conv_id", "turn_id").agg(*(F.max(F.when(F.col("rater") == r, F.col("severity"))).alias(r) for r in ("a", "b")))
     return units.select("conv_id", "turn_id").distinct().join(worst, ["conv_id", "turn_id"], "full_outer").fillna(0, ["a", "b"])
 
 

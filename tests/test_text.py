@@ -182,6 +182,14 @@ def test_all_secrets_of_a_text(spark):
     assert sorted(map(tuple, profile.secret_findings(df, "id").collect())) == sorted(expected)
 
 
+def test_severities_are_bounded(spark):
+    rows = [("c", "1", "a", 9.0), ("c", "1", "b", 4.0), ("c", "2", "a", -3.0), ("c", "3", "b", float("nan")), ("c", "4", "a", 2.0), ("c", "4", "a", None), ("c", "4", "b", 2.5)]
+    ratings = spark.createDataFrame(rows, "conv_id string, turn_id string, rater string, severity double")
+    units = agreement.severity_units(ratings, ratings)
+    assert sorted((r.turn_id, r.a, r.b) for r in units.collect()) == [("1", 4, 4), ("2", 0, 0), ("3", 0, 0), ("4", 2, 2.5)]
+    assert dict(agreement.severity_units(ratings, ratings.withColumn("severity", F.col("severity").cast("int"))).dtypes)["a"] == "int"
+
+
 def test_small_functions(spark):
     df = spark.createDataFrame([("ruleVersion", "zh-TW", '{"b":1,"a":{"d":null,"c":[1,2]}}', "漢字ab")], "a string, b string, c string, d string")
     row = df.select(tx.kebab(F.col("a")).alias("k"), tx.language_label(F.col("b")).alias("l"), tx.canonical_json(F.col("c")).alias("j"), tx.cjk_ratio(F.col("d")).alias("r")).first()
