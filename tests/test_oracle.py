@@ -5,7 +5,6 @@ import math
 
 import duckdb
 import pytest
-from conftest import DATA
 
 from parley.plans.oracle import ORACLE
 from parley.plans.queries import QUERIES
@@ -20,10 +19,10 @@ def plain(v):
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 
 
