@@ -3,10 +3,16 @@
 Method. The base patterns' matches are the labelled credentials, one class for each kind. From a bounded sample of each class
 (SAMPLE distinct values, lowest hash first) a prefix tree with counts is built over character classes; states whose
 continuations don't differ by more than the Hoeffding bound are merged (red-blue order, folding kept deterministic), which gives
-a stochastic automaton for each kind. Another one is inferred in the same way from candidates that no pattern labels. A candidate is
-what base matches leave of any run of CANDIDATE's characters, whole, and its parts: each piece after a '=' or '/', and all that follows the first '='. Candidates have ASSIGN_LEAST
-characters or more, as the shortest labelled credentials, with a letter and a digit. Of secrets one within another the outer is given. A candidate is a secret if, under some kind's automaton, (a) its mean log likelihood a
-symbol isn't below that of all but QUANTILE of the kind's own sample, and (b) its log odds against the background reach ODDS.
+a stochastic automaton for each kind. Merged states loop and so forget how long strings are; lengths have a distribution of their
+own, and the automaton gives the symbols, given that the string goes on. Both back off by one observation's weight: to a broad
+distribution of lengths, and to the symbols of the whole sample. Another automaton is inferred in the same way from candidates
+that no pattern labels.
+
+A candidate is what base matches leave of any run of CANDIDATE's characters, whole, and its parts: each piece after a '=' or '/',
+and all that follows the first '='. Candidates have ASSIGN_LEAST characters or more, as the shortest labelled credentials, with a
+letter and a digit. Of secrets one within another the outer is given. A candidate is a secret if, under some kind's automaton,
+(a) its mean log likelihood a symbol isn't below that of all but QUANTILE of the kind's own sample, and (b) its log odds against
+the background, lengths included, reach ODDS.
 
 Edge cases. Text null or empty: no spans. No base match in the table: no automata, so base spans only. Several rows with one
 doc_id or text: each is scanned by itself. Null doc_id: passed through. Offsets are code points, end exclusive.
@@ -16,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +66,8 @@ def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int, str]]:
         start, end = m.span()
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        for a, b, *_ in taken[at:]:
+        for k in range(at, len(taken)):
+            a, b = taken[k][:2]
             if a >= end:
                 break
             if b > start:
@@ -110,6 +117,11 @@ class Automaton:
                     self.ends.append(0)
                 at = self.next[at][c]
             self.ends[at] += 1
+        self.lengths = Counter(map(len, strings))
+        self.strings = len(strings)
+        used = Counter(c for s in strings for c in s)
+        whole = used.total() + 0.5 * len(SYMBOLS)
+        self.base = {c: (used[c] + 0.5) / whole for c in SYMBOLS}
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
 
@@ -148,8 +160,10 @@ class Automaton:
     def _merge_all(self) -> None:
         red, seen = [0], {0}
         blue = deque((0, c) for c in sorted(self.next[0]))
+        waiting = set(blue)
         while blue:
             source, c = blue.popleft()
+            waiting.discard((source, c))
             q = self.next[source][c]
             if q in seen:
                 continue
@@ -157,25 +171,33 @@ class Automaton:
                 if self._compatible(r, q):
                     self.next[source][c] = r
                     self._fold(r, q)
-                    blue.extend((s, x) for s in red for x in sorted(self.next[s]) if self.next[s][x] not in seen and (s, x) not in blue)
+                    more = [(s, x) for s in red for x in sorted(self.next[s]) if self.next[s][x] not in seen and (s, x) not in waiting]
                     break
             else:
                 red.append(q)
                 seen.add(q)
-                blue.extend((q, x) for x in sorted(self.next[q]))
+                more = [(q, x) for x in sorted(self.next[q])]
+            blue.extend(more)
+            waiting.update(more)
         order = {q: i for i, q in enumerate(red)}
         self.next = [{c: order[t] for c, t in self.next[q].items()} for q in red]
         self.count, self.ends = [self.count[q] for q in red], [self.ends[q] for q in red]
+        self.onward = [sum(x.values()) for x in self.count]
 
-    def log_likelihood(self, s: str) -> float:
-        at, total, k = 0, 0.0, len(SYMBOLS) + 1
+    def steps(self, s: str) -> float:
+        """Log likelihood of the symbols, given the length."""
+        at, total = 0, 0.0
         for c in s:
             if at is None:
-                total -= math.log(k)
+                total += math.log(self.base[c])
                 continue
-            total += math.log((self.count[at].get(c, 0) + 0.5) / (self._total(at) + 0.5 * k))
+            total += math.log((self.count[at].get(c, 0) + self.base[c]) / (self.onward[at] + 1))
             at = self.next[at].get(c)
-        return total + (math.log((self.ends[at] + 0.5) / (self._total(at) + 0.5 * k)) if at is not None else -math.log(k))
+        return total
+
+    def log_likelihood(self, s: str) -> float:
+        n = len(s)
+        return self.steps(s) + math.log((self.lengths[n] + 1 / ((n + 1) * (n + 2))) / (self.strings + 1))
 
 
 class Model:
@@ -186,7 +208,7 @@ class Model:
         for kind, values in sorted(labelled.items()):
             strings = [symbols(v) for v in values]
             machine = Automaton(strings)
-            means = sorted(machine.log_likelihood(s) / (len(s) + 1) for s in strings)
+            means = sorted(machine.steps(s) / max(1, len(s)) for s in strings)
             self.kinds[kind] = (machine, means[int(len(means) * QUANTILE)])
         self.background = Automaton([symbols(v) for v in background]) if background else None
 
@@ -194,7 +216,7 @@ class Model:
         """0 to 1: probability of a credential's format at even odds; 0 if it has no kind's format."""
         s = symbols(value)
         plain = self.background.log_likelihood(s) if self.background else -(len(s) + 1) * math.log(len(SYMBOLS) + 1)
-        best = max((x - plain for machine, floor in self.kinds.values() if (x := machine.log_likelihood(s)) / (len(s) + 1) >= floor), default=-math.inf)
+        best = max((machine.log_likelihood(s) - plain for machine, floor in self.kinds.values() if machine.steps(s) / max(1, len(s)) >= floor), default=-math.inf)
         return 1 / (1 + math.exp(-min(best, 700.0))) if best > -700 else 0.0
 
     def spans(self, found: list[tuple]) -> list[tuple]:
@@ -292,8 +314,6 @@ def masked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mask
     return by_batch(docs, make, schema)
 
 
-
-
 def op4(spark, sf_dir: str) -> DataFrame:
     """Numbers of spans by kind, the base spans' digest and all spans of every document; score: of its best candidate."""
     from .common import table
