@@ -1,12 +1,14 @@
 """Operator 1, licence scans: an Aho-Corasick automaton finds identifier tags and notice phrases, a shunting-yard parser reads licence expressions.
 
-Words are runs of ASCII letters and digits and of anything beyond ASCII, in text whose A-Z are lower-cased. Phrases stand as consecutive words. After an
-identifier tag ("SPDX-License-Identifier:", "License:" in metadata form is not read) the licence expression is parsed with the
-precedence WITH > AND > OR and evaluated: `allowed` tells whether the document may be used under the given set of
-permissive licences (AND needs all, OR any, WITH the base licence), `ids` lists what the expression names.
-
-Edge cases. Text null or empty: zero words, no labels, score 0. A malformed expression: its identifiers before the fault count,
-the expression isn't allowed. Repeated rows and ties: each row is read by itself. Null doc_id: passed through. Very long texts: linear time.
+Words are runs of ASCII letters and digits and of anything beyond ASCII, in text whose A-Z are lower-cased. Phrases stand as
+consecutive words. After an identifier tag ("SPDX-License-Identifier:"; "License:" in metadata form is not read) the licence
+expression is parsed with the precedence WITH > AND > OR and evaluated: `allowed` tells whether the document may be used under the
+given set of permissive licence identifiers (AND needs all, OR any; WITH, which stands between one identifier and one exception,
+the identifier's own), `ids` lists what the expression names. A licence's label is its identifier up to its version, so
+cc-by-nc-nd-4.0 is cc-by-nc-nd and not cc-by.
+
+Edge cases. Text null or empty: zero words, no labels, score 0. A malformed expression, which is also one with more words or
+parentheses after it (the end of a comment may follow): its identifiers before the fault count, the expression isn't allowed. Repeated rows and ties: each row is read by itself. Null doc_id: passed through. Very long texts: linear time.
 """
 
 from __future__ import annotations
@@ -40,73 +42,79 @@ NOTICE_PHRASES = {
     "permission is hereby granted free of charge": "mit",
 }
 TAG = "spdx license identifier"
-#: Licence families by the start of an identifier, longest first.
-FAMILIES = ["agpl", "lgpl", "gpl", "apache", "mit", "bsd", "isc", "mpl", "epl", "cc-by", "cc0", "unlicense", "zlib"]
-PERMISSIVE = frozenset({"apache", "mit", "bsd", "isc", "cc0", "cc-by", "unlicense", "zlib"})
+# Identifiers of licences that allow use of every kind, without their "+".
+PERMISSIVE = frozenset(
+    "0bsd apache-1.0 apache-1.1 apache-2.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsl-1.0 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc0-1.0 isc mit mit-0 unlicense zlib".split()
+)
 #: How sure each kind of evidence is.
 WEIGHTS = {"tag": 0.95, "base": 0.8, "notice": 0.6}
 
 WORD_BREAKS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 _TAG = re.compile(r"spdx-license-identifier[\x20\t]*:[\x20\t]*([^\n]*)")
 _TOKEN = re.compile(r"[\x20\t]*(\(|\)|[a-z0-9][a-z0-9.+-]*)")
+_VERSION = re.compile(r"(?:-v?\d.*|\+)$")
+#: What may follow an expression: blanks and the end of a comment or string.
+_NOTHING_ELSE = re.compile(r"""\s*(?:\*+/|-->|[*#%]?\}|\*\)|\?>|[#*;.,"'`]+)?\s*\Z""")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
 def family(identifier: str) -> str:
-    return next((f for f in FAMILIES if identifier.startswith(f)), identifier)
+    """The identifier up to its version."""
+    return _VERSION.sub("", identifier) or identifier
 
 
 def to_postfix(source: str) -> tuple[list[str], bool]:
-    """Shunting-yard: (postfix tokens, whether a whole expression was read). Stops before the first token that can't continue."""
-    out, stack, at, operand_next = [], [], 0, True
-    whole = True
+    """Shunting-yard: (postfix tokens, whether a whole expression and nothing else was read). Stops before the first token that can't continue."""
+    out, stack, at, operand_next, opened = [], [], 0, True, 0
+    single = ""  # what the last token leaves to its left for WITH: "id", "exception" or nothing
     while m := _TOKEN.match(source, at):
         token = m[1]
         operator = token in PRECEDENCE
         if operand_next:
-            if token == "(":
+            if token == "(" and not (stack and stack[-1] == "with"):
                 stack.append(token)
-            elif operator or token == ")":
-                whole = False
+                opened += 1
+            elif operator or token in "()":
                 break
             else:
                 out.append(token)
-                operand_next = False
-        elif operator:
+                operand_next, single = False, "exception" if stack and stack[-1] == "with" else "id"
+        elif operator and not (token == "with" and single != "id"):
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[token]:
                 out.append(stack.pop())
             stack.append(token)
             operand_next = True
-        elif token == ")":
-            if "(" not in stack:
-                break
+        elif token == ")" and opened:
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            opened, single = opened - 1, ""
         else:
             break
         at = m.end()
-    whole = whole and not operand_next and "(" not in stack
-    if operand_next and stack:  # an operator without its right side
+    whole = not operand_next and not opened and _NOTHING_ELSE.match(source, at) is not None
+    if operand_next:  # operators without their right side
         while stack and stack[-1] in PRECEDENCE:
             stack.pop()
-            whole = False
     out += [x for x in reversed(stack) if x != "("]
     return out, whole
 
 
 def evaluate(postfix: list[str], permissive: frozenset = PERMISSIVE) -> tuple[bool, list[str]]:
     """(allowed, the expression's licences in order; exceptions after WITH aren't licences)."""
-    stack: list[tuple[bool, list[str]]] = []
+    stack: list[bool] = []
+    named: list[str] = []
     for token in postfix:
-        if token in PRECEDENCE:
-            if len(stack) < 2:
-                return False, [i for _, ids in stack for i in ids]
-            (b, right), (a, left) = stack.pop(), stack.pop()
-            stack.append((a, left) if token == "with" else (a and b if token == "and" else a or b, left + right))
+        if token == "with":
+            named.pop()
+            stack.pop()
+        elif token in PRECEDENCE:
+            b, a = stack.pop(), stack.pop()
+            stack.append(a and b if token == "and" else a or b)
         else:
-            stack.append((family(token) in permissive, [token]))
-    return (len(stack) == 1 and stack[0][0]), [i for _, ids in stack for i in ids]
+            stack.append(token.removesuffix("+") in permissive)
+            named.append(token)
+    return len(stack) == 1 and stack[0], named
 
 
 def automaton():

@@ -45,10 +45,39 @@ def test_expressions():
     assert read("apache-2.0 with llvm-exception and mit") == (True, ["apache-2.0", "mit"])
     for broken in ("mit or", "(mit", "and mit", "", "or"):
         assert not licenses.to_postfix(broken)[1]
+    for left in ("mit proprietary", "mit)", "(mit or apache-2.0) with llvm-exception", "mit with a with b", "mit with (a)", "mit & x", "mit (x)"):
+        assert not licenses.to_postfix(left)[1], left
+    for good in ("mit */", "mit -->", "(mit)", 'mit"', "mit\t# ", "((mit) and isc)  "):
+        assert licenses.to_postfix(good)[1], good
+    for named, ok in {"cc-by-nc-nd-4.0": False, "cc-by-sa-4.0": False, "cc-by-4.0": True, "bsd-4-clause": False, "bsd-3-clause": True, "apache-2.0+": True, "mitnfa": False, "mit-0": True}.items():
+        assert read(named)[0] is ok, named
+    assert list(map(licenses.family, ("cc-by-nc-nd-4.0", "cc-by-4.0", "gpl-2.0-only", "mit-0", "agpl-3.0+", "bsd-3-clause", "mit"))) == ["cc-by-nc-nd", "cc-by", "gpl", "mit", "agpl", "bsd", "mit"]
+    many = " or ".join(["gpl-3.0-only"] * 20_000 + ["mit"])
+    assert read(many)[0] and len(read(many)[1]) == 20_001
     row = licenses.scan("// SPDX-License-Identifier: GPL-2.0-only OR MIT\nx", licenses.automaton())
     assert row["allowed"] and row["ids"] == "gpl-2.0-only,mit" and row["labels"] == "gpl,mit"
 
 
+def test_expressions_against_brute_force():
+    """Random whole expressions, evaluated as nested Python."""
+    draw = random.Random(9)
+    names = ["mit", "gpl-3.0-only", "apache-2.0", "bsd-4-clause", "isc+"]
+
+    def expression(depth):
+        if depth == 0 or draw.random() < 0.3:
+            name = draw.choice(names)
+            return (f"{name} with x-exception" if draw.random() < 0.2 else name), name.rstrip("+") in licenses.PERMISSIVE, [name], 3
+        op, rank = draw.choice([("and", 2), ("or", 1)])
+        (a, x, left, p), (b, y, right, r) = expression(depth - 1), expression(depth - 1)
+        a, b = (f"({a})" if p < rank or draw.random() < 0.1 and " with " not in a else a), (f"({b})" if r <= rank else b)
+        return f"{a} {op} {b}", (x and y) if op == "and" else (x or y), left + right, rank
+
+    for _ in range(500):
+        source, ok, named, _ = expression(draw.randint(0, 5))
+        postfix, whole = licenses.to_postfix(source)
+        assert whole and licenses.evaluate(postfix) == (ok, named), source
+
+
 def test_licences_of_odd_rows(odd, empty):
     rows = licenses.licences(odd).collect()
     assert len(rows) == 8 and {r.n_words for r in rows if r.doc_id in (1, 2, 3)} == {0}
