@@ -10,7 +10,9 @@ elements are shown, of math all but annotations, of object what it holds for tho
 
 Layout. Blocks start on lines of their own; paragraphs, headings, lists, tables and quotations stand between empty lines; br breaks
 a line; list items have "- " or their number and two more spaces for each level; pre keeps its spaces; table cells are aligned in columns,
-each padded to its column's width (PAD_MOST at most, so a wide cell doesn't widen a table's other rows without bound).
+each padded to its column's width; cells over several columns or rows keep these free in their other rows, and widen the last of their columns if
+they need more than all of them have. Lines of more than LINE_MOST characters in a cell that others follow are broken between words, so that a
+table's size is bounded by its rows; a word longer than that runs over its column.
 
 Edge cases. html null or empty: text empty. Broken markup: what looks like no tag is text. Repeated rows: each by itself. Null page_id: passed through.
 """
@@ -54,12 +56,15 @@ ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em e
 FOREIGN, HOLDS_HTML = frozenset({"svg", "math"}), frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 MATH_TOKENS = frozenset("mi mo mn ms mtext".split())
 SCOPE = frozenset("table td th caption html template button".split())
-PAD_MOST = 40
+#: The most that HTML lets a cell span, and a list's numbers.
+COLUMNS_MOST, ROWS_MOST, NUMBER_MOST = 1000, 65534, 2**31 - 1
+LINE_MOST = 1000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
+_NUMBER = re.compile(r"[\x20\t\n\f\r]*([+-]?[0-9]+)")
 _BLANK = re.compile(r"[\x20\t\n\r\f\v]+")
 
 
@@ -224,24 +229,83 @@ class Flow:
         return self.lines
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: cells (their lines, columns spanned) padded to their column's width; cells of several lines stand side by side."""
-    widths: dict[int, int] = {}
+def number(source: str | None, least: int, most: int, otherwise: int) -> int:
+    """An attribute's number, drawn into its range; otherwise where there is none."""
+    m = _NUMBER.match(source or "")
+    if not m:
+        return otherwise
+    digits = m[1].lstrip("+-0")
+    value = int(digits or 0) if len(digits) < 12 else most + 1
+    return max(least, min(most, -value if m[1][0] == "-" else value))
+
+
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Each row's cells (lines, columns, rows spanned; 0 rows: all that follow) as (first column, columns, lines)."""
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still fills
+    out = []
     for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), min(PAD_MOST, max(map(len, lines), default=0)))
+        at, own, down = 0, [], []
+        for lines, span, depth in row:
+            while at in taken:
+                at += 1
+            own.append((at, span, lines))
+            if depth != 1:
+                down += [(c, (depth or ROWS_MOST) - 1) for c in range(at, at + span)]
             at += span
+        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        taken.update((c, max(n, taken.get(c, 0))) for c, n in down)
+        out.append(own)
+    return out
+
+
+def broken(lines: list[str]) -> list[str]:
+    """Lines of LINE_MOST characters at most, broken between words."""
+    if all(len(x) <= LINE_MOST for x in lines):
+        return lines
+    out: list[str] = []
+    for line in lines:
+        while len(line) > LINE_MOST:
+            cut = line.rfind(" ", 1, LINE_MOST + 1)
+            if cut < 0:
+                cut = line.find(" ", LINE_MOST)
+            if cut < 0:
+                break
+            out.append(line[:cut].rstrip())
+            line = line[cut + 1 :].lstrip(" ")
+        out.append(line)
+    return out
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table: cells (their lines, columns and rows spanned) padded to their columns' width; cells of several lines stand side by side."""
+    table = [[(at, span, lines if k == len(row) - 1 else broken(lines)) for k, (at, span, lines) in enumerate(row)] for row in placed(rows)]
+    n = max((at + span for row in table for at, span, _ in row), default=0)
+    widths = [0] * n
+    spread = []
+    for row in table:
+        for k, (at, span, lines) in enumerate(row):
+            wide = max(map(len, lines), default=0)
+            if k == len(row) - 1 and wide > LINE_MOST:  # nothing follows it in its row
+                continue
+            wide = min(wide, LINE_MOST)
+            if span == 1:
+                widths[at] = max(widths[at], wide)
+            else:
+                spread.append((span, at, wide))
+    for span, at, wide in sorted(spread):
+        widths[at + span - 1] += max(0, wide - sum(widths[at : at + span]) - 2 * (span - 1))
+    starts = [0] * (n + 1)
+    for c, wide in enumerate(widths):
+        starts[c + 1] = starts[c] + wide + 2
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
-                width = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(width))
-                at += span
-            out.append("  ".join(parts).rstrip())
+    for row in table:
+        for k in range(max((len(lines) for *_, lines in row), default=0)):
+            line = ""
+            for at, _, lines in row:
+                if k < len(lines) and lines[k]:
+                    line = line + "  " if line and len(line) + 2 > starts[at] else line.ljust(starts[at])
+                    line += lines[k]
+            out.append(line.rstrip())
     return out
 
 
@@ -281,24 +345,25 @@ def render(page: str | None) -> dict:
             elif name == "table":
                 flow.end_line(True)
                 n["n_tables"] += 1
-                tables.append({"rows": [], "caption": Flow(), "outer": flow, "cell": False, "span": 1})
+                tables.append({"rows": [], "caption": Flow(), "outer": flow, "cell": False, "span": 1, "down": 1})
             elif name in ("td", "th") and tables and not tables[-1]["cell"]:
                 if not tables[-1]["rows"]:
                     tables[-1]["rows"].append([])
-                digits = found.get("colspan", "")
-                tables[-1] |= {"cell": True, "span": min(100, max(1, int(digits))) if digits.isdecimal() and len(digits) < 5 else 1}
+                tables[-1] |= {"cell": True, "span": number(found.get("colspan"), 1, COLUMNS_MOST, 1), "down": number(found.get("rowspan"), 0, ROWS_MOST, 1)}
                 flows.append(flow)
                 flow = Flow()
             elif name == "tr" and tables and not tables[-1]["cell"]:
                 tables[-1]["rows"].append([])
             elif name in ("ul", "ol", "menu", "dir"):
                 flow.end_line(not lists)
-                lists.append([name, int(found["start"]) if found.get("start", "").isdecimal() and len(found["start"]) < 9 else 1])
+                lists.append([name, number(found.get("start"), -NUMBER_MOST, NUMBER_MOST, 1)])
                 if len(lists) > 1:
                     flow.indent.append("  ")
             elif name == "li":
                 flow.end_line()
                 n["n_items"] += 1
+                if lists and lists[-1][0] == "ol":
+                    lists[-1][1] = number(found.get("value"), -NUMBER_MOST, NUMBER_MOST, lists[-1][1])
                 flow.marker = f"{lists[-1][1]}. " if lists and lists[-1][0] == "ol" else "- "
                 if lists:
                     lists[-1][1] += 1
@@ -331,7 +396,7 @@ def render(page: str | None) -> dict:
             flow.block(aligned(made["rows"]))
             flow.end_line(True)
         elif name in ("td", "th") and tables and tables[-1]["cell"]:
-            tables[-1]["rows"][-1].append((flow.done(), tables[-1]["span"]))
+            tables[-1]["rows"][-1].append((flow.done(), tables[-1]["span"], tables[-1]["down"]))
             tables[-1]["cell"] = False
             flow = flows.pop()
         elif name in ("ul", "ol", "menu", "dir"):

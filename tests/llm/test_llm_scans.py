@@ -98,6 +98,111 @@ def test_html_layout():
     assert r("</p></li></b>x</div>") == "x"
 
 
+def test_wide_and_spanning_cells():
+    r = lambda s: html.render(s)["text"].split("\n")
+    wide = "w" * 60 + " " + "v" * 30
+    assert r(f"<table><tr><td>{wide}<td>1<tr><td>a<td>2</table>") == [f"{wide}  1", "a".ljust(91) + "  2"]
+    assert r("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == ["a  b", "   c", "d  e"]
+    assert r("<table><tr><td colspan=2>a wide one<td>b<tr><td>c<td>d<td>e</table>") == ["a wide one  b", "c  d        e"]
+    assert r("<table><tr><td colspan=12345>a<tr><td>b<td rowspan=0>c<tr><td>d<td>e</table>") == ["a", "b  c", "d     e"]
+    assert r("<ol start=1234567890><li>a<li value=7>b<li>c</ol>") == ["1234567890. a", "7. b", "8. c"]
+    assert r("<ol start=-1><li>a<li>b</ol>") == ["-1. a", "0. b"] and r("<ol start=x><li>a</ol>") == ["1. a"]
+    many = " ".join(f"w{i}" for i in range(1000))
+    lines = r(f"<table><tr><td>{many}<td>x<tr><td>y<td>z</table>")
+    assert " ".join(lines).split()[:4] == ["w0", "w1", "w2", "w3"] and sorted(" ".join(lines).split()) == sorted([*many.split(), "x", "y", "z"])
+    assert max(map(len, lines)) <= html.LINE_MOST + 3 and lines[-1].index("z") == lines[0].index("x")
+    assert r(f"<table><tr><td>{'q' * 3000}<td>x<tr><td>y<td>z</table>")[0] == "q" * 3000 + "  x" and r(f"<table><tr><td>{many}</table>") == [many]
+
+
+def test_tables_against_brute_force():
+    """Random tables with spans: every cell starts at its column's place, and columns are as narrow as their cells allow."""
+    draw = random.Random(11)
+    for _ in range(200):
+        n_rows, n_columns = draw.randint(1, 5), draw.randint(1, 5)
+        grid: list[list] = [[None] * n_columns for _ in range(n_rows)]
+        cells = []
+        for i in range(n_rows):
+            for j in range(n_columns):
+                if grid[i][j] is not None:
+                    continue
+                across, down = draw.choice([1, 1, 1, 2]), draw.choice([1, 1, 1, 2])
+                while j + across > n_columns or any(grid[i][j + k] is not None for k in range(across)):
+                    across -= 1
+                down = min(down, n_rows - i)
+                name = f"c{i}{j}" + "x" * draw.randint(0, 9)
+                cells.append((i, j, across, down, name))
+                for a in range(i, i + down):
+                    for b in range(j, j + across):
+                        grid[a][b] = name
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={x} rowspan={y}>{t}" for k, _, x, y, t in cells if k == i) for i in range(n_rows)) + "</table>"
+        starts = [0]
+        for j in range(n_columns):  # a column's end is what the cells that end there ask for, narrow ones first
+            single = max((len(t) for _, b, x, _, t in cells if b == j and x == 1), default=0)
+            spread = max((len(t) - (starts[j] - starts[b]) for _, b, x, _, t in cells if x > 1 and b + x - 1 == j), default=0)
+            starts.append(starts[j] + max(single, spread) + 2)
+        lines = []
+        for i in range(n_rows):
+            line = ""
+            for k, j, _, _, t in sorted(cells):
+                line = line + " " * (starts[j] - len(line)) + t if k == i else line
+            lines += [line] if line else []
+        assert html.render(page)["text"] == "\n".join(lines), page
+
+
+def test_blocks_and_lists_against_brute_force():
+    """Random trees of blocks and lists, drawn by a recursion of its own."""
+    draw = random.Random(12)
+    count = iter(range(10**6))
+
+    def tree(depth):
+        kind = draw.choice(["p", "div", "h2", "ul", "ol", "text"] if depth else ["p", "text"])
+        if kind in ("p", "h2", "text"):
+            return kind, f"w{next(count)}" + (f" v{next(count)}" if draw.random() < 0.5 else "")
+        if kind == "div":
+            return kind, [tree(depth - 1) for _ in range(draw.randint(1, 3))]
+        return kind, [(f"w{next(count)}", tree(depth - 1) if depth > 1 and draw.random() < 0.4 else None) for _ in range(draw.randint(1, 3))]
+
+    def page(node):
+        kind, held = node
+        if kind == "text":
+            return f"<div>{held}</div>"
+        if kind in ("p", "h2"):
+            return f"<{kind}>{held}</{kind}>"
+        if kind == "div":
+            return "<div>\n" + " ".join(map(page, held)) + "</div>"
+        return f"<{kind}>" + "".join(f"<li>{t}{page(inner) if inner and inner[0] in ('ul', 'ol') else ''}" for t, inner in held) + f"</{kind}>"
+
+    def lines(node, indent="", top=True):
+        """(line, whether an empty line must stand before or after it) rows."""
+        kind, held = node
+        if kind == "text":
+            return [(indent + held, False, False)]
+        if kind in ("p", "h2"):
+            return [(indent + held, True, True)]
+        if kind == "div":
+            return [x for y in held for x in lines(y, indent)]
+        out = []
+        for i, (t, inner) in enumerate(held, 1):
+            mark = "- " if kind == "ul" else f"{i}. "
+            out.append((indent + mark + t, False, False))
+            if inner and inner[0] in ("ul", "ol"):
+                out += lines(inner, indent + " " * len(mark) + "  ", False)
+        if top:
+            out[0] = (out[0][0], True, out[0][2])
+            out[-1] = (out[-1][0], out[-1][1], True)
+        return out
+
+    for _ in range(300):
+        node = ("div", [tree(3) for _ in range(3)])
+        text, after = [], False
+        for line, before, gap in lines(node):
+            if text and (before or after):
+                text.append("")
+            text.append(line)
+            after = gap
+        assert html.render(page(node))["text"] == "\n".join(text), page(node)
+
+
 def test_html_without_end_of_head():
     r = lambda s: html.render(s)["text"]
     assert r("<head><title>T</title><h1>Hi</h1><p>text") == "Hi\n\ntext"
