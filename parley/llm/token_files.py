@@ -8,8 +8,12 @@ its place in a level's array belongs there, the others go on to the next level),
 key, its first document and its number of documents. A look-up takes the shard by bisection of the manifest's first keys, one slot, one comparison of fingerprints
 (a foreign key passes with probability 2**-32, and is then told by the stored key) and one read of the ids.
 
-Order. Shards ascend by key and so do documents in them; rows with one key stand together, ordered by a hash of the text. Null keys come first. A key with
-more than a shard's rows is spread over several shards.
+Order. Shards ascend by key and so do documents in them; a key's rows stand together, within a shard by a hash of their ids. Null keys come first. A key with
+more than a shard's rows is dealt over several shards row by row, whatever its texts. Keys may be whole numbers, strings, dates, decimals, binary
+or boolean (KEY_TYPES); others raise TypeError and are to be cast.
+
+Size. A shard has about `shard_rows` rows at every size of the table, so the manifest has a line for each; ids go to the file as they come, and a task holds
+no more than its shard's keys and offsets. The driver draws some KEYS_A_SHARD keys for each shard to place the shards' bounds; all rows are written.
 
 Encoding. Texts are split as the tokenizer itself splits them before merging and each distinct piece goes through the tokenizers library once
 while a worker remembers it; a text with a special token's string, or with numbers that re doesn't know as such, goes through it whole. Both give the ids of encode(text, add_special_tokens=False).
@@ -22,6 +26,8 @@ Edge cases. Text null or empty: the end id alone. Repeated rows and keys: each r
 from __future__ import annotations
 
 import bisect
+import datetime
+import decimal
 import io
 import json
 import re
@@ -38,9 +44,10 @@ from .common import by_batch, file_system, fresh_dir, once_a_process, pieces, sh
 from .near_copies import mix
 
 END_ID = 2
-SHARD_ROWS, MOST_SHARDS, KEYS_A_SHARD = 2048, 50_000, 20
+SHARD_ROWS, KEYS_A_SHARD = 16_384, 20
 #: Bounds of the encoder's memory: characters split at a time, distinct pieces remembered.
 PART_CHARS, PIECES_KEPT = 500_000, 300_000
+READ_BYTES = 8 << 20
 GAMMA, LEVELS = 1.6, 40
 _U = np.uint64
 
@@ -109,7 +116,7 @@ def index_bytes(keys: list, offsets: np.ndarray) -> bytes:
     prints[slots] = fingerprints(values)
     arrays = {"offsets": offsets.astype(np.uint64), "first": first, "count": count, "prints": prints, "rest": perfect.rest, "sizes": np.array([s for s, _, _ in perfect.levels], np.int64)}
     arrays |= {f"bits{i}": w for i, (_, w, _) in enumerate(perfect.levels)} | {f"before{i}": b.astype(np.uint32) for i, (_, _, b) in enumerate(perfect.levels)}
-    arrays["keys"] = np.frombuffer(json.dumps(keys).encode(), np.uint8)
+    arrays["keys"] = np.frombuffer(json.dumps(list(map(plain, keys))).encode(), np.uint8)
     out = io.BytesIO()
     np.savez(out, **arrays)
     return out.getvalue()
@@ -123,7 +130,7 @@ class Index:
     def __init__(self, data: bytes):
         got = dict(np.load(io.BytesIO(data)))
         self.offsets, self.first, self.count, self.prints = (got[k] for k in ("offsets", "first", "count", "prints"))
-        self.keys = json.loads(got["keys"].tobytes())
+        self.keys = list(map(typed, json.loads(got["keys"].tobytes())))
         self.perfect = PerfectHash([(int(s), got[f"bits{i}"], got[f"before{i}"].astype(np.int64)) for i, s in enumerate(got["sizes"])], got["rest"])
 
     def documents(self, keys: list) -> list[range]:
@@ -141,7 +148,7 @@ class TokenFiles:
         self.fs, self.path = file_system(folder)
         self.manifest = json.loads(self._read("manifest.json"))
         self.type = np.dtype(f"<u{self.manifest['width']}")
-        self._starts = [sort_key(s["first_key"]) for s in self.manifest["shards"]]
+        self._starts = [sort_key(typed(s["first_key"])) for s in self.manifest["shards"]]
         self._indexes: dict[int, Index] = {}
 
     def _read(self, name: str, start: int = 0, length: int | None = None) -> bytes:
@@ -172,6 +179,26 @@ def sort_key(key) -> tuple:
     return key is not None, key if key is not None else 0
 
 
+def plain(key):
+    """A key as JSON holds it: types that JSON lacks by name and text."""
+    for kind, name in _KINDS.items():
+        if type(key) is kind:
+            return {name: key.hex() if kind is bytes else str(key) if kind is decimal.Decimal else key.isoformat()}
+    return key
+
+
+def typed(key):
+    """plain() undone."""
+    if not isinstance(key, dict):
+        return key
+    ((name, text),) = key.items()
+    return {"bytes": bytes.fromhex, "decimal": decimal.Decimal, "date": datetime.date.fromisoformat}[name](text)
+
+
+_KINDS = {bytes: "bytes", decimal.Decimal: "decimal", datetime.date: "date"}
+KEY_TYPES = ("tinyint", "smallint", "int", "bigint", "string", "date", "decimal", "binary", "boolean")
+
+
 # Fixed value: Unicode white space.
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # Fixed value: how a byte-level tokenizer splits texts before merging. Letters and numbers are those of re, which differ from Unicode's in the numbers of Nl and No alone.
@@ -247,33 +274,36 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     width = 2 if Tokenizer.from_str(tokenizer_json).get_vocab_size(with_added_tokens=True) <= 65_536 else 4
     source, name = ship(spark, tokenizer_json), zlib.crc32(tokenizer_json.encode())
     total = docs.count()
-    shard_rows = max(shard_rows, -(-total // MOST_SHARDS))
     n_shards = -(-total // shard_rows)
-    # keys with more rows than a shard: total / shard_rows of them at most
-    hot = {r["k"]: -(-r["count"] // shard_rows) for r in docs.groupBy(F.col(id_col).alias("k")).count().where(F.col("count") > shard_rows).collect()}
-    part = F.lit(0)
-    for key, n in hot.items():
-        part = F.when(F.col(id_col).eqNullSafe(F.lit(key)), F.pmod(F.xxhash64(F.col(text_col)), F.lit(n))).otherwise(part)
-    keyed = docs.select(F.col(id_col).alias("key"), part.cast("int").alias("part"), F.col(text_col).alias("_text"))
-    # KEYS_A_SHARD keys for each shard, MOST_SHARDS shards at most
-    step = max(1, shard_rows // KEYS_A_SHARD)
-    drawn = sorted(((*sort_key(r["key"]), r["part"]) for r in keyed.where(F.pmod(F.xxhash64("key", "part"), F.lit(step)) == 0).select("key", "part").collect()))
-    bounds = sorted(set(drawn[:: max(1, len(drawn) // n_shards)])) if n_shards > 1 else []
-    bounds = sorted({*bounds, *((*sort_key(k), p) for k, n in hot.items() for p in range(n))})
+    keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("_text"))
+    key_type = dict(keyed.dtypes)["key"]
+    if key_type.partition("(")[0] not in KEY_TYPES:
+        raise TypeError(f"keys of type {key_type} have no place in token files: cast them")
+    # keys with more rows than a shard: fewer than there are shards
+    hot = {r["key"]: -(-r["count"] // shard_rows) for r in keyed.groupBy("key").count().where(F.col("count") > shard_rows).collect()}
+    if hot:
+        parts = spark.createDataFrame(list(hot.items()), f"_hot {key_type}, parts long")
+        keyed = keyed.join(F.broadcast(parts), F.col("key").eqNullSafe(F.col("_hot")), "left")
+        keyed = keyed.withColumn("part", F.coalesce(F.pmod(F.monotonically_increasing_id(), "parts"), F.lit(0)).cast("int")).drop("_hot", "parts")
+    else:
+        keyed = keyed.withColumn("part", F.lit(0))
+    drawn = docs.select(F.col(id_col).alias("key")).where(F.rand(7) * shard_rows < KEYS_A_SHARD) if n_shards > 1 else keyed.limit(0)
+    drawn = sorted((*sort_key(r["key"]), 0) for r in drawn.select("key").collect())
+    bounds = sorted({*drawn[:: max(1, len(drawn) // max(1, n_shards))], *((*sort_key(k), p) for k, n in hot.items() for p in range(n))})
+    places = _numbers_of_partitions(spark, len(bounds) + 1)
 
     def encode():
         encoder = once_a_process(f"encoder-{name}-{width}", lambda: Encoder(source(), width))
 
         def do(columns):
             shard = [bisect.bisect_right(bounds, (*sort_key(k), p)) for k, p in zip(columns["key"], columns["part"], strict=True)]
-            return {"shard": shard, "key": columns["key"], "ids": encoder(columns["_text"])}
+            return {"place": [places[x] for x in shard], "shard": shard, "key": columns["key"], "ids": encoder(columns["_text"])}
 
         return do
 
-    key_type = dict(keyed.dtypes)["key"]
-    rows = by_batch(keyed, encode, f"shard int, key {key_type}, ids binary")
-    placed = rows.repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", "key", F.xxhash64("ids"))
-    written = placed.mapInArrow(lambda batches: _write_shards(batches, folder, width), "shard int, file string, n_docs long, n_ids long, first_key string").collect()
+    rows = by_batch(keyed, encode, f"place int, shard int, key {key_type}, ids binary")
+    dealt = rows.repartition(len(places), "place").sortWithinPartitions("shard", "key", F.xxhash64("ids")).select("shard", "key", "ids")
+    written = dealt.mapInArrow(lambda batches: _write_shards(batches, folder, width), "shard int, file string, n_docs long, n_ids long, first_key string").collect()
     before, shards = 0, []
     for r in sorted(written, key=lambda r: r["shard"]):
         shards.append({"file": r["file"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "before": before, "first_key": json.loads(r["first_key"])})
@@ -283,37 +313,54 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     return folder
 
 
+def _numbers_of_partitions(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that hash partitioning puts there, so that each shard has a task of its own."""
+    numbers = spark.range(40 * n + 100).select(F.col("id").cast("int").alias("i")).select("i", F.pmod(F.hash("i"), F.lit(n)).alias("p"))
+    found = {r["p"]: r["i"] for r in numbers.groupBy("p").agg(F.min("i").alias("i")).collect()}
+    return [found.get(p, p) for p in range(n)]
+
+
+class _Shard:
+    """One shard being written: ids go to the file as they come."""
+
+    def __init__(self, number: int, folder: str, width: int):
+        self.fs, self.path = file_system(folder)
+        self.number, self.width, self.name = number, width, f"shard-{number:06d}"
+        self.keys, self.sizes = [], [0]
+        self.own = f"{self.path}/{self.name}.ids.{uuid.uuid4().hex}.part"
+        self.file = self.fs.open_output_stream(self.own)
+
+    def add(self, key, ids: bytes) -> None:
+        self.keys.append(key)
+        self.sizes.append(len(ids) // self.width)
+        self.file.write(ids)
+
+    def finished(self) -> dict:
+        self.file.close()
+        self.fs.move(self.own, f"{self.path}/{self.name}.ids")
+        offsets = np.cumsum(self.sizes)
+        index = f"{self.path}/{self.name}.index.{uuid.uuid4().hex}.part"
+        with self.fs.open_output_stream(index) as f:
+            f.write(index_bytes(self.keys, offsets))
+        self.fs.move(index, f"{self.path}/{self.name}.index")
+        return {"shard": self.number, "file": self.name, "n_docs": len(self.keys), "n_ids": int(offsets[-1]), "first_key": json.dumps(plain(self.keys[0]))}
+
+
 def _write_shards(batches: Iterator, folder: str, width: int) -> Iterator:
     import pyarrow as pa
 
-    fs, path = file_system(folder)
-    shard, keys, ids = None, [], []
-
-    def put(name: str, data: list[bytes]) -> None:
-        own = f"{path}/{name}.{uuid.uuid4().hex}.part"
-        with fs.open_output_stream(own) as f:
-            for x in data:
-                f.write(x)
-        fs.move(own, f"{path}/{name}")
-
-    def finished():
-        name = f"shard-{shard:06d}"
-        offsets = np.concatenate([[0], np.cumsum([len(x) // width for x in ids])])
-        put(name + ".ids", ids)
-        put(name + ".index", [index_bytes(keys, offsets)])
-        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": [len(keys)], "n_ids": [int(offsets[-1])], "first_key": [json.dumps(keys[0])]})
-
+    schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.string())])
+    shard = None
     for batch in batches:
         for part in pieces(batch):
-            for s, k, x in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                if s != shard and keys:
-                    yield finished()
-                    keys, ids = [], []
-                shard = s
-                keys.append(k)
-                ids.append(x)
-    if keys:
-        yield finished()
+            for number, key, ids in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                if shard is None or number != shard.number:
+                    if shard is not None:
+                        yield pa.RecordBatch.from_pylist([shard.finished()], schema)
+                    shard = _Shard(number, folder, width)
+                shard.add(key, ids)
+    if shard is not None:
+        yield pa.RecordBatch.from_pylist([shard.finished()], schema)
 
 
 def read_token_files(spark: SparkSession, folder: str, key_type: str = "long") -> DataFrame:
@@ -331,14 +378,19 @@ def read_token_files(spark: SparkSession, folder: str, key_type: str = "long") -
             for name, before in zip(columns["file"], columns["before"], strict=True):
                 with own.open_input_file(f"{at}/{name}.index") as f:
                     index = Index(f.read())
-                with own.open_input_file(f"{at}/{name}.ids") as f:
-                    ids = np.frombuffer(f.read(), f"<u{width}")
                 distinct = list(dict.fromkeys(index.keys))
-                for key, places in zip(distinct, index.documents(distinct), strict=True):
-                    for i in places:
-                        a, b = int(index.offsets[i]), int(index.offsets[i + 1])
-                        for k, v in zip(out, (key, before + a, b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes())), strict=True):
-                            out[k].append(v)
+                with own.open_input_file(f"{at}/{name}.ids") as f:
+                    held, first = b"", 0  # bytes of the file from its first on
+                    for key, places in zip(distinct, index.documents(distinct), strict=True):
+                        for i in places:
+                            a, b = int(index.offsets[i]), int(index.offsets[i + 1])
+                            if b * width > first + len(held):
+                                first = a * width
+                                f.seek(first)
+                                held = f.read(max(READ_BYTES, (b - a) * width))
+                            ids = np.frombuffer(held, f"<u{width}", b - a, a * width - first)
+                            for k, v in zip(out, (key, before + a, b - a, zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
+                                out[k].append(v)
             return out
 
         return do

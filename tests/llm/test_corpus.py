@@ -58,10 +58,32 @@ def test_repeated_and_null_keys(spark, odd, empty):
     assert len(files.get(7)) == 50 and max(s["n_docs"] for s in files.manifest["shards"]) < 30
     rows = token_files.read_token_files(spark, folder).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [1] + [7] * 50 + [9] and all(a.start + a.n_tokens == b.start for a, b in itertools.pairwise(rows))
+    same = spark.createDataFrame([(7, "the same")] * 500 + [(1, "a"), (9, "b")], "doc_id long, text string")
+    folder = token_files.write_token_files(same, TOKENIZER, shard_rows=10)
+    files = token_files.TokenFiles(folder)
+    assert len(files.get(7)) == 500 and max(s["n_docs"] for s in files.manifest["shards"]) <= 20 and len(files.manifest["shards"]) >= 50
+    assert sum(token_files.read_token_files(spark, folder).toPandas().n_tokens) == 500 * len(encode("the same")) + len(encode("a")) + len(encode("b"))
     nothing = token_files.write_token_files(empty, TOKENIZER)
     assert token_files.read_token_files(spark, nothing).count() == 0 and token_files.TokenFiles(nothing).get(1) == []
 
 
+@pytest.mark.parametrize("kind", ["date", "decimal(12,2)", "binary", "string", "int", "boolean"])
+def test_keys_of_other_types(spark, kind):
+    made = {"date": "date_add(date'2020-01-01', int(id))", "binary": "unhex(lpad(hex(id), 4, '0'))", "boolean": "id % 2 = 0"}.get(kind, f"cast(id as {kind})")
+    rows = spark.range(200).selectExpr(f"{made} AS doc_id", "concat('text ', id) AS text")
+    folder = token_files.write_token_files(rows.unionByName(rows.limit(0).selectExpr("doc_id", "text")), TOKENIZER, shard_rows=20)
+    files, encode = token_files.TokenFiles(folder), encoder()
+    held = rows.collect()
+    for r in held[::17]:
+        key = bytes(r.doc_id) if kind == "binary" else r.doc_id
+        assert sorted(x.tolist() for x in files.get(key)) == sorted(encode(o.text) for o in held if o.doc_id == r.doc_id)
+    read = token_files.read_token_files(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in read] == sorted(r.doc_id for r in held)
+    assert len(files.manifest["shards"]) >= (2 if kind == "boolean" else 8)
+    with pytest.raises(TypeError):
+        token_files.write_token_files(rows.selectExpr("now() AS doc_id", "text"), TOKENIZER)
+
+
 def test_encoder_is_exact():
     draw = random.Random(8)
     letters = "ab  Z's'll\t\n\r\x1c\x85 ²½Ⅷ٣é漢_-!０　̈'reİſ"
