@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import saved, shared_dir
+
 #: Words of the near-duplicate, leak, quality, packing and classifier operators: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,26 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests (where it is unset) one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="parley-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage ends there and a lost executor costs nothing."""
-    path = fresh_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def by_batch(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Arrow batches through a Python function. make() runs once in each task and returns the function of columns to columns."""
 
@@ -100,11 +85,13 @@ def ship(spark: SparkSession, value) -> Callable:
     return lambda: pickle.loads(sent.value)
 
 
-def once_a_process(key: str, make: Callable):
-    """make()'s value, kept as long as the Python worker lives, since workers run many tasks. (Functions that go by value have new globals in every task.)"""
+def once_a_process(slot: str, make: Callable, tag: str = ""):
+    """make()'s value, kept as long as the Python worker lives, since workers run many tasks; a slot holds one value, that of the last tag.
+    (Functions that go by value have new globals in every task.)"""
     import sys
 
     kept = sys.__dict__.setdefault("_parley_kept", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if slot not in kept or kept[slot][0] != tag:
+        kept.pop(slot, None)
+        kept[slot] = tag, make()
+    return kept[slot][1]

@@ -8,7 +8,8 @@ segment with the best score (a match counts MATCH, a difference DIFFER) is the o
 or LEAST_SHARE of the item's tokens, and its identity is LEAST_IDENTITY or more.
 
 The test tokens go to all executors in blocks of about BLOCK_TOKENS tokens, each block in a pass of its own over the training texts: one pass for usual
-benchmarks, more for larger ones, never more memory.
+benchmarks, more for larger ones. A Python worker holds one block's index at a time, made once and not in every task; hits are taken HITS_AT_ONCE at
+a time, so a seed that repeats in test and training texts costs time but no memory. Blocks' broadcasts (8 bytes a test token) live until the session drops them.
 
 Result: one row for each document and item with a leak: its best overlap (most matches, then the earliest place), in words of the document.
 Edge cases. Null texts, and texts with fewer words than the shortest mask, are never hit and hit nothing. Repeated rows or ids: a row for each
@@ -17,18 +18,20 @@ input row pair. Empty tables: no rows. The id columns may have any type.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, ship
+from .common import by_batch, once_a_process, ship
 from .licenses import WORD_BREAKS
 
 #: The masks, each with seven places that count.
 MASKS = ("1111111", "110110111", "11101001011", "1101100010111")
 MATCH, DIFFER = 1, 3
 LEAST_TOKENS, LEAST_SHARE, LEAST_IDENTITY = 12, 0.7, 0.75
-BLOCK_TOKENS, TABLE_BITS = 2_000_000, 24
+BLOCK_TOKENS, TABLE_BITS, HITS_AT_ONCE = 2_000_000, 24, 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(16)], np.uint64) | np.uint64(1)
 
 
@@ -60,6 +63,15 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return total * _MIX[11]
 
 
+def _distinct(item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Distinct rows (item, shift), ascending."""
+    order = np.lexsort((shift, item))
+    item, shift = item[order], shift[order]
+    first = np.ones(len(item), bool)
+    first[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
+    return np.stack([item[first], shift[first]], 1).astype(np.int64)
+
+
 class Index:
     """Test places by the hash under each mask."""
 
@@ -78,17 +90,24 @@ class Index:
             self.tables.append((every[order], item[order], place[order], seen))
 
     def hits(self, tokens: np.ndarray) -> np.ndarray:
-        """Distinct (item, diagonal + the item's length) rows; tokens of one text, or of several in a row."""
+        """Distinct (item, diagonal) rows, ascending; tokens of one text, or of several in a row."""
         found = []
         for mask, (keys, item, place, seen) in zip(self.masks, self.tables, strict=True):
             h = seed_hashes(tokens, mask)
             slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
             at = np.flatnonzero(seen[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
             low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-            n = high - low
-            which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append(np.stack([item[which], np.repeat(at, n) - place[which]], 1))
-        return np.unique(np.concatenate(found), axis=0)
+            n, a = high - low, 0
+            reached = np.cumsum(n)
+            while a < len(n):  # a training place at least, and HITS_AT_ONCE hits or those of one place
+                b = max(a + 1, int(np.searchsorted(reached, (reached[a - 1] if a else 0) + HITS_AT_ONCE, "right")))
+                own = n[a:b]
+                which = np.repeat(low[a:b] - np.cumsum(own) + own, own) + np.arange(own.sum())
+                found.append(_distinct(item[which], np.repeat(at[a:b], own) - place[which]))
+                if len(found) > 8:
+                    found = [_distinct(*np.concatenate(found).T)]
+                a = b
+        return _distinct(*np.concatenate(found).T) if found else np.zeros((0, 2), np.int64)
 
     def overlap(self, tokens: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
         """(matches, first, last + 1) of the best segment along a diagonal, in the text's tokens; None if it's no leak."""
@@ -123,17 +142,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, item_id {dict(items.dtypes)[item_id]}, n_matched long, n_item long, first_word long, last_word long, identity double"
     parts = []
     for ids, tokens in _blocks(items, item_text, item_id, block_tokens):
-        shipped = ship(docs.sparkSession, (ids, tokens))  # 8 bytes a token of the block
-        parts.append(by_batch(texts, lambda shipped=shipped: _scanner(shipped), schema))
+        shipped, name = ship(docs.sparkSession, (ids, tokens)), uuid.uuid4().hex  # 8 bytes a token of the block
+        parts.append(by_batch(texts, lambda shipped=shipped, name=name: _scanner(shipped, name), schema))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _scanner(shipped):
-    ids, items = shipped()
-    index, words = Index(items), Tokens()
+def _scanner(shipped, name: str):
+    ids, items, index = _held(shipped, name)
+    words = once_a_process("leak-words", Tokens)
 
     def do(columns):
         out = {k: [] for k in ("doc_id", "item_id", "n_matched", "n_item", "first_word", "last_word", "identity")}
@@ -147,6 +166,16 @@ def _scanner(shipped):
     return do
 
 
+def _held(shipped, name: str) -> tuple:
+    """A block's ids, tokens and index, made once in a Python worker."""
+
+    def make():
+        ids, items = shipped()
+        return ids, items, Index(items)
+
+    return once_a_process("leak-block", make, name)
+
+
 def leaks_of(index: Index, texts: list[np.ndarray]) -> list[dict[int, tuple[int, int, int]]]:
     """For each text: item -> its best overlap."""
     found: list[dict] = [{} for _ in texts]
@@ -157,6 +186,8 @@ def leaks_of(index: Index, texts: list[np.ndarray]) -> list[dict[int, tuple[int,
         for i in range(first, len(texts)):
             if starts[i] >= shift + len(index.items[item]):
                 break
+            if item in found[i] and found[i][item][0] == len(index.items[item]):
+                continue  # a whole item further to the left; diagonals ascend
             own = index.overlap(texts[i], item, shift - int(starts[i]))
             if own and (item not in found[i] or (-own[0], own[1]) < (-found[i][item][0], found[i][item][1])):
                 found[i][item] = own
@@ -168,10 +199,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     columns = [c for c, _ in docs.dtypes]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     for ids, tokens in _blocks(items, item_text, item_id, block_tokens):
-        shipped = ship(docs.sparkSession, (ids, tokens))
+        shipped, name = ship(docs.sparkSession, (ids, tokens)), uuid.uuid4().hex
 
-        def make(shipped=shipped):
-            index, words = Index(shipped()[1]), Tokens()
+        def make(shipped=shipped, name=name):
+            index, words = _held(shipped, name)[2], once_a_process("leak-words", Tokens)
 
             def do(got):
                 clean = [not x for x in leaks_of(index, [words.of(t) for t in got[text_col]])]

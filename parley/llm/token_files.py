@@ -293,7 +293,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     places = _numbers_of_partitions(spark, len(bounds) + 1)
 
     def encode():
-        encoder = once_a_process(f"encoder-{name}-{width}", lambda: Encoder(source(), width))
+        encoder = once_a_process("encoder", lambda: Encoder(source(), width), f"{name}-{width}")
 
         def do(columns):
             shard = [bisect.bisect_right(bounds, (*sort_key(k), p)) for k, p in zip(columns["key"], columns["part"], strict=True)]

@@ -306,13 +306,64 @@ def words_of(text):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
 
 
-def test_leaks(spark, sf_dir, texts):
+def brute_leaks(text, item):
+    """(matches, first, last + 1) of the best overlap on any diagonal with a seed, place by place; None without a leak."""
+    best = None
+    for shift in range(-len(item), len(text)):
+        places = [k for k in range(len(item)) if 0 <= shift + k < len(text)]
+        same = {k for k in places if text[shift + k] == item[k]}
+        if not any(all(k + j in same for j, c in enumerate(mask) if c == "1") and k + len(mask) <= len(item) and 0 <= shift + k and shift + k + len(mask) <= len(text) for mask in leaks.MASKS for k in places):
+            continue
+        score = low = begin = at = 0
+        top, segment = 0, (0, 0)
+        for n, k in enumerate(places, 1):
+            score += leaks.MATCH if k in same else -leaks.DIFFER
+            if score <= low:
+                low, begin = score, n
+            if score - low > top:
+                top, segment = score - low, (begin, n)
+        a, b = segment
+        matched = sum(places[i] in same for i in range(a, b))
+        if top and matched >= min(leaks.LEAST_TOKENS, leaks.LEAST_SHARE * len(item)) and matched >= leaks.LEAST_IDENTITY * (b - a):
+            own = (matched, shift + places[a], shift + places[b - 1] + 1)
+            best = own if best is None or (-own[0], own[1]) < (-best[0], best[1]) else best
+    return best
+
+
+def test_leaks_against_brute_force(spark, sf_dir, texts):
+    """The whole result; pairs without seven equal words in any order can't leak and are left out of the slow version."""
     items = {r.item_id: words_of(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
-    whole = {(d, i) for d, t in texts.items() for i, w in items.items() if f" {' '.join(w)} " in f" {' '.join(words_of(t))} "}
-    got = {(r.doc_id, r.item_id): r for r in leaks.op6(spark, sf_dir).collect()}
-    assert whole <= set(got)
-    for (d, i), r in got.items():
-        assert r.n_matched >= min(leaks.LEAST_TOKENS, leaks.LEAST_SHARE * len(items[i])) and len(set(words_of(texts[d])) & set(items[i])) > 5
+    expected = {}
+    for d, t in texts.items():
+        words = words_of(t)
+        held = set(words)
+        for i, item in items.items():
+            if sum(w in held for w in item) >= 7 and len({(a, b) for a, b in zip(item, item[1:], strict=False)} & set(zip(words, words[1:], strict=False))) >= 2:
+                found = brute_leaks(words, item)
+                if found:
+                    expected[d, i] = found
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.first_word, r.last_word) for r in leaks.op6(spark, sf_dir).collect()}
+    assert got == expected and len(got) >= 3
+
+
+def test_repeated_seeds(monkeypatch):
+    """Small alphabets and very many equal seeds; hits in small parts give the same."""
+    draw = random.Random(3)
+    for n in range(60):
+        letters = "ab" if n % 2 else "abcdefgh"
+        items = [[draw.choice(letters) for _ in range(draw.randint(3, 20))] for _ in range(3)]
+        texts = [[draw.choice(letters) for _ in range(draw.randint(0, 60))] + items[n % 3] for _ in range(3)]
+        tokens = leaks.Tokens()
+        index = leaks.Index([tokens.of(" ".join(x)) for x in items])
+        arrays = [tokens.of(" ".join(x)) for x in texts]
+        expected = [{i: own for i, item in enumerate(items) if (own := brute_leaks(t, item))} for t in texts]
+        monkeypatch.setattr(leaks, "HITS_AT_ONCE", 1 << 20)
+        assert leaks.leaks_of(index, arrays) == expected
+        monkeypatch.setattr(leaks, "HITS_AT_ONCE", 5)
+        assert leaks.leaks_of(index, arrays) == expected
+    tokens = leaks.Tokens()
+    index = leaks.Index([tokens.of("word " * 300)])
+    assert leaks.leaks_of(index, [tokens.of("word " * 30_000)]) == [{0: (300, 0, 300)}]
 
 
 def test_substitutions_and_blocks(spark, odd, empty):
