@@ -4,11 +4,12 @@ Model. A window of WINDOW bytes (UTF-8, zero-padded) goes through filters over 2
 bytes is w tables of 256 values, the embedding and the convolution in one), a ReLU, the maximum over the window and a softmax.
 A text's prediction is the mean of its windows' log probabilities, weighted by their bytes.
 
-Learning. For each language about `sample` documents (expected number, by hash of doc_id) with up to WINDOWS_EACH windows each; so the
-training rows are bounded by languages * sample * WINDOWS_EACH windows of WINDOW bytes, whatever the table's size.
+Learning. For each language about `sample` documents (expected number, by hash of doc_id and text together, equal ones once) with up to
+WINDOWS_EACH windows each; 2 * sample * languages documents at most, so the training rows are bounded by 2 * languages * sample * WINDOWS_EACH
+windows of WINDOW bytes, whatever the table's size and however often ids or texts repeat.
 
-Edge cases. Text null, empty or without a letter: `und`, score 0. No labelled rows: `und` for all. lang null: never learned from.
-Null doc_id: in the hash like an empty id. Extra columns don't matter; repeated rows are each predicted by themselves.
+Edge cases. Text null, empty or without a letter (Unicode category L; numerals like ² or Ⅷ are none): `und`, score 0. No labelled rows: `und` for
+all. lang null: never learned from. Null doc_id: in the hash like an empty id. Extra columns don't matter; repeated rows are each predicted by themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from .common import by_batch
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 SAMPLE, WINDOWS_EACH, EPOCHS, BATCH, RATE, SEED = 600, 3, 6, 64, 0.01, 7
-HAS_LETTER = re.compile(r"[^\W\d_]").search
+_MAYBE_LETTER = re.compile(r"[^\W\d_]").finditer  # letters and numerals that aren't digits
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE_LETTER(text))
 
 
 class ByteNet:
@@ -111,7 +116,7 @@ AT_ONCE = 128
 
 
 def predict(net: ByteNet | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    known = [bool(net and t and HAS_LETTER(t)) for t in texts]
+    known = [bool(net and t and has_letter(t)) for t in texts]
     data = [t.encode("utf-8", "surrogatepass") for t, k in zip(texts, known, strict=True) if k]
     labels, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not data:
@@ -138,7 +143,7 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col
     if not counts:
         return None
     million = 1_000_000
-    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED)), F.lit(million))
+    drawn = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.lit(SEED)), F.lit(million))
     wanted = F.lit(False)
     for label, n in sorted(counts.items()):
         wanted = wanted | ((F.col(label_col) == label) & (drawn < min(million, -(-sample * million // n))))
@@ -154,7 +159,8 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col
 
         return do
 
-    rows = by_batch(known.where(wanted).select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text")), make, "label string, windows binary").collect()
+    rows = by_batch(known.where(wanted).select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text")), make, "label string, windows binary")
+    rows = rows.distinct().orderBy(F.xxhash64("label", "windows"), "label", "windows").limit(2 * sample * len(counts)).collect()
     rows.sort(key=lambda r: (r.label, bytes(r.windows)))  # the order of partitions doesn't matter
     labels = sorted(counts)
     x = np.concatenate([np.frombuffer(bytes(r.windows), np.uint8).reshape(-1, WINDOW) for r in rows])

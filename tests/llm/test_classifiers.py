@@ -25,6 +25,58 @@ def test_language_of_odd_rows(docs, odd, empty):
     assert language.fit(empty) is None and language.identify(empty, net).count() == 0
 
 
+def slow_prediction(net, text):
+    """A forward pass place by place in plain Python floats."""
+    data = text.encode("utf-8", "surrogatepass")
+    total = np.zeros(len(net.labels))
+    for a in range(0, len(data), language.WINDOW):
+        window = data[a : a + language.WINDOW]
+        padded = window + b"\0" * (language.WINDOW - len(window))
+        pooled = []
+        for w in language.WIDTHS:
+            best = np.zeros(net.filters)
+            for i in range(language.WINDOW - w + 1):
+                best = np.maximum(best, sum(net.tables[w][j][padded[i + j]].astype(float) for j in range(w)) + net.bias[w])
+            pooled.append(best)
+        z = np.concatenate(pooled) @ net.out + net.out_bias
+        total += len(window) * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+    p = np.exp(total / len(data) - (total / len(data)).max())
+    return net.labels[int(p.argmax())], p.max() / p.sum()
+
+
+def test_language_against_a_slow_network(spark, sf_dir, docs, texts):
+    """The query's rows are those of the fitted network, worked out place by place."""
+    net = language.fit(docs.where(~(language.id_crc("doc_id") % 4 == 2)))
+    rows = {r.doc_id: r for r in language.op9(spark, sf_dir).collect()}
+    for k in sorted(texts, key=lambda k: (len(texts[k] or ""), k))[:120:6]:
+        if not any(c.isalpha() for c in texts[k] or ""):
+            assert (rows[k].lang_pred, rows[k].score) == ("und", 0.0)
+            continue
+        label, score = slow_prediction(net, texts[k])
+        assert abs(rows[k].score - score) < 1e-3 and (rows[k].lang_pred == label or score < 0.51)
+
+
+def test_texts_without_letters(spark, docs):
+    net = language.fit(docs, sample=60)
+    texts = ["½²Ⅷ", "123 _ ٣", "Ⅷa", "漢", "é", "!", None, ""]
+    assert [x == "und" for x in language.predict(net, texts)[0]] == [True, True, False, False, False, True, True, True]
+
+
+def test_bounded_samples_of_repeated_ids(spark):
+    """A third of the rows have one id or none; draws stay bounded and both languages are learned."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"der und das nicht {i}" if i % 2 else f"the and of that {i}", "de" if i % 2 else "en") for i in range(12_000)]
+    rows += [(None, "the same text", "en")] * 5000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    train = language.ByteNet.train
+    language.ByteNet.train = lambda self, x, y, *a: (seen.append(len(x)), train(self, x, y, 1))
+    try:
+        net = language.fit(df, sample=50)
+    finally:
+        language.ByteNet.train = train
+    assert net.labels == ["de", "en"] and 40 < seen[0] <= 4 * 50 * language.WINDOWS_EACH
+
+
 def test_pair_tables_are_the_network():
     net = language.ByteNet(["a", "b"])
     x = np.random.default_rng(0).integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
