@@ -1,17 +1,20 @@
 """Operator 8, toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy, with thresholds calibrated by language.
 
-Model. A word (run of letters, lower-cased) and its beginnings of PREFIXES letters, which stand for its stem, are hashed to BUCKETS embeddings of
-DIM values; their mean is the word's. Then filters over 1, 2 and 3 words (FILTERS of each), a ReLU, the maximum
-over the whole text, and a logistic output. One value of each embedding starts as the smoothed log odds in the training part. Texts
-that repeat in the sample are learned from once.
-Calibration. A part of the labelled sample is kept from training. For each language (told from the text's own function words
-alone; `other` where none occurs) it gives Platt's two parameters and the threshold with the best F1; both are folded into the score so that every
-language's threshold lies at THRESHOLD. Languages with too few labelled rows use the values over all.
-
-Learning is from a bounded sample: at most `sample` labelled rows of each class, by hash of the id.
-
-Edge cases. Text null or empty: the score of a text without words. No labelled rows of either class: score 0 for all. Labels that
-disagree on an id: toxic if any says so; rows with a null label or id are ignored. Very long texts: whole, in pieces of words.
+Model. A word (run of letters, lower-cased; numerals that aren't digits count as letters) and its beginnings of PREFIXES letters, which stand for
+its stem, are hashed to BUCKETS embeddings of DIM values; their mean is the word's. Then filters over 1, 2 and 3 words (FILTERS of each), a ReLU,
+the maximum over the whole text, and a logistic output. One value of each embedding starts as the smoothed log odds in the training texts.
+Learning is from a bounded sample: distinct labelled texts, `sample` of each class and SAMPLE_BYTES bytes of each at most, lowest hash of
+the text first. Texts with one hash in CALIBRATION_SHARE are never learned from.
+Languages. A text's language is told from its own words: the sample's texts and their language column give each word's log odds between languages, and the
+sum over a text's words decides (`other` where no word is known).
+Calibration. All labelled texts that weren't learned from are counted, over the whole table, by language, raw score (in steps of 1 / STEPS) and class; classes
+have the weights that they have among all labelled rows. For each language this gives Platt's two parameters and the threshold with the
+best F1; both are folded into the score so that every language's threshold lies at THRESHOLD. Languages with fewer than LEAST_GROUP such texts, or
+LEAST_CLASS of a class, use the values over all.
+
+Edge cases. Text null or empty: the score of a text without words. No labelled texts of either class: score 0 for all. Labels that
+disagree on an id or a text: toxic if any says so; rows with a null label or id are never learned from but are scored. Null and repeated ids: each row is
+scored by itself. Very long texts: whole, in pieces of words. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -23,23 +26,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, ship
+from .common import by_batch, saved, ship
 from .language import id_crc
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
-SAMPLE, EPOCHS, BATCH, RATE, DROP, SEED = 2500, 5, 16, 0.01, 0.15, 11
-THRESHOLD, LEAST_GROUP, CALIBRATION_SHARE = 0.7, 40, 4
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE, DROP, SEED = 2500, 32 << 20, 5, 16, 0.01, 0.15, 11
+THRESHOLD, LEAST_GROUP, LEAST_CLASS, CALIBRATION_SHARE = 0.7, 40, 5, 4
+STEPS, REACH = 32, 30.0
 WORD = re.compile(r"[^\W\d_]+").findall
-# Function words that tell a language from the text itself.
-FUNCTION_WORDS = {
-    "de": "der die das und ist nicht von mit den dem ein eine auf für",
-    "en": "the and of to is that it was for with are this by",
-    "es": "el los las que del por una con para como se no lo y",
-    "fr": "le les des et est une que dans pour qui sur pas avec du",
-}
-GROUPS = ["other", *FUNCTION_WORDS]
-
-
 PREFIXES = (3, 4, 5, 6)
 FEATURES = 1 + len(PREFIXES)
 
@@ -50,21 +44,18 @@ def features(word: str) -> list[int]:
     return [1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) if x else 0 for x in found]
 
 
-_GROUP_OF = {w: i + 1 for i, g in enumerate(FUNCTION_WORDS) for w in FUNCTION_WORDS[g].split()}
-
-
 class Vocabulary(dict):
-    """Word -> row; `table` holds each row's buckets and the group of its language (0: none). Forgets all beyond a bound."""
+    """Word -> row; `table` holds each row's buckets. Forgets all beyond a bound."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
-        self.most, self.table, self.filled = most, np.zeros((1024, FEATURES + 1), np.uint32), 0
+        self.most, self.table, self.filled = most, np.zeros((1024, FEATURES), np.uint32), 0
 
     def __missing__(self, word: str) -> int:
         if self.filled == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         row, self.filled = self.filled, self.filled + 1
-        self.table[row] = [*features(word), _GROUP_OF.get(word, 0)]
+        self.table[row] = features(word)
         self[word] = row
         return row
 
@@ -79,10 +70,24 @@ class Vocabulary(dict):
             self.filled = 0
 
 
-def group_of(groups: np.ndarray) -> int:
-    """Index in GROUPS of the language whose function words occur most; groups: one for each word."""
-    seen = np.bincount(groups, minlength=len(GROUPS))[1:]
-    return int(seen.argmax()) + 1 if seen.any() else 0
+class Languages:
+    """Log odds of words between the languages of labelled texts."""
+
+    def __init__(self, texts: list[np.ndarray], names: list[str | None]):
+        """texts: buckets of words."""
+        self.names = sorted({n for n in names if n is not None})
+        counts = np.zeros((BUCKETS, len(self.names)), np.float32)
+        for words, name in zip(texts, names, strict=True):
+            if name is not None and len(words):
+                np.add.at(counts[:, self.names.index(name)], np.unique(words), 1)
+        held = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
+        self.odds = np.where(counts.sum(1, keepdims=True) > 0, held - held.mean(1, keepdims=True) if self.names else 0, 0).astype(np.float32)
+        self.odds[0] = 0
+
+    def group(self, rows: np.ndarray) -> int:
+        """0: other; else the language's place from 1. rows: the words' log odds."""
+        total = rows.sum(0, dtype=np.float64)
+        return int(total.argmax()) + 1 if len(rows) and total.any() else 0
 
 
 def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,93 +209,168 @@ def _platt(z: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[float, float
     return max(float(a), 1e-3), float(b)
 
 
-def _threshold(p: np.ndarray, y: np.ndarray, rows: np.ndarray) -> float:
-    """Half-way below the cut with the best F1 over the weighted calibration rows, within 0.05 and 0.95."""
-    order = np.argsort(-p, kind="stable")
-    hits, seen = np.cumsum((rows * y)[order]), np.cumsum(rows[order])
-    k = int((2 * hits / (seen + (rows * y).sum())).argmax())
-    below = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float(np.clip((p[order[k]] + below) / 2, 0.05, 0.95))
+def _threshold(p: np.ndarray, hits: np.ndarray, misses: np.ndarray) -> float:
+    """Half-way below the cut with the best F1, within 0.05 and 0.95; hits and misses: weights of the two classes at each p, p descending."""
+    found = np.cumsum(hits)
+    k = int((2 * found / (found + np.cumsum(misses) + hits.sum())).argmax())
+    below = p[k + 1] if k + 1 < len(p) else 0.0
+    return float(np.clip((p[k] + below) / 2, 0.05, 0.95))
 
 
-class Classifier:
-    """Network and calibration: score = sigmoid(a z + b - logit(threshold) + logit(THRESHOLD)) with the language's values."""
+class Network:
+    """The convolutional network and the languages; `trained`: 64-bit hashes of the texts learned from."""
 
-    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, each: tuple[float, float] = (1.0, 1.0)):
-        """texts: rows of a Vocabulary's table, for each word one. each: how many labelled rows a sampled row of class 0 or 1 stands for."""
-        held = np.arange(len(texts)) % CALIBRATION_SHARE == 0
-        part = [i for i in range(len(texts)) if not held[i]]
+    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, names: list[str | None], trained: list[int], epochs: int = EPOCHS):
+        """texts: rows of a Vocabulary's table, for each word one."""
+        self.trained = trained
         seen = np.zeros((2, BUCKETS), np.float32)
-        for i in part:
-            seen[labels[i], np.unique(texts[i][:, :FEATURES])] += 1
-        n = [max(1, int((labels[part] == c).sum())) for c in (0, 1)]
+        for words, label in zip(texts, labels, strict=True):
+            seen[label, np.unique(words)] += 1
+        n = [max(1, int((labels == c).sum())) for c in (0, 1)]
         odds = np.log((seen[1] + 2 * n[1] / sum(n)) / n[1]) - np.log((seen[0] + 2 * n[0] / sum(n)) / n[0])
         self.net = WordNet((np.where(seen.sum(0) >= 3, odds, 0) / 2).astype(np.float32))
-        self.net.train([texts[i][:, :FEATURES] for i in part], labels[part].astype(np.float32), epochs)
-        kept = np.flatnonzero(held)
-        z, y = self.net.logits([self.net.embedded(texts[i]) for i in kept]), labels[kept].astype(float)
-        groups, rows = np.array([group_of(texts[i][:, FEATURES]) for i in kept]), np.where(y == 1, each[1], each[0])
-        self.shift = np.zeros((len(GROUPS), 2))
-        for g in [-1, *range(len(GROUPS))]:
-            own = groups == g if g >= 0 else np.ones(len(z), bool)
-            if g >= 0 and (own.sum() < LEAST_GROUP or not 5 <= y[own].sum() <= own.sum() - 5):
-                continue
-            a, b = _platt(z[own], y[own], rows[own])
-            t = _threshold(_sigmoid(a * z[own] + b), y[own], rows[own])
-            value = (a, b - np.log(t / (1 - t)) + np.log(THRESHOLD / (1 - THRESHOLD)))
-            self.shift[slice(None) if g < 0 else g] = value
+        self.net.train(texts, labels.astype(np.float32), epochs)
+        self.languages = Languages([t[:, 0] for t in texts], names)
 
-    def scores(self, texts: list[str | None], words: Vocabulary) -> np.ndarray:
+    def raw(self, texts: list[str | None], words: Vocabulary) -> tuple[np.ndarray, list[int]]:
+        """Raw scores (log odds before calibration) and language groups."""
         rows = [words.rows(t) for t in texts]
         table = words.table[: words.filled]
+        odds = self.languages.odds[table[:, 0]]
         embedded = self.net.embedded(table) if 4 * len(table) < sum(map(len, rows)) else None
-        a, b = self.shift[[group_of(table[r, FEATURES]) for r in rows]].T
         z = self.net.logits([embedded[r] if embedded is not None else self.net.embedded(table[r]) for r in rows])
+        groups = [self.languages.group(odds[r]) for r in rows]
         words.shrink()
+        return z, groups
+
+
+class Classifier:
+    """Network and calibration: score = sigmoid(a z + b), with a and b of the text's language (row 0: other)."""
+
+    def __init__(self, network: Network, shift: np.ndarray):
+        self.network, self.shift = network, shift
+
+    def scores(self, texts: list[str | None], words: Vocabulary) -> np.ndarray:
+        z, groups = self.network.raw(texts, words)
+        a, b = self.shift[groups].T
         return _sigmoid(a * z + b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Classifier | None:
+def _known(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """One row for each labelled id: _id, _label."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    known = known.where(F.col("_label").isin(0, 1))
-    counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    order = [F.xxhash64(F.col("_id").cast("string"), F.lit(SEED)), F.col("_id")]
-    drawn = known.where("_label = 1").orderBy(*order).limit(sample).unionByName(known.where("_label = 0").orderBy(*order).limit(sample))
-
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    # drawn has 2 * sample rows of two numbers at most
-    rows = texts.join(F.broadcast(drawn), "_id").select("_label", "_text").distinct().collect()
-    rows.sort(key=lambda r: (zlib.crc32((r["_text"] or "").encode("utf-8", "surrogatepass")), r["_text"] or "", r["_label"]))
-    labels = np.array([r["_label"] for r in rows])
-    if len(set(labels.tolist())) < 2:
+    return known.where(F.col("_label").isin(0, 1))
+
+
+def _hash(text) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", lang_col: str | None = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
+    """A network from a bounded sample of labelled texts; None without labelled texts of both classes."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    slim = docs.select(F.col(id_col).alias("_id"), _hash(text).alias("_hash"), F.octet_length(text).alias("_bytes"))
+    once = slim.join(_known(labels, label_col, id_col), "_id").groupBy("_hash").agg(F.max("_label").alias("_label"), F.max("_bytes").alias("_bytes"))
+    once = saved(once.where(F.pmod("_hash", F.lit(CALIBRATION_SHARE)) != 0), "labelled")
+    chosen = {}
+    for label in (0, 1):
+        room = sample_bytes
+        for r in once.where(F.col("_label") == label).orderBy(F.xxhash64("_hash", F.lit(SEED)), "_hash").limit(sample).collect():
+            room -= r["_bytes"]
+            if room < 0 and label in chosen.values():
+                break
+            chosen[r["_hash"]] = label
+    if len(set(chosen.values())) < 2:
         return None
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in chosen], "_hash long"))  # 2 * sample numbers at most
+    rows = docs.select(_hash(text).alias("_hash"), text.alias("_text"), lang.alias("_lang")).join(picked, "_hash")
+    rows = rows.groupBy("_hash").agg(F.min(F.struct("_lang", "_text")).alias("r")).select("_hash", "r.*").collect()
+    rows.sort(key=lambda r: (zlib.crc32(r["_text"].encode("utf-8", "surrogatepass")), r["_text"]))
     words = Vocabulary(1 << 40)
     numbered = [words.rows(r["_text"]) for r in rows]
-    each = tuple(counts[c] / max(1, int((labels == c).sum())) for c in (0, 1))
-    return Classifier([words.table[r] for r in numbered], labels, each=each)
+    return Network([words.table[r] for r in numbered], np.array([chosen[r["_hash"]] for r in rows]), [r["_lang"] for r in rows], sorted(chosen))
 
 
-def score_toxicity(docs: DataFrame, model: Classifier | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and score of every row."""
-    id_type = dict(docs.dtypes)[id_col]
-    shipped = ship(docs.sparkSession, model)  # BUCKETS * DIM floats: 4 MB
+def raw_scores(docs: DataFrame, network: Network, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, hash of the text, raw score and language group of every row."""
+    shipped = ship(docs.sparkSession, network)  # BUCKETS * (DIM + languages) floats: some 6 MB
 
     def make():
         words, found = Vocabulary(), shipped()
 
         def do(columns):
-            return {"doc_id": columns["_id"], "score": found.scores(columns["_text"], words) if found else [0.0] * len(columns["_id"])}
+            z, groups = found.raw(columns["_text"], words)
+            return {"doc_id": columns["_id"], "hash": columns["_hash"], "z": z, "group": groups}
 
         return do
 
-    return by_batch(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")), make, f"doc_id {id_type}, score double")
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), _hash(docs[text_col]).alias("_hash"))
+    return by_batch(rows, make, f"doc_id {dict(docs.dtypes)[id_col]}, hash long, z double, group int")
+
+
+def calibrate(raw: DataFrame, labels: DataFrame, network: Network, label_col: str = "toxic", id_col: str = "doc_id") -> np.ndarray:
+    """a and b of each group, from raw_scores() (best saved) of the whole table. The driver gets a row for each group, step of the score and class."""
+    trained = raw.sparkSession.createDataFrame([(h, True) for h in network.trained], "hash long, trained boolean")
+    step = F.round(F.least(F.greatest(F.col("z"), F.lit(-REACH)), F.lit(REACH)) * STEPS).cast("int")
+    joined = raw.join(_known(labels, label_col, id_col), F.col("doc_id") == F.col("_id")).join(F.broadcast(trained), "hash", "left")
+    counted = joined.groupBy("group", step.alias("step"), F.col("_label").alias("label"), F.col("trained").isNotNull().alias("trained")).count().collect()
+    return shifts([(r["group"], r["step"] / STEPS, r["label"], r["trained"], r["count"]) for r in counted], len(network.languages.names) + 1)
+
+
+def shifts(counted: list[tuple], n_groups: int) -> np.ndarray:
+    """counted: (group, raw score, label, learned from, rows). Rows learned from count for the classes' weights alone."""
+    out = np.zeros((n_groups, 2))
+    out[:, 0] = 1.0
+    every = np.zeros(2)
+    held = np.zeros(2)
+    for _, _, label, learned, n in counted:
+        every[label] += n
+        held[label] += 0 if learned else n
+    weights = every / np.maximum(held, 1)
+    for g in [-1, *range(n_groups)]:
+        own = sorted((z, y, n) for group, z, y, learned, n in counted if not learned and g in (-1, group))
+        of_class = [sum(n for _, y, n in own if y == c) for c in (0, 1)]
+        if min(of_class) < (LEAST_CLASS if g >= 0 else 1) or sum(of_class) < (LEAST_GROUP if g >= 0 else 2):
+            continue
+        z, y, rows = (np.array(x, float) for x in zip(*own, strict=True))
+        rows = rows * np.where(y == 1, weights[1], weights[0])
+        a, b = _platt(z, y, rows)
+        places, inverse = np.unique(-z, return_inverse=True)
+        t = _threshold(_sigmoid(-a * places + b), np.bincount(inverse, rows * y), np.bincount(inverse, rows * (1 - y)))
+        out[slice(None) if g < 0 else g] = a, b - np.log(t / (1 - t)) + np.log(THRESHOLD / (1 - THRESHOLD))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", lang_col: str | None = "lang", sample: int = SAMPLE) -> Classifier | None:
+    network = train(docs, labels, label_col, text_col, id_col, lang_col, sample)
+    return network and Classifier(network, calibrate(raw_scores(docs, network, text_col, id_col), labels, network, label_col, id_col))
+
+
+def _calibrated(raw: DataFrame, shift: np.ndarray) -> DataFrame:
+    a, b = (F.element_at(F.array(*(F.lit(float(x)) for x in column)), F.col("group") + 1) for column in shift.T)
+    odds = F.least(F.greatest(a * F.col("z") + b, F.lit(-40.0)), F.lit(40.0))
+    return raw.select("doc_id", (1 / (1 + F.exp(-odds))).alias("score"))
+
+
+def score_toxicity(docs: DataFrame, model: Classifier | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id and score of every row."""
+    if model is None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.0).alias("score"))
+    return _calibrated(raw_scores(docs, model.network, text_col, id_col), model.shift)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """Learns from labels where crc32(doc_id) mod 3 is not 1; scores every document."""
+    """Learns from labels where crc32(doc_id) mod 3 is not 1; scores every document, in one pass that calibration reads as well."""
     from .common import table
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = id_crc("doc_id") % 3 == 1
-    model = fit(docs, labels.where(~held_out))
-    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    own = labels.where(~held_out)
+    network = train(docs, own)
+    if network is None:
+        scored = score_toxicity(docs, None)
+    else:
+        raw = saved(raw_scores(docs, network), "toxicity")
+        scored = _calibrated(raw, calibrate(raw, own, network))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
