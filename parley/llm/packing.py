@@ -5,7 +5,8 @@ longest text, and none is rounded). Dynamic programming finds the at most `n_buc
 padding of lengths i..j in a bucket that ends at j; it fulfils the quadrangle inequality, so divide and conquer takes
 O(buckets * distinct * log distinct), a level at a time in numpy. In a bucket of padded length L every batch holds floor(budget / L) documents (one at least);
 documents are ranked within their bucket by hash and batches are cut by rank, so each bucket has one incomplete batch at most.
-The rank is found without gathering a bucket: each bucket is dealt over shards by hash, ranked in its shard, and shifted by the sizes of the shards before it.
+The rank is found without gathering a bucket: each bucket is dealt over shards of about SHARD_ROWS rows by a hash of id, length and row number, so that
+rows of one id are dealt like any others, ranked in its shard, and shifted by the sizes of the shards before it.
 
 Columns: doc_id, n_tokens, bucket (from 0, by length), padded (its end), batch (number within the bucket), slot (place in the batch), padding.
 
@@ -69,7 +70,8 @@ def best_ends(lengths: list[int], counts: list[int], n_buckets: int = N_BUCKETS)
 
 def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = None, n_buckets: int = N_BUCKETS, budget: int = BUDGET) -> DataFrame:
     length = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)) if length_col else n_words(F.col(text_col)).cast("long")
-    sized = saved(docs.select(F.col(id_col).alias("doc_id"), length.alias("n_tokens")), "lengths")
+    # the row's number deals rows of one id and length over shards; it's written, so it stays what it is
+    sized = saved(docs.select(F.col(id_col).alias("doc_id"), length.alias("n_tokens"), F.monotonically_increasing_id().alias("_row")), "lengths")
     rounded = F.greatest("n_tokens", F.lit(1))
     histogram = sized.groupBy(rounded.alias("x")).count().toArrow().sort_by("x")
     lengths, counts = (histogram[c].to_numpy() for c in ("x", "count"))
@@ -79,12 +81,12 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length
     last = len(ends) - 1
     bucket = F.coalesce(*(F.when(rounded <= e, F.lit(i)) for i, e in enumerate(ends)), F.lit(last))
     shards = F.element_at(F.array(*(F.lit(max(1, -(-int(n) // SHARD_ROWS))) for n in held)), F.col("bucket") + 1)
-    salted = sized.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1 << 20)))
+    salted = sized.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "_row"), F.lit(1 << 20)))
     salted = salted.withColumn("shard", (F.col("shard") * shards / (1 << 20)).cast("int"))
     sums = salted.groupBy("bucket", "shard").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("bucket", "shard", before.alias("before"))  # a row for each SHARD_ROWS documents
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(F.xxhash64("doc_id"), "doc_id", "n_tokens")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy(F.xxhash64("doc_id", "_row"), "_row")) - 1)
     placed = ranked.join(offsets, ["bucket", "shard"]).withColumn("rank", F.col("rank") + F.col("before"))
     padded = F.element_at(F.array(*(F.lit(e) for e in ends)), F.col("bucket") + 1).cast("long")
     fits = F.greatest(F.floor(F.lit(budget) / F.col("padded")), F.lit(1))

@@ -21,9 +21,10 @@ tables: empty results, no cutoffs. Extra columns don't matter: only the named on
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, let, saved, words_col
@@ -37,6 +38,8 @@ RULES: dict[str, list[float]] = {
 }
 ALPHA, DELTA, COST = 0.05, 0.05, 5.0
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
+#: Strata whose cutoffs are broadcast (five numbers each); more are joined by a shuffle.
+BROADCAST_STRATA = 100_000
 
 
 def _n_repeat_words(hashes) -> F.Column:
@@ -130,7 +133,7 @@ def certify(counts: list[tuple], alpha: float = ALPHA, delta: float = DELTA, rul
 
 
 def fit(measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_col: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA, rules: dict[str, list[float]] = RULES, measures_col: str = "_quality") -> dict:
-    """Cutoffs per stratum from every labelled row. Strata are expected to be few (languages): one row of counts each comes to the driver."""
+    """Cutoffs per stratum from every labelled row. One row of counts a stratum with labels comes to the driver."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     m = F.col(measures_col)
     rows = measured.where(~base_failed(m)).select(F.col(id_col).alias("_id"), F.col(stratum_col).alias("_stratum"), *(v.alias(k) for k, v in rule_values(m).items() if k in rules))
@@ -142,16 +145,21 @@ def fit(measured: DataFrame, labels: DataFrame, stratum_col: str = "lang", id_co
     return certify(counts, alpha, delta, rules)
 
 
-def verdict(m, stratum, cutoffs: dict) -> F.Column:
-    """True where no certified cutoff of the row's stratum rejects it and the base limits pass."""
-    values = rule_values(m)
-    rejects = F.lit(False)
-    for key, own in cutoffs.items():
-        hit = F.lit(False)
-        for rule, cutoff in own.items():
-            hit = hit | (values[rule] > cutoff)
-        rejects = rejects | (stratum.eqNullSafe(F.lit(key)) & hit)
-    return ~base_failed(m) & ~rejects
+def cutoff_rows(spark: SparkSession, cutoffs: dict, stratum_type: str, rules: dict[str, list[float]] = RULES) -> DataFrame:
+    """Rows _of (the stratum), _cut (struct of the rules' cutoffs, null: none), one for each stratum with a certified cutoff."""
+    numbers = [F.struct(F.lit(key).cast(stratum_type).alias("_of"), F.struct(*(F.lit(own.get(r)).cast("double").alias(r) for r in rules)).alias("_cut")) for key, own in cutoffs.items() if own]
+    rows = F.array(*numbers) if numbers else F.array().cast(f"array<struct<_of:{stratum_type},_cut:struct<{','.join(f'{r}:double' for r in rules)}>>>")
+    return spark.range(1).select(F.explode(rows).alias("_x")).select("_x.*")
+
+
+def judged(measured: DataFrame, cutoffs: dict, stratum_col: str = "lang", measures_col: str = "_quality", to: str = "kept", rules: dict[str, list[float]] = RULES) -> DataFrame:
+    """measured with a column that is true where no certified cutoff of the row's stratum rejects it and the base limits pass."""
+    strata = cutoff_rows(measured.sparkSession, cutoffs, dict(measured.dtypes)[stratum_col], rules)
+    few = len(cutoffs) <= BROADCAST_STRATA
+    joined = measured.join(F.broadcast(strata) if few else strata, measured[stratum_col].eqNullSafe(strata["_of"]), "left")
+    m = F.col(measures_col)
+    rejects = [F.coalesce(value > F.col(f"_cut.{rule}"), F.lit(False)) for rule, value in rule_values(m).items() if rule in rules]
+    return joined.withColumn(to, functools.reduce(lambda kept, x: kept & ~x, rejects, ~base_failed(m))).drop("_of", "_cut")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -160,8 +168,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", tex
     held = saved(measure(docs.select(id_col, stratum_col, text_col), text_col).select(id_col, stratum_col, "_quality"), "quality")
     cutoffs = fit(held, labels, stratum_col, id_col)
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    judged = measure(docs.select(own, F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum")), "_text")
-    return judged.where(verdict(F.col("_quality"), F.col("_stratum"), cutoffs)).select("_row.*")
+    measured = measure(docs.select(own, F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum")), "_text")
+    return judged(measured.drop("_text"), cutoffs, "_stratum", to="_kept").where("_kept").select("_row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -171,5 +179,5 @@ def op7(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = saved(measure(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "_quality"), "quality")
     m = F.col("_quality")
-    cutoffs = fit(held, labels)
-    return held.select("doc_id", m.n_words.alias("n_words"), m.word_chars.alias("word_chars"), m.n_symbols.alias("n_symbols"), m.n_dup_lines.alias("n_dup_lines"), m.n_repeat_words.alias("n_repeat_words"), base_failed(m).alias("base_failed"), verdict(m, F.col("lang"), cutoffs).alias("kept"))
+    found = judged(held, fit(held, labels))
+    return found.select("doc_id", m.n_words.alias("n_words"), m.word_chars.alias("word_chars"), m.n_symbols.alias("n_symbols"), m.n_dup_lines.alias("n_dup_lines"), m.n_repeat_words.alias("n_repeat_words"), base_failed(m).alias("base_failed"), "kept")

@@ -192,6 +192,16 @@ def test_certified_cutoffs(spark):
     assert quality.keep_good(docs, labels).where("doc_id >= 2000").count() == 0 and quality.keep_good(docs, labels).count() == 1500
 
 
+def test_cutoffs_of_many_strata(spark):
+    """Thousands of strata, null among them, are joined and not spelled out in the plan."""
+    rows = [(i, " ".join(f"w{k}" + "!" * (i % 2) for k in range(30)), None if i % 1500 == 7 else f"s{i % 1500}") for i in range(3000)]
+    measured = quality.measure(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    cutoffs = {f"s{k}": {"bangs_per_word": 0.5} if k % 3 == 0 else {} for k in range(1500)} | {None: {"bangs_per_word": 0.5, "symbols_per_word": 0.1}}
+    got = {r.doc_id: r.kept for r in quality.judged(measured, cutoffs).select("doc_id", "kept").collect()}
+    assert got == {i: not (i % 2 and (lang is None or int(lang[1:]) % 3 == 0)) for i, _, lang in rows}
+    assert all(r.kept for r in quality.judged(measured, {}).collect())
+
+
 def test_quality_of_odd_rows(odd, empty, labels):
     assert quality.keep_good(odd, labels).columns == odd.columns
     assert quality.keep_good(odd, labels).count() == 0 and quality.keep_good(empty, labels).count() == 0
@@ -257,6 +267,8 @@ def test_packing(spark, sf_dir, texts, odd, empty):
     assert sum(r.padding for r in rows) == padding(np.maximum(lengths, 1).tolist(), counts.tolist(), packing.best_ends(np.maximum(lengths, 1).tolist(), counts.tolist())) + int((lengths == 0) @ counts)
     assert packing.pack(odd).count() == 8 and packing.pack(empty).count() == 0
     many = spark.range(5000).selectExpr("id AS doc_id", "'a b c' AS text")
+    alike = packing.pack(spark.range(30_000).selectExpr("cast(null AS long) AS doc_id", "'a b c' AS text"), budget=30)
+    assert alike.groupBy("batch", "slot").count().where("count > 1").count() == 0 and alike.agg(F.max("batch")).first()[0] == 2999
     spread = packing.pack(many, budget=30).groupBy("batch").count()
     assert spread.count() == 500 and spread.agg(F.max("count")).first()[0] == 10
 
