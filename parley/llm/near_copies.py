@@ -10,22 +10,30 @@ are made up to a time by which all components are expected to be filled; texts w
 Classes.
 1. Texts that are equal are one node (md5 of the text), whatever their number; from here on only nodes count.
 2. BANDS bands of ROWS components give bucket keys. A bucket's hub is its member with the most company over all its buckets (near copies of one
-   original agree with it more than with each other). Each member is verified against its buckets' hubs: linear in members.
-3. Links give components. A bucket is open while it has members outside its hub's component. Those are then compared with
-   the bucket's other members, in blocks of bounded size: agreement of whole signatures first, then exact similarity, where it could still join two
-   components. So no link between different components is given up, no group is gathered in one task, no pairs are emitted
-   but links. Buckets with the same members are done once. The work is (members outside) * (members) comparisons of signatures, only in open buckets.
-4. Links of both rounds give the classes; a class's keeper is its smallest (doc_id, md5).
+   original agree with it more than with each other). Each member is verified against its buckets' hubs: linear in members. A hub of very many is
+   dealt over tasks.
+3. Links give components. A bucket is open while it has members outside its hub's component. Their signatures alone are compared with those of
+   the bucket's other members, in blocks of bounded size; each outside member is then verified against the one it agrees with most. Where it has
+   more likely partners in other components after that, these and it, and no others, meet with their texts in blocks and are compared until no
+   two components are left that a link could join. No group is gathered in one task, no pairs are emitted but each outside member's best.
+   Buckets with the same members are done once. The work is (members outside) * (members) comparisons of signatures, only in open buckets.
+4. Links of all rounds give the classes; a class's keeper is its smallest (doc_id, md5, number of the row).
 
-Texts and ids are broadcast only up to a checked number of rows, and shuffled beyond it.
+What can be missed. A pair at similarity SIMILAR exactly shares no band with probability (1 - SIMILAR ** ROWS) ** BANDS, 5e-5, and less above it; signatures
+of such a pair agree in fewer than LIKELY components with probability MISS at most. Pairs that share a band and agree so are compared exactly.
+
+Texts and ids are broadcast only up to a checked number of rows, and shuffled beyond it; rows of texts or hubs that are very frequent then
+get their few values by a broadcast of HOT_MOST rows at most, so no task gets all of them.
 
 Edge cases. Text null: a class of its own for each row. No words: no shingles, so equal only to the same text. Fewer words than WORDS:
-one shingle of all of them. Repeated rows and ids: rows with one text are in one class; a row is named by its id and text together. Null id: like any
-id, smallest. Empty table: no rows.
+one shingle of all of them. Repeated rows and ids: rows with one text are in one class; a row is named by its id and text together, and of rows
+that repeat both, one is kept. Null id: like any id, smallest. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +42,26 @@ from .common import by_batch, saved
 
 WORDS, SIMILAR = 5, 0.8
 COMPONENTS, BANDS, ROWS = 128, 25, 5
-#: Signatures agree in SIMILAR * COMPONENTS components at least, less this many standard deviations, or no exact comparison follows.
-DEVIATIONS = 4.0
+#: Probability that the signatures of a similar pair agree in fewer than LIKELY components.
+MISS = 1e-9
+
+
+def _likely(miss: float) -> int:
+    total, k = 0.0, -1
+    while total <= miss:
+        k += 1
+        total += math.comb(COMPONENTS, k) * SIMILAR**k * (1 - SIMILAR) ** (COMPONENTS - k)
+    return k
+
+
+LIKELY = _likely(MISS)
 #: Rows that a broadcast may have: 16-byte keys, some 20 MB.
 BROADCAST_ROWS = 250_000
-OUTSIDE_BLOCK, MEMBER_BLOCK = 128, 512
+#: A key is hot with more than HOT_ROWS rows, and more than one row in HOT_MOST of all: so there are HOT_MOST at most.
+HOT_ROWS, HOT_MOST = 100_000, 100_000
+#: Members of a bucket that meet their hub's text in one task.
+HUB_ROWS = 20_000
+OUTSIDE_BLOCK, MEMBER_BLOCK = 64, 256
 AT_ONCE = 250
 
 _U = np.uint64
@@ -148,7 +171,7 @@ def text_key(text) -> F.Column:
 
 
 def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, node (md5 of the text), bands (keys; empty without words), signature (two bytes a component)."""
+    """id, row (a number), node (md5 of the text), bands (keys; empty without words), signature (two bytes a component)."""
 
     def make():
         words = Words()
@@ -167,30 +190,48 @@ def signatures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
                 bands += [keys[k].tolist() if len(x) else [] for k, (x, _) in enumerate(bags)]
                 short += [row.tobytes() for row in (points & _U(0xFFFF)).astype(np.uint16)]
             at = [places[node] for node in columns["node"]]
-            return {"id": columns["_id"], "node": columns["node"], "bands": [bands[k] for k in at], "signature": [short[k] for k in at]}
+            return {"id": columns["_id"], "row": columns["_row"], "node": columns["node"], "bands": [bands[k] for k in at], "signature": [short[k] for k in at]}
 
         return do
 
-    known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("node"), F.col(text_col).alias("_text"))
-    return by_batch(known, make, f"id {dict(docs.dtypes)[id_col]}, node binary, bands array<long>, signature binary")
+    known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), text_key(F.col(text_col)).alias("node"), F.col(text_col).alias("_text"))
+    return by_batch(known, make, f"id {dict(docs.dtypes)[id_col]}, row long, node binary, bands array<long>, signature binary")
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The hot values of key (see HOT_ROWS), saved; None if there are none."""
+    least = max(HOT_ROWS, rows.count() // HOT_MOST)
+    found = saved(rows.groupBy(key).count().where(F.col("count") > least).select(key), "hot")
+    return found if found.limit(1).count() else None
+
+
+def join_values(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """rows with the values (one row a key) of their key; rows of hot keys stay where they are and get theirs by broadcast."""
+    if hot is None:
+        return rows.join(values, key)
+    flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    few = values.join(F.broadcast(hot), key, "left_semi")
+    return flagged.where("_hot is null").drop("_hot").join(values, key).unionByName(flagged.where("_hot").drop("_hot").join(F.broadcast(few), key))
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
-    """members: key, node, n (of the bucket). -> distinct (a, b): a member and its bucket's hub; and the hubs (key, hub)."""
+    """members: key, node, n (of the bucket). -> each bucket's hub: key, hub."""
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).getField("node").alias("hub"))
     return saved(hubs, "hubs")
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """node and text of the given nodes, once each."""
+def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """node and text of the given nodes (node, id: that of one of its rows), once each."""
     few = nodes.count() <= BROADCAST_ROWS
-    every = docs.where(F.col(text_col).isNotNull()).select(text_key(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    return saved(every.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text")), "texts")
+    every = docs.where(F.col(text_col).isNotNull()).select(text_key(F.col(text_col)).alias("node"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    asked = nodes.select(F.col("node").alias("_node"), F.col("id").alias("_asked"))
+    found = every.join(F.broadcast(asked) if few else asked, (every["node"] == asked["_node"]) & every["_id"].eqNullSafe(asked["_asked"]), "left_semi")
+    return saved(found.groupBy("node").agg(F.max("text").alias("text")), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (a, b) whose texts are similar."""
+    """Those (a, b) of pairs (a, b, n: rows that b may have here) whose texts are similar."""
 
     def make():
         words = Words()
@@ -208,9 +249,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return do
 
+    parts = F.floor(F.col("n") / HUB_ROWS).cast("int") + 1
+    dealt = pairs.groupBy("a", "b").agg(F.max(parts).alias("parts")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return saved(by_batch(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), make, "a binary, b binary"), "links")
+    spread = dealt.groupBy("b").agg(F.max("parts").alias("parts")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = spread.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return saved(by_batch(dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "x", "y"), make, "a binary, b binary"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,16 +263,21 @@ def components(links: DataFrame) -> DataFrame:
     labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"), F.lit(True).alias("changed")), "labels")
     few = labels.count() <= BROADCAST_ROWS  # all tables below but edges have at most a row for each of these
     held = F.broadcast if few else lambda df: df
+    hot = None if few else hot_keys(edges, "b")
     while labels.where("changed").limit(1).count():
-        seen = edges.join(held(labels.select(F.col("node").alias("b"), F.col("component").alias("label"))), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
+        told = join_values(edges, held(labels.select(F.col("node").alias("b"), F.col("component").alias("label"))), "b", hot)
+        seen = told.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
         spread = saved(labels.join(held(seen), "node").select("node", F.col("component").alias("was"), F.least("component", "label").alias("component")), "labels")
         onward = spread.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = saved(spread.join(held(onward), "component", "left").select("node", F.coalesce(F.least("component", "next"), F.col("component")).alias("component"), (F.coalesce(F.least("component", "next"), F.col("component")) != F.col("was")).alias("changed")), "labels")
+        large = None if few else hot_keys(spread.select("component"), "component")
+        following = join_values(spread, held(onward), "component", large)  # a component is a node with a label
+        labels = saved(following.select("node", F.least("component", "next").alias("component"), (F.least("component", "next") != F.col("was")).alias("changed")), "labels")
     return labels.select("node", "component")
 
 
-def links_in_open_buckets(docs: DataFrame, nodes: DataFrame, members: DataFrame, hubs: DataFrame, found: DataFrame, text_col: str) -> DataFrame | None:
-    """Links between a bucket's members outside its hub's component and its other members (see step 3)."""
+def links_in_open_buckets(docs: DataFrame, nodes: DataFrame, members: DataFrame, hubs: DataFrame, links: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """links (those to hubs) and all that join further components: between a bucket's members outside its hub's component and its other members (see step 3)."""
+    found = components(links)
     of = lambda name, to: found.select(F.col("node").alias(name), F.col("component").alias(to))
     # buckets of two are settled by their hub
     placed = members.where("n > 2").join(hubs, "key").join(of("node", "c"), "node", "left").join(of("hub", "h"), "hub", "left")
@@ -236,17 +285,69 @@ def links_in_open_buckets(docs: DataFrame, nodes: DataFrame, members: DataFrame,
     buckets = placed.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("n_outside"), F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"))
     buckets = saved(buckets.where("n_outside > 0").groupBy("n", "sum", "xor").agg(F.min("key").alias("key"), F.max("n_outside").alias("n_outside")).select("key", "n_outside"), "open")
     if not buckets.limit(1).count():
-        return None
-    opened = saved(placed.where("not is_hub").join(buckets, "key"), "open-members")
-    needed = saved(opened.select("node").distinct(), "open-nodes")
-    texts = texts_of(docs, needed, text_col).join(nodes.select("node", "signature"), "node")
+        return links
     n_out, n_in = F.ceil(F.col("n_outside") / OUTSIDE_BLOCK), F.ceil(F.col("n") / MEMBER_BLOCK)
     drawn = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30))
-    own = opened.select("key", "node", "component", "outside", drawn.alias("_d"), n_out.cast("int").alias("_o"), n_in.cast("int").alias("_i"))
-    as_outside = own.where("outside").select("key", "node", "component", F.lit(True).alias("outside"), (F.col("_d") % F.col("_o")).cast("int").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("ib"))
-    as_member = own.select("key", "node", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("_o") - 1)).alias("ob"), (F.col("_d") % F.col("_i")).cast("int").alias("ib"))
-    blocks = as_outside.unionByName(as_member).join(texts, "node")
-    return saved(blocks.groupBy("key", "ob", "ib").applyInArrow(_links_of_block, "a binary, b binary"), "more-links")
+    own = placed.where("not is_hub").join(buckets, "key").select("key", "n", "node", "component", "outside", drawn.alias("_d"), n_out.cast("int").alias("_o"), n_in.cast("int").alias("_i"))
+    as_outside = own.where("outside").select("key", "n", "node", "component", F.lit(True).alias("outside"), (F.col("_d") % F.col("_o")).cast("int").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("ib"))
+    as_member = own.select("key", "n", "node", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("_o") - 1)).alias("ob"), (F.col("_d") % F.col("_i")).cast("int").alias("ib"))
+    blocks = as_outside.unionByName(as_member).join(nodes.select("node", "signature"), "node")
+    schema = "key long, ob int, ib int, n long, node binary, outside boolean, best binary, agree int, likely int"
+    likely = saved(blocks.groupBy("key", "ob", "ib").applyInArrow(_likely_of_block, schema), "likely")
+    if not likely.limit(1).count():
+        return links
+    texts = texts_of(docs, likely.select("node").distinct().join(nodes.select("node", "id"), "node"), text_col, id_col)
+    best = saved(likely.where("outside").groupBy("key", "node").agg(F.max(F.struct("agree", "best")).getField("best").alias("b"), F.max("n").alias("n")), "best")
+    links = saved(links.unionByName(verified(best.select(F.col("node").alias("a"), "b", "n"), texts)), "links")
+    # what the best partners left: in blocks that hold several components, rows with likely partners that weren't tried
+    now = components(links)
+    held = likely.join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tried = held.join(best.select("key", "node", "b"), ["key", "node"], "left").withColumn("tried", F.col("likely").isNull() | ((F.col("likely") == 1) & (F.col("best") == F.col("b"))))
+    unsettled = tried.groupBy("key", "ob", "ib").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.bool_and("tried").alias("tried"))
+    unsettled = unsettled.where("x <> y and not tried").select("key", "ob", "ib")
+    rest = held.join(unsettled, ["key", "ob", "ib"], "left_semi").join(nodes.select("node", "signature"), "node").join(texts, "node")
+    more = saved(rest.groupBy("key", "ob", "ib").applyInArrow(_links_of_block, "a binary, b binary"), "more-links")
+    return saved(links.unionByName(more), "links")
+
+
+def _agreements(points: np.ndarray, out: list[int], rest: list[int]):
+    """For each of out: how many components each of rest shares with it."""
+    inner = np.ascontiguousarray(points[rest].T)
+    for i in out:
+        agree = np.zeros(len(rest), np.int16)
+        for c in range(COMPONENTS):
+            agree += inner[c] == points[i, c]
+        yield i, agree
+
+
+def _likely_of_block(block):
+    import pyarrow as pa
+
+    columns = {n: block.column(n).to_pylist() for n in ("node", "component", "outside", "signature")}
+    rows = likely_rows(**columns)
+    size = len(rows)
+    head = {n: pa.array([block.column(n)[0].as_py()] * size, t) for n, t in (("key", pa.int64()), ("ob", pa.int32()), ("ib", pa.int32()), ("n", pa.int64()))}
+    own = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.bool_(), pa.binary(), pa.int32(), pa.int32()))]
+    return pa.table(head | dict(zip(("node", "outside", "best", "agree", "likely"), own, strict=True)))
+
+
+def likely_rows(node: list, component: list, outside: list, signature: list) -> list[tuple]:
+    """(node, outside, its best partner, their agreement, number of likely partners) of the rows with a likely partner in another component."""
+    out = [i for i, o in enumerate(outside) if o]
+    rest = sorted((i for i, o in enumerate(outside) if not o), key=lambda i: node[i])
+    if not out or not rest:
+        return []
+    points = np.frombuffer(b"".join(signature), np.uint16).reshape(len(node), COMPONENTS)
+    names = {c: k for k, c in enumerate(dict.fromkeys(component))}
+    label = np.array([names[c] for c in component])
+    inner, rows, met = label[rest], [], np.zeros(len(rest), bool)
+    for i, agree in _agreements(points, out, rest):
+        likely = (agree >= LIKELY) & (inner != label[i])
+        if likely.any():
+            met |= likely
+            k = int(np.where(likely, agree, -1).argmax())
+            rows.append((node[i], True, node[rest[k]], int(agree[k]), int(likely.sum())))
+    return rows + [(node[rest[k]], False, None, None, None) for k in np.flatnonzero(met)]
 
 
 def _links_of_block(block):
@@ -259,12 +360,10 @@ def _links_of_block(block):
 
 def block_links(node: list, component: list, outside: list, signature: list, text: list) -> list[tuple]:
     """Verified links that join components: outside rows against the others, the likeliest first."""
-    least = COMPONENTS * SIMILAR - DEVIATIONS * (COMPONENTS * SIMILAR * (1 - SIMILAR)) ** 0.5
     out, rest = [i for i, o in enumerate(outside) if o], [i for i, o in enumerate(outside) if not o]
     if not out or not rest:
         return []
     points = np.frombuffer(b"".join(signature), np.uint16).reshape(len(node), COMPONENTS)
-    inner = np.ascontiguousarray(points[rest].T)
     root = {c: c for c in component}
 
     def find(c):
@@ -280,11 +379,8 @@ def block_links(node: list, component: list, outside: list, signature: list, tex
             bags[node[i]] = shingles(text[i], words)
         return bags[node[i]]
 
-    for i in out:
-        agree = np.zeros(len(rest), np.int16)
-        for c in range(COMPONENTS):
-            agree += inner[c] == points[i, c]
-        likely = np.flatnonzero(agree >= least)
+    for i, agree in _agreements(points, out, rest):
+        likely = np.flatnonzero(agree >= LIKELY)
         for k in likely[np.argsort(-agree[likely], kind="stable")]:
             j = rest[k]
             if find(component[i]) != find(component[j]) and similarity(bag(i), bag(j)) >= SIMILAR:
@@ -294,47 +390,51 @@ def block_links(node: list, component: list, outside: list, signature: list, tex
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, node, keeper (struct of id and node) of every row, saved; node and keeper.node are null where the text is."""
+    """id, node, row (a number of the row), keeper (struct of these) of every row, saved; node and keeper.node are null where the text is."""
     signed = saved(signatures(docs, text_col, id_col), "signatures")
-    nodes = saved(signed.groupBy("node").agg(F.min("id").alias("id"), F.max("signature").alias("signature"), F.max("bands").alias("bands")), "nodes")
+    nodes = signed.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.max("signature").alias("signature"), F.max("bands").alias("bands"))
+    nodes = saved(nodes.select("node", "first.id", "first.row", "signature", "bands"), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = saved(keys.join(shared, "key"), "members")
     hubs = hub_pairs(members)
-    pairs = saved(members.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    ends = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
-    links = verified(pairs, texts_of(docs, ends, text_col))
-    found = components(links)
-    more = links_in_open_buckets(docs, nodes, members, hubs, found, text_col)
-    if more is not None and more.limit(1).count():
-        found = components(links.unionByName(more))
-    named = nodes.select("node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keepers = named.groupBy("component").agg(F.min(F.struct("id", "node")).alias("keeper"))
-    of_node = saved(named.select("node", "component").join(keepers, "component").select("node", "keeper"), "classes")
-    own = signed.select("id", "node").join(of_node, "node").select("id", "node", "keeper")
-    unknown = docs.where(F.col(text_col).isNull()).select(F.col(id_col).alias("id"), F.lit(None).cast("binary").alias("node"))
-    return saved(own.unionByName(unknown.withColumn("keeper", F.struct("id", "node"))), "rows")
+    pairs = saved(members.join(hubs, "key").where("node != hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "pairs")
+    ends = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node"), "ends")
+    links = verified(pairs, texts_of(docs, ends, text_col, id_col))
+    found = components(links_in_open_buckets(docs, nodes, members, hubs, links, text_col, id_col))
+    named = saved(nodes.select("node", "id", "row").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    few = named.count() <= BROADCAST_ROWS
+    keepers = named.groupBy("component").agg(F.min(F.struct("id", "node", "row")).alias("keeper"))
+    of_node = saved(join_values(named.select("node", "component"), keepers, "component", None if few else hot_keys(named.select("component"), "component")).select("node", "keeper"), "classes")
+    slim = signed.select("id", "node", "row")
+    own = join_values(slim, F.broadcast(of_node) if few else of_node, "node", None if few else hot_keys(slim, "node")).select("id", "node", "row", "keeper")
+    unknown = docs.where(F.col(text_col).isNull()).select(F.col(id_col).alias("id"), F.lit(None).cast("binary").alias("node"), F.monotonically_increasing_id().alias("row"))
+    return saved(own.unionByName(unknown.withColumn("keeper", F.struct("id", "node", "row"))), "rows")
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without the rows that aren't their class's keeper."""
     rows = classes(docs, text_col, id_col)
-    me = F.struct("id", "node")
-    dropped = saved(rows.where(F.col("node").isNotNull() & ~me.eqNullSafe(F.col("keeper"))).select("id", "node").distinct(), "dropped")
-    few = dropped.count() <= BROADCAST_ROWS
+    known = rows.where(F.col("node").isNotNull()).select("id", "node", F.struct("id", "node").eqNullSafe(F.struct("keeper.id", "keeper.node")).alias("stays"))
+    counted = saved(known.groupBy("id", "node", "stays").count().where("not stays or count > 1"), "dropped")
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     held = docs.select(own, F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_node"))
-    gone = dropped.select(F.col("id").alias("_gone"), F.col("node").alias("_node"))
-    kept = held.join(F.broadcast(gone) if few else gone, (held["_node"] == gone["_node"]) & held["_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    again = rows.where(F.col("node").isNotNull()).groupBy("id", "node").count().where("count > 1")
-    if again.limit(1).count():  # rows that repeat id and text
-        kept = kept.where("_node is null").unionByName(kept.where("_node is not null").dropDuplicates(["_id", "_node"]))
+
+    def among(found: DataFrame, how: str) -> DataFrame:
+        named = found.select(F.col("id").alias("_gone"), F.col("node").alias("_of"))
+        named = F.broadcast(named) if found.count() <= BROADCAST_ROWS else named
+        return held.join(named, (held["_node"] == named["_of"]) & held["_id"].eqNullSafe(named["_gone"]), how)
+
+    kept = among(counted, "left_anti")
+    again = counted.where("stays")
+    if again.limit(1).count():  # keepers whose rows repeat id and text
+        kept = kept.unionByName(among(again, "left_semi").dropDuplicates(["_id", "_node"]))
     return kept.select("_row.*")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (the keeper's doc_id) and whether the document is the keeper."""
+    """doc_id, class_id (the keeper's doc_id) and whether the row is the keeper: one row of each class is."""
     from .common import table
 
     rows = classes(table(spark, sf_dir, "documents"))
-    return rows.select(F.col("id").alias("doc_id"), F.col("keeper.id").alias("class_id"), F.struct("id", "node").eqNullSafe(F.col("keeper")).alias("kept"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("keeper.id").alias("class_id"), F.struct("id", "node", "row").eqNullSafe(F.col("keeper")).alias("kept"))

@@ -136,6 +136,8 @@ def test_classes_against_brute_force(spark, sf_dir, texts):
 @pytest.mark.parametrize("rows", [0, near_copies.BROADCAST_ROWS])
 def test_a_large_group_of_near_copies(spark, monkeypatch, rows):
     monkeypatch.setattr(near_copies, "BROADCAST_ROWS", rows)
+    for name in ("HOT_ROWS", "HUB_ROWS", "OUTSIDE_BLOCK", "MEMBER_BLOCK") if not rows else ():  # hot keys and small blocks too
+        monkeypatch.setattr(near_copies, name, 20)
     draw = random.Random(6)
     base = [f"w{i}" for i in range(100)]
     texts = {i: " ".join(w if draw.random() > p else f"z{draw.randint(0, 999)}" for w in base) for i, p in enumerate([0.0, *(draw.choice([0.01, 0.02, 0.04, 0.08]) for _ in range(160))])}
@@ -144,7 +146,40 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, rows):
     assert got == brute_classes(texts)
 
 
+def test_chains_in_open_buckets(spark):
+    """Texts that are similar only to their neighbours in a chain, so hubs reach few of them; and recall on pairs about the limit."""
+    draw = random.Random(8)
+    texts, k = {}, 0
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(120)]
+        for step in range(25):
+            texts[k] = " ".join(words)
+            words[(step * 5) % 120] = f"g{g}s{step}"
+            k += 1
+    for _ in range(20):
+        words = [f"x{draw.randint(0, 10**6)}" for _ in range(60)]
+        texts[k] = " ".join(words)
+        texts[k + 1] = " ".join([*words[:55], "tail", *words[56:]])
+        k += 2
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.id: r.keeper.id for r in near_copies.classes(df).collect()} == brute_classes(texts)
+
+
+def test_signature_bound():
+    """LIKELY hides a similar pair with probability MISS at most, and no less would do."""
+    from fractions import Fraction
+    from math import comb
+
+    below = lambda k: sum(comb(near_copies.COMPONENTS, i) * Fraction(4, 5) ** i * Fraction(1, 5) ** (near_copies.COMPONENTS - i) for i in range(k))
+    assert below(near_copies.LIKELY) <= near_copies.MISS < below(near_copies.LIKELY + 1)
+
+
 def test_one_of_each(spark, odd, empty):
+    same = spark.createDataFrame([(1, "some words of a text")] * 3 + [(0, None), (0, None), (2, "some words of a text"), (3, "another one")], "doc_id long, text string")
+    rows = near_copies.classes(same)
+    kept = rows.where(F.struct("id", "node", "row").eqNullSafe(F.col("keeper"))).select("id").collect()
+    assert sorted(r.id for r in kept) == [0, 0, 1, 3]
+    assert sorted(r.doc_id for r in near_copies.one_of_each(same).collect()) == [0, 0, 1, 3]
     kept = near_copies.one_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in kept.collect()) == [(0, ""), (1, ""), (2, ""), (3, " \n\t "), (4, "word word"), (5, "another t"), (5, "é𝒳漢 \u0000 x")]
