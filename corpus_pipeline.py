@@ -1,7 +1,11 @@
-"""The corpus pipeline: rejected documents, near copies, benchmark leaks and documents with secrets go; the rest is packed.
+"""The corpus pipeline: rejected documents, near copies and benchmark leaks go, secrets are masked, and the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet in the shared folder
 and reads them back as the next stage's documents. All stages but the last return the columns of docs.
+
+Edge cases. Text null, empty or of fewer than 20 words: rejected by the quality rules, as are texts that mostly repeat themselves. Null or repeated
+ids: each row is judged by itself; of rows with one text one stays. No labels: the quality rules' base limits alone. No benchmark: nothing
+is a leak. Extra columns are kept up to the last stage. Empty documents: no rows. Very long texts: whole.
 """
 
 from __future__ import annotations
