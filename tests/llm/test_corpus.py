@@ -323,3 +323,22 @@ def test_pipeline(spark, sf_dir, texts):
     secret = {r.doc_id: r.text for r in secrets.masked(docs.where(F.col("doc_id").isin(list(clean)))).collect()}
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for k, t in secret.items()}
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    fine = [(100 + i, " ".join(f"word{i}x{k}" for k in range(30)), "en", "s", 0) for i in range(3)]
+    fine += [(100, fine[0][1], "en", "s", 0), (None, " ".join(f"other{k}" for k in range(25)), None, None, None), (200, " ".join(f"exam{k}" for k in range(40)), "fr", "s", 0)]
+    docs = spark.createDataFrame(fine, empty.schema)
+    extra = [c for c in odd.columns if c not in docs.columns]
+    both = odd.unionByName(docs.selectExpr("*", *(f"'x' AS `{c}`" for c in extra)))
+    none = {"labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([], "item_id long, text string")}
+    some = {"labels": spark.createDataFrame([(1, 1, 0), (None, 0, 1), (100, None, None)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, fine[-1][1]), (2, None), (None, "")], "item_id long, text string")}
+    for name, table_of, kept in (("none", none, [None, 100, 101, 102, 200]), ("some", some, [None, 100, 101, 102])):
+        at = tmp_path / name
+        for t, df in (table_of | {"documents": both}).items():
+            df.write.parquet(f"{at}/{t}.parquet")
+        assert sorted((r.doc_id for r in corpus_pipeline.run(spark, str(at)).collect()), key=lambda x: x or 0) == kept
+    at = tmp_path / "empty"
+    for t, df in (none | {"documents": empty}).items():
+        df.write.parquet(f"{at}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(at)).count() == 0
