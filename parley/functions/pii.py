@@ -23,7 +23,9 @@ CARD = rf"{EDGE}[0-9][0-9 -]{{11,}}[0-9]{EDGE}"
 QUERY_SECRET = rf"(?i)(?<=[?&](?:{'|'.join(SENSITIVE_QUERY_KEYS)})=)[^&#\s]+"
 #: Detectors in the order that settles equal spans.
 DETECTORS = {"email": EMAIL, "phone": PHONE, "ipv4": IPV4, "tw_national_id": NATIONAL_ID, "credit_card": CARD, "query_secret": QUERY_SECRET}
-MOST_PER_TYPE, PHONE_DIGITS_KEPT = 100, 2
+#: What a text must hold for a pattern to match at all: most texts are settled without the dear patterns.
+HINTS = {"email": r"@[A-Za-z0-9.-]*\.[A-Za-z]", "phone": r"[0-9][0-9\s()-]{6}", "ipv4": r"[0-9]\.[0-9]{1,3}\.[0-9]", "tw_national_id": r"[A-Z][12][0-9]{8}", "credit_card": r"[0-9][0-9 -]{11}", "query_secret": r"(?i)[?&][a-z_]+="}
+PHONE_DIGITS_KEPT = 2
 
 
 def likely_phone(text) -> Column:
@@ -76,23 +78,37 @@ def matches_of(text, pattern: str) -> Column:
     return F.when(~text.rlike(pattern), F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")).otherwise(let(values, lambda v: let(gaps, lambda g: placed(v, g))))
 
 
-def spans(text, detectors: list[str] | None = None, most_per_type: int = MOST_PER_TYPE) -> Column:
-    """array<struct<start, back (minus the end), det (detector's number), type, value>> of the text: by start, longest first, without overlaps, most_per_type of a type."""
+def spans(text, detectors: list[str] | None = None, most_per_type: int | None = None) -> Column:
+    """array<struct<start, back (minus the end), det (detector's number), type, value>> of the text: by start, longest first, without overlaps; most_per_type
+    of a type, if given (what is beyond: skipped_spans)."""
+    kept = all_spans(text, detectors)
+    return kept if most_per_type is None else let(kept, lambda k: F.filter(k, lambda m, i: _before(k, m, i) < most_per_type))
+
+
+def skipped_spans(text, detectors: list[str] | None, most_per_type: int) -> Column:
+    """Types of the spans that most_per_type leaves out, one for each."""
+    return let(all_spans(text, detectors), lambda k: F.transform(F.filter(k, lambda m, i: _before(k, m, i) >= most_per_type), lambda m: m["type"]))
+
+
+def _before(spans, m, i) -> Column:
+    return F.size(F.filter(F.slice(spans, 1, i), lambda o: o["type"] == m["type"]))
+
+
+def all_spans(text, detectors: list[str] | None = None) -> Column:
     parts = []  # the functions of a loop are applied in its own round
     for i, (kind, pattern) in enumerate(DETECTORS.items()):
         if detectors is None or kind in detectors:
-            own = matches_of(text, pattern)
+            own = F.when(text.rlike(HINTS[kind]), matches_of(text, pattern)).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)"))
             if kind in VALID:
                 own = F.filter(own, lambda m: VALID[kind](m["value"]))
             parts.append(F.transform(own, lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("back"), F.lit(i).alias("det"), F.lit(kind).alias("type"), m["value"].alias("value"))))
     none = F.expr("cast(array() as array<struct<start:int,back:int,det:int,type:string,value:string>>)")
-    kept = F.aggregate(
+    return F.aggregate(
         F.array_sort(F.concat(*parts)),
         F.struct(F.lit(-1).alias("cursor"), none.alias("kept")),
         lambda s, m: F.when(m["start"] < s["cursor"], s).otherwise(F.struct((-m["back"]).cast("int").alias("cursor"), F.concat(s["kept"], F.array(m)).alias("kept"))),
         lambda s: s["kept"],
     )
-    return let(kept, lambda k: F.filter(k, lambda m, i: F.size(F.filter(F.slice(k, 1, i), lambda o: o["type"] == m["type"])) < most_per_type))
 
 
 def token(kind, value, number, strategy: str = "indexed-token", fixed: str = "[REDACTED]", keep_domain: bool = False, digits_kept: int = PHONE_DIGITS_KEPT) -> Column:
@@ -106,3 +122,22 @@ def token(kind, value, number, strategy: str = "indexed-token", fixed: str = "[R
     if keep_domain:
         out = F.when(kind == "email", F.concat(base, F.lit("@"), F.element_at(F.split(value, "@"), 2))).otherwise(out)
     return out
+
+
+# Forms of mobile numbers and addresses, and the mobile's own check.
+MOBILE = r"^09[0-9]{2}-[0-9]{3}-[0-9]{3}$"
+ADDRESS = r"^(臺北市|新北市|臺中市|臺南市|高雄市).+區.+路[0-9]+段[0-9]+號$"
+
+
+def plain_luhn_valid(text) -> Column:
+    """Twelve digits or more, nothing else, with a valid last one."""
+    return F.when(text.rlike("^[0-9]{12,}$"), F.call_function("luhn_check", text)).otherwise(F.lit(False))
+
+
+def valid_value(detector, value) -> Column:
+    """Whether a generated value has its detector's form; unknown detectors: false."""
+    checks = {"tw_national_id": national_id_valid, "tw_phone": lambda v: v.rlike(MOBILE), "credit_card": plain_luhn_valid, "address": lambda v: v.rlike(ADDRESS), "tw_uniform_id": uniform_id_valid}
+    out = F.lit(False)
+    for name, check in checks.items():
+        out = F.when(detector == name, F.coalesce(check(value), F.lit(False))).otherwise(out)
+    return out

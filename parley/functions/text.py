@@ -69,3 +69,65 @@ def cjk_ratio(text) -> F.Column:
 def language_label(label) -> F.Column:
     x = F.lower(F.btrim(label))
     return F.when(x.startswith("zh"), F.lit("zh")).when(x.startswith("en"), F.lit("en")).when(x == "", F.lit("unknown")).otherwise(F.coalesce(x, F.lit("unknown")))
+
+
+def case_text(turns) -> F.Column:
+    """Lower-cased texts of an array of turns, one a line; null where all are blank."""
+    return F.nullif(F.lower(F.btrim(F.array_join(F.transform(turns, lambda t: F.coalesce(t["text"], F.lit(""))), "\n"), F.lit(" \n"))), F.lit(""))
+
+
+def blank_to_null(text) -> F.Column:
+    return F.nullif(F.btrim(text), F.lit(""))
+
+
+# Scripts that tell a language, and frequent words of those written in Latin letters.
+SCRIPTS = {"ja": r"[\x{3040}-\x{30ff}]", "ko": r"[\x{ac00}-\x{d7af}]", "ru": r"[\x{0400}-\x{04ff}]", "el": r"[\x{0370}-\x{03ff}]", "ar": r"[\x{0600}-\x{06ff}]", "he": r"[\x{0590}-\x{05ff}]", "th": r"[\x{0e00}-\x{0e7f}]", "hi": r"[\x{0900}-\x{097f}]"}
+FREQUENT = {
+    "en": "the of and to in is that for it with as was are this be".split(),
+    "de": "der die das und nicht von mit den dem ein eine auf ist zu des".split(),
+    "es": "el la los las de que y en un una por con para del se".split(),
+    "fr": "le la les des et est une dans que pour qui sur au du ne".split(),
+    "it": "il di che non per una sono con del della gli nel alla come anche".split(),
+    "pt": "o os as um uma que do da em para com não dos por mais".split(),
+    "nl": "de het een van en dat op te zijn met voor niet aan er om".split(),
+}
+
+
+def guess_language(text) -> F.Column:
+    """Language of a text by its script, and of Latin letters by frequent words (ties: in FREQUENT's order); null where nothing tells it."""
+
+    def of(low):
+        visible = F.length(F.regexp_replace(low, r"\s", ""))
+        share = lambda pattern: F.try_divide(F.regexp_count(low, F.lit(pattern)), visible)
+        by_words = let(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)), most_frequent)
+        out = F.when(share(SCRIPTS["ja"]) >= 0.1, F.lit("ja")).when(share(r"[\x{4e00}-\x{9fff}]") >= 0.3, F.lit("zh"))
+        for name, pattern in list(SCRIPTS.items())[1:]:
+            out = out.when(share(pattern) >= 0.3, F.lit(name))
+        return out.otherwise(by_words)
+
+    def most_frequent(words):
+        votes = F.array(*(F.struct(F.size(F.filter(words, lambda w: w.isin(*own))).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, own) in enumerate(FREQUENT.items())))
+        return let(F.array_max(votes), lambda best: F.when(best["n"] > 0, best["name"]))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), of)
+
+
+def detect_language(text, expected=None, *fallback) -> F.Column:
+    """A label (zh, en, others) of the text. Chinese characters outweigh the guess; where English is expected, an odd guess of a text with letters and hardly a
+    Chinese character counts as English; where Chinese is expected, a fifth of Chinese characters is enough. Texts that tell nothing take the first
+    fallback that isn't blank; else unknown."""
+    expected = language_label(F.lit(None).cast("string") if expected is None else expected)
+    wanted = language_label(F.coalesce(*map(blank_to_null, fallback), F.lit(None).cast("string")))
+
+    def judged(guess):
+        cjk = F.coalesce(cjk_ratio(text), F.lit(0.0))
+        label = language_label(guess)
+        return (
+            F.when(guess.isNull(), wanted)
+            .when((label != "zh") & (cjk >= 0.3), F.lit("zh"))
+            .when((expected == "en") & ~label.isin("en", "zh") & (cjk < 0.05) & text.rlike(r"\p{L}"), F.lit("en"))
+            .when((expected == "zh") & (cjk >= 0.2), F.lit("zh"))
+            .otherwise(label)
+        )
+
+    return let(guess_language(text), judged)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import language_label, let
+from ..functions.text import detect_language, language_label, let
 
 
 @dataclass(frozen=True)
@@ -40,20 +40,40 @@ def most_common(values) -> F.Column:
     return F.coalesce(runs, F.lit(0))
 
 
+#: Characters of a partition into few classes; all others are one more class.
+CLASSES = ["abcdefghABCDEFGH", "ijklmnopIJKLMNOP", "qrstuvwxyzQRSTUVWXYZ"]
+
+
+def has_common_character(text, share: float) -> F.Column:
+    """Whether some character makes up `share` of the text. Only where a whole class of characters does can one of it: usual texts are settled by
+    counting classes, and only the rest have their characters sorted."""
+    n = F.length(text)
+    sizes = [n - F.length(F.translate(text, c, "")) for c in CLASSES]
+    largest = F.greatest(*sizes, n - sum(sizes[1:], sizes[0]))
+    characters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.when(largest < share * n, F.lit(False)).otherwise(most_common(characters) >= share * n)
+
+
+def has_repeated_words(text, least: int, distinct: int) -> F.Column:
+    """Whether the text has `distinct` different words at most, one of them `least` times. A text whose first words differ more is settled by these."""
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0))
+    first = F.size(F.array_distinct(words(F.substring(text, 1, 400)))) - 1  # the last one may be cut
+    return F.when(first > distinct, F.lit(False)).otherwise(let(words(text), lambda w: (F.size(F.array_distinct(w)) <= distinct) & (most_common(w) >= least)))
+
+
 def noise_reason(text, c: Filter) -> F.Column:
     """Why a text is noise or spam; null if it isn't."""
     x = F.btrim(text)
 
     def of(v):
         n = F.length(v)
-        words = F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0))
         urls = F.regexp_count(F.lower(x), F.lit("https?://"))
         keyword = F.exists(F.array(*map(F.lit, c.spam_keywords)), lambda k: F.contains(F.lower(x), k)) if c.spam_keywords else F.lit(False)
         return (
             F.when(n < c.min_visible, "too_short")
-            .when(most_common(F.filter(F.split(v, ""), lambda ch: ch != "")) / n >= c.max_char_share, "repeated_character")
+            .when(has_common_character(v, c.max_char_share), "repeated_character")
             .when(F.length(F.regexp_replace(v, r"[^\p{L}\p{N}]", "")) / n < c.min_alnum_share, "few_letters")
-            .when((most_common(words) >= c.spam_repeat) & (F.size(F.array_distinct(words)) <= c.spam_unique), "repeated_word")
+            .when(has_repeated_words(x, c.spam_repeat, c.spam_unique), "repeated_word")
             .when(keyword & (urls >= c.spam_urls), "spam_links")
         )
 
@@ -64,11 +84,14 @@ def conversation_digest(turns) -> F.Column:
     return F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), F.btrim(t["text"]))), "\n"), 256)
 
 
-def evaluate(turns: DataFrame, languages: DataFrame, c: Filter = Filter(), dedupe: bool = True, order_col: str = "conv_id") -> DataFrame:
+def evaluate(turns: DataFrame, languages: DataFrame | None, c: Filter = Filter(), dedupe: bool = True, order_col: str = "conv_id") -> DataFrame:
     """turns: conv_id, turn_idx, role, text; languages: conv_id, language. -> conv_id, bucket (primary, chinese, removed), reason, language, digest, pruned_turns.
 
-    A conversation is a duplicate if one with the same text was kept before it in order_col's order: the smallest kept key of each
-    digest, by aggregation, so a text that a third of all conversations share is no task of its own."""
+    A conversation is a duplicate if one with the same text was kept before it in order_col's order. The smallest kept key of each
+    digest comes by aggregation, and conversations find out by their own key and digest whether it is theirs, so a text that a third of all
+    share is no task of its own; conversations that aren't kept take no part. languages None: told from the texts."""
+    if languages is None:
+        languages = detected_languages(turns)
     judged = turns.withColumn("_reason", prune_reason(F.col("text"), c))
     noise = F.when(F.col("_reason").isNull() & F.col("role").isin("user", "assistant"), noise_reason(F.col("text"), c).isNotNull())
     kept = F.when(F.col("_reason").isNull(), F.struct("turn_idx", "role", "text"))
@@ -83,12 +106,21 @@ def evaluate(turns: DataFrame, languages: DataFrame, c: Filter = Filter(), dedup
     routed = F.when(F.col("language").isin(*c.primary), "primary").when(F.col("language").isin(*c.secondary), "chinese")
     found = found.withColumn("_bucket", F.when(F.col("reason").isNull(), routed)).drop("turns", "all_noise", "_language")
     if dedupe:
-        first = found.where(F.col("_bucket").isNotNull()).groupBy("digest").agg(F.min(order_col).alias("_first"))
-        found = found.join(first, "digest", "left").withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_first") < F.col(order_col)), "duplicate_text_hash").otherwise(F.col("reason"))).drop("_first")
+        kept, rest = found.where(F.col("_bucket").isNotNull()), found.where(F.col("_bucket").isNull())
+        first = kept.groupBy("digest").agg(F.min(order_col).alias(order_col)).withColumn("_is_first", F.lit(True))
+        marked = kept.join(first, [order_col, "digest"], "left")
+        found = marked.withColumn("reason", F.when(F.col("_is_first").isNull(), "duplicate_text_hash")).drop("_is_first").unionByName(rest)
     bucket = F.when(F.col("reason").isNull(), F.coalesce("_bucket", F.lit("removed"))).otherwise("removed")
     return found.select("conv_id", bucket.alias("bucket"), F.when(F.col("reason").isNull() & F.col("_bucket").isNull(), "unsupported_language").otherwise(F.col("reason")).alias("reason"), "language", "digest", "pruned_turns")
 
 
+def detected_languages(turns: DataFrame, expected: str | None = None) -> DataFrame:
+    """conv_id, language of each conversation, from its turns' texts (see text.detect_language)."""
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn_idx", F.btrim("text").alias("text")))).alias("t"))
+    text = F.array_join(F.transform(F.filter("t", lambda x: x["text"] != ""), lambda x: x["text"]), "\n")
+    return whole.select("conv_id", detect_language(text, F.lit(expected).cast("string")).alias("language"))
+
+
 def report(evaluated: DataFrame) -> DataFrame:
     """bucket, reason, n and their totals (nulls) by rollup."""
     return evaluated.rollup("bucket", "reason").agg(F.count("*").alias("n"), F.sum("pruned_turns").alias("pruned_turns"), F.grouping_id().alias("level"))

@@ -47,5 +47,19 @@ def source_secrets(spark: SparkSession, folder: str, skipped: tuple[str, ...] =
     """Secret findings of all text files below a folder; files with a zero byte are binary."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     outside = ~F.col("path").rlike("/(" + "|".join(s.replace(".", r"\.") for s in skipped) + ")/")
-    texts = files.where(outside & (F.locate("00", F.hex(F.substring("content", 1, 8000))) % 2 != 1)).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
-    return secret_findings(texts.where(~F.contains("text", F.lit("\x00"))), "file")
+    texts = files.where(outside & ~F.contains("content", F.lit(b"\x00"))).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+    return secret_findings(texts, "file")
+
+
+def audit(spark: SparkSession, groups: dict[str, dict[str, list[str]]], base: str = "") -> tuple[DataFrame, str]:
+    """groups: level (required or reference) -> group -> paths. -> (level, group, path, exists) rows and READY or NOT_READY, on whether all
+    required paths exist. Paths may be of any file system that Spark reads."""
+    session = spark._jvm.org.apache.hadoop.fs
+    rows = []
+    for level, named in groups.items():
+        for group, paths in named.items():
+            for p in paths:
+                at = session.Path(f"{base}/{p}" if base else p)
+                rows.append((level, group, p, bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))))
+    ready = all(r[3] for r in rows if r[0] == "required")
+    return spark.createDataFrame(rows, "level string, group string, path string, exists boolean"), "READY" if ready else "NOT_READY"

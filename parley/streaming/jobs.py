@@ -33,7 +33,7 @@ def distinct_within(stream: DataFrame, time_col: str, keys: list[str], late: str
 
 
 LEDGER_STATE = "repeat_count int, last_turn int"
-LEDGER_OUT = "conv_id long, entry_key string, turn_idx int, repeat_count int, status string"
+LEDGER_OUT = "conv_id long, ledger_type string, entry_key string, turn_idx int, repeat_count int, status string"
 
 
 def repeat_step(count: int, last: int | None, turn: int, resolved: bool, window: int = REPEAT_WINDOW, escalate_at: int = ESCALATE_AT) -> tuple[int, str]:
@@ -46,10 +46,12 @@ def repeat_step(count: int, last: int | None, turn: int, resolved: bool, window:
     return count, "ESCALATED" if count >= escalate_at else "REPEATED" if count >= 2 else "NEW"
 
 
-def repeat_ledger(stream: DataFrame, window: int = REPEAT_WINDOW, escalate_at: int = ESCALATE_AT, idle: str = "30 minutes") -> DataFrame:
-    """Decisions as events (conv_id, entry_key, turn_idx, resolved) come in; a key's state is two numbers and ends after `idle` without events.
+def repeat_ledger(stream: DataFrame, time_col: str = "ts", late: str = "1 hour", idle: str = "30 days", window: int = REPEAT_WINDOW, escalate_at: int = ESCALATE_AT) -> DataFrame:
+    """Decisions as events (conv_id, ledger_type, entry_key, turn_idx, resolved, time) come in, the same as ledger.repeat_chains gives on the whole table.
 
-    Turns of a key are taken in order within a micro-batch; a turn that comes later than a higher one counts from the last turn seen."""
+    A key is that of the batch ledger. Its state is two numbers and ends when the watermark is `idle` past its latest event: by the events' own
+    time, so results don't depend on when the query runs; `idle` is to be longer than a conversation rests. Turns of a key are taken in order within a
+    micro-batch; a turn that comes later than a higher one counts from the last turn seen."""
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,14 +59,17 @@ def repeat_ledger(stream: DataFrame, window: int = REPEAT_WINDOW, escalate_at: i
             state.remove()
             return
         count, last = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values("turn_idx", kind="stable")
+        rows = pd.concat(list(batches))
+        until = int(rows["_millis"].max()) + wait
+        rows = rows.sort_values("turn_idx", kind="stable")
         out = []
         for turn, resolved in zip(rows["turn_idx"], rows["resolved"], strict=True):
             count, status = repeat_step(count, last, int(turn), bool(resolved), window, escalate_at)
             last = int(turn)
             out.append((*key, last, count, status))
         state.update((count, last))
-        state.setTimeoutDuration(wait)
-        yield pd.DataFrame(out, columns=["conv_id", "entry_key", "turn_idx", "repeat_count", "status"])
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["conv_id", "ledger_type", "entry_key", "turn_idx", "repeat_count", "status"])
 
-    return stream.groupBy("conv_id", "entry_key").applyInPandasWithState(step, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = timed(stream, time_col, late).withColumn("_millis", F.unix_millis(time_col))
+    return keyed.groupBy("conv_id", "ledger_type", "entry_key").applyInPandasWithState(step, LEDGER_OUT, LEDGER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
