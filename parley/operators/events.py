@@ -34,7 +34,11 @@ def rule_hits(turns: DataFrame, rules: list[tuple]) -> DataFrame:
 def context_drift(turns: DataFrame) -> DataFrame:
     """(conv_id, turn_idx) of assistant turns whose content shares nothing with all before, after a user's sign of distress.
 
-    An earlier occurrence of a word is its first one, so no turn is joined with those before it: linear in words."""
+    An earlier occurrence of a word is its first one, so no turn is joined with those before it: linear in words. Words are taken only
+    of conversations in which a user shows distress before some answer."""
+    distress = (F.col("role") == "user") & has_distress_cue(F.col("text"))
+    spans = turns.groupBy("conv_id").agg(F.min(F.when(distress, F.col("turn_idx"))).alias("first"), F.max(F.when(F.col("role") == "assistant", F.col("turn_idx"))).alias("last"))
+    turns = turns.join(spans.where("first < last").select("conv_id"), "conv_id", "left_semi")
     words = turns.select("conv_id", "turn_idx", F.explode(content_words(F.col("text"))).alias("word"))
     first = F.min("turn_idx").over(Window.partitionBy("conv_id", "word"))
     per_turn = words.withColumn("first", first).groupBy("conv_id", "turn_idx").agg(F.count("*").alias("n"), F.sum((F.col("first") < F.col("turn_idx")).cast("int")).alias("old"), F.sum((F.col("first") == F.col("turn_idx")).cast("int")).alias("new"))

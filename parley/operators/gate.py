@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATES, SIGNAL_STATES = ("ST_NRM", "ST_DEV", "ST_ALM"), ("CLEAR", "GUARDED", "TRIGGERED", "LOCKDOWN", "DISABLED")
@@ -32,6 +32,29 @@ def schema_findings() -> F.Column:
     )
 
 
+def event_log_findings(rows: DataFrame, case_col: str = "case_id", place_col: str = "place") -> DataFrame:
+    """rows (case, place, event_id, axis, severity, turn_index) with findings: faults of the row, and a turn below that of the last row before it with a valid one."""
+    from ..rules import AXES, SEVERITY_RANK
+
+    turn = F.col("turn_index")
+    valid = F.coalesce(turn >= 0, F.lit(False))
+    before = Window.partitionBy(case_col).orderBy(place_col).rowsBetween(Window.unboundedPreceding, -1)
+    marked = rows.withColumn("_last", F.last(F.when(valid, turn), ignorenulls=True).over(before))
+    found = findings(
+        ("event-id-missing", F.btrim(F.coalesce(F.col("event_id").cast("string"), F.lit(""))) == ""),
+        ("event-axis-invalid", ~F.coalesce(F.col("axis"), F.lit("")).isin(*AXES)),
+        ("event-severity-invalid", ~F.coalesce(F.col("severity"), F.lit("")).isin(*SEVERITY_RANK)),
+        ("event-turn-index-invalid", ~valid),
+        ("event-turn-order-violation", valid & (turn < F.col("_last"))),
+    )
+    return marked.withColumn("findings", found).drop("_last")
+
+
+def exit_code(decision) -> F.Column:
+    """0 for GO, 1 for NO_GO, 2 for anything else."""
+    return F.when(decision == "GO", 0).when(decision == "NO_GO", 1).otherwise(2)
+
+
 def metric(x) -> F.Column:
     """A count given as text or number: blank and null are 0, anything but a whole number from 0 is null."""
     text = F.btrim(x.cast("string"))
@@ -80,21 +103,32 @@ def gate(rows: DataFrame, **options) -> DataFrame:
 
 
 def report_errors() -> F.Column:
-    """Of a report's columns risk_status, peak_status, stability_index, evidence_count, map_size, review_note, ci_lower, ci_upper, ci_unit, fingerprint, event_rules, signal_rules."""
-    from ..rules import REPORT_RANK, lookup
+    """Of a report's fields risk_status, peak_status, stability_index, ci_lower, ci_upper, ci_unit, evidence_count and warning_count (null: no
+    array), review_note, fingerprint, schema_version, event_rules, signal_rules, map_size (null: no object): ids of the rules that it breaks. A report
+    that is no object is named by `report-not-object` alone (is_object)."""
+    from ..rules import REPORT_RANK, REVIEWERS, lookup
 
     rank = lambda c: lookup(REPORT_RANK, F.col(c), None)
-    return findings(
+    known = lambda c: F.coalesce(c, F.lit(False))
+    count = lambda c: known(F.col(c) >= 0)
+    rules = findings(
+        ("peak-below-risk", rank("peak_status") < rank("risk_status")),
+        ("stability-range", ~known(F.col("stability_index").between(0, 100))),
         ("risk-status-invalid", rank("risk_status").isNull()),
         ("peak-status-invalid", rank("peak_status").isNull()),
-        ("peak-below-risk", rank("peak_status") < rank("risk_status")),
-        ("stability-range", F.col("stability_index").isNull() | ~F.col("stability_index").between(0, 100)),
+        ("interval-order", ~known(F.col("ci_lower") <= F.col("ci_upper"))),
+        ("interval-lower", ~known(F.col("ci_lower") >= 0)),
+        ("interval-upper", ~known(F.col("ci_upper") <= 4)),
+        ("interval-unit", ~known(F.col("ci_unit") == "risk_score_0_to_4")),
+        ("evidence-list", F.col("evidence_count").isNull()),
+        ("warning-list", F.col("warning_count").isNull()),
+        ("review-note", ~known(F.contains("review_note", F.lit(REVIEWERS)))),
+        ("fingerprint-format", ~known(F.col("fingerprint").rlike("^[a-f0-9]{64}$"))),
+        ("rule-version", ~(known(F.btrim("schema_version") != "") & count("event_rules") & count("signal_rules"))),
+        ("evidence-map", F.col("map_size").isNull()),
+        ("normal-much-evidence", (F.col("risk_status") == "Normal") & (F.col("evidence_count") > 1)),
         ("alert-stability", (F.col("risk_status") == "Alert") & (F.col("stability_index") >= 70)),
         ("normal-with-evidence", (F.col("risk_status") == "Normal") & (F.col("evidence_count") > 0)),
         ("evidence-map-size", F.col("evidence_count") != F.col("map_size")),
-        ("review-note-missing", F.btrim(F.coalesce(F.col("review_note"), F.lit(""))) == ""),
-        ("interval-bounds", F.col("ci_lower").isNull() | F.col("ci_upper").isNull() | (F.col("ci_lower") > F.col("ci_upper")) | (F.col("ci_lower") < 0) | (F.col("ci_upper") > 4)),
-        ("interval-unit", ~F.coalesce(F.col("ci_unit") == "risk_score_0_to_4", F.lit(False))),
-        ("fingerprint-format", ~F.coalesce(F.col("fingerprint"), F.lit("")).rlike("^[A-Fa-f0-9]{64}$")),
-        ("rule-version", F.col("event_rules").isNull() | F.col("signal_rules").isNull()),
     )
+    return F.when(known(F.col("is_object")), rules).otherwise(F.array(F.lit("report-not-object")))

@@ -24,7 +24,7 @@ def from_rows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     """Turns from a table with a row per turn; trust follows from the role, blank ids and roles get defaults."""
     role = F.coalesce(role_name(F.col(role_col)), F.lit("user"))
     return rows.where(F.col(text_col).isNotNull()).select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("int").alias("turn_idx"), F.concat(F.lit("T"), (F.col(turn_col) + 1).cast("string")).alias("turn_id"),
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("int").alias("turn_idx"), F.format_string("T%03d", F.col(turn_col).cast("int") + 1).alias("turn_id"),
         role.alias("role"), F.col(text_col).alias("text"), lookup(TRUST_OF_ROLE, role, "unknown").alias("source_trust"), F.lit(False).alias("boundary_bypass"),
     )
 

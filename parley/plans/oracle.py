@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from ..rules import AXES, AXIS_FLOORS, CAP, DISTRESS_CUES, EVENT_RULES, SIGNAL_RULES, STOPWORDS, TIE_ORDER
-from .queries import PHRASES, WORD_RULES
+from .oracle_values import AXES, AXIS_FLOORS, CAP, DISTRESS_CUES, EVENT_RULES, PHRASES, SIGNAL_RULES, STOPWORDS, TIE_ORDER, WORD_RULES
 
 
 def q(text) -> str:
@@ -21,7 +20,7 @@ def rule_values(rules) -> str:
 EVENT = [(i, axis, severity, "any", phrases) for i, axis, severity, phrases in EVENT_RULES]
 RANK = lambda c: f"(CASE {c} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 ELSE 0 END)"
 
-PLAIN = """plain AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn_idx, 'T' || CAST(turn + 1 AS VARCHAR) AS turn_id, role, text,
+PLAIN = """plain AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn_idx, printf('T%03d', CAST(turn + 1 AS INTEGER)) AS turn_id, role, text,
   CASE role WHEN 'user' THEN 'trusted' WHEN 'assistant' THEN 'untrusted' ELSE 'unknown' END AS source_trust, false AS boundary_bypass FROM conversations WHERE text IS NOT NULL)"""
 INJECTED = f"""{PLAIN}, phrase(i, p) AS (VALUES {values((str(i), q(p)) for i, p in enumerate(PHRASES))}),
 turns AS (SELECT conv_id, turn_idx, turn_id, role, CASE WHEN (conv_id * 13 + turn_idx * 5) % 4 = 0 THEN text || ' ' || p ELSE text END AS text, source_trust, (conv_id * 17 + turn_idx) % 29 = 0 AS boundary_bypass
@@ -109,17 +108,40 @@ STATE = f"""st0 AS (SELECT *, greatest(fr, ca, sr, sa) AS overall, {" + ".join(f
 st AS (SELECT *, CASE WHEN overall <= 1 THEN 'ST_NRM' WHEN overall >= 4 THEN 'ST_ALM' ELSE 'ST_DEV' END AS ps, CASE WHEN overall > 0 THEN CASE {" ".join(f"WHEN overall = {a.lower()} THEN '{a}'" for a in TIE_ORDER)} END END AS sub_axis FROM st0)"""
 SUB = "CASE WHEN ps = 'ST_NRM' OR sub_axis IS NULL THEN 'SUB_NONE' ELSE 'SUB_' || sub_axis END"
 EVIDENCE = """ev AS (SELECT * FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY sev_rank DESC, turn_idx, event_id) AS place, axis, turn_id, event_id, substring(trim(regexp_replace(summary, '[\\s]+', ' ', 'g')), 1, 200) AS summary FROM uni) WHERE summary <> '')"""
+TOP = """rk AS (SELECT ev.*, CASE WHEN ev.axis = st.sub_axis THEN 0 ELSE 1 END AS other, CASE ev.axis WHEN 'FR' THEN fr WHEN 'CA' THEN ca WHEN 'SR' THEN sr ELSE sa END AS score FROM ev JOIN st USING (conv_id)),
+ds AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY conv_id, axis, turn_id, summary ORDER BY other, score DESC, place) = 1), best AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY other, score DESC, place) AS k FROM ds QUALIFY k <= 3),
+etext AS (SELECT st.conv_id, coalesce(string_agg(trim(best.axis || ':' || turn_id || ' ' || summary), ' | ' ORDER BY k), 'No material evidence provided.') AS e FROM st LEFT JOIN best USING (conv_id) GROUP BY st.conv_id)"""
 BASE = f"WITH {INJECTED}, {event_sql()}, {signal_sql()}"
-WHOLE = f"{BASE}, {summary_sql()}, {UNIFIED}, {LEDGER_OF_UNI}, {chain_sql('led')}, {TAGS}, {AXES_SQL}, {STATE}, {EVIDENCE}"
+
+
+def whole_sql(turns: str = INJECTED) -> str:
+    """All stages but the report, over a CTE `turns`."""
+    return f"WITH {turns}, {event_sql()}, {signal_sql()}, {summary_sql()}, {UNIFIED}, {LEDGER_OF_UNI}, {chain_sql('led')}, {TAGS}, {AXES_SQL}, {STATE}, {EVIDENCE}"
+
+
+WHOLE = whole_sql()
 STATUS_RANK = lambda c: f"(CASE {c} WHEN 'Alert' THEN 3 WHEN 'Deviate' THEN 2 WHEN 'Observe' THEN 1 ELSE 0 END)"
 STATUS_NAME = lambda c: f"(CASE {c} WHEN 3 THEN 'Alert' WHEN 2 THEN 'Deviate' WHEN 1 THEN 'Observe' ELSE 'Normal' END)"
-REPORT = f"""{WHOLE}, tot AS (SELECT conv_id, count(*) AS events, max(sev_rank) AS worst, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high FROM uni GROUP BY conv_id),
-r0 AS (SELECT c.conv_id, c.turn_count, coalesce(events, 0) AS events, coalesce(worst, 0) AS worst, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(escalated, 0) AS escalated, v.status, t.final_level, s.overall, s.ps, {SUB} AS sub,
-  (SELECT count(*) FROM ev WHERE ev.conv_id = c.conv_id) AS evidence_count FROM (SELECT conv_id, count(*) AS turn_count FROM turns GROUP BY conv_id) c LEFT JOIN tot USING (conv_id) LEFT JOIN esc USING (conv_id) JOIN vsum v USING (conv_id) JOIN tag t USING (conv_id) JOIN st s USING (conv_id)),
-r1 AS (SELECT *, CAST(critical > 0 AS INTEGER) + CAST(high > 0 AS INTEGER) + CAST((CASE WHEN status IN ('TRIGGERED', 'LOCKDOWN') THEN 1 ELSE 0 END) + escalated > 0 AS INTEGER) AS blocking,
+
+
+def report_sql(turns: str = INJECTED) -> str:
+    """The report's numbers, r2. A summary of evidence beyond 320 characters is a schema finding, fails the tests' check and is a regression: three findings."""
+    return f"""{whole_sql(turns)}, {TOP}, tot AS (SELECT conv_id, count(*) AS events, max(sev_rank) AS worst, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high FROM uni GROUP BY conv_id),
+r0 AS (SELECT c.conv_id, c.turn_count, coalesce(events, 0) AS events, coalesce(worst, 0) AS worst, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(escalated, 0) AS escalated, v.status, t.final_level, s.overall, s.ps, {SUB} AS sub, CAST(length(et.e) > 320 AS INTEGER) AS too_long, et.e,
+  (SELECT count(*) FROM ev WHERE ev.conv_id = c.conv_id) AS evidence_count FROM (SELECT conv_id, count(*) AS turn_count FROM turns GROUP BY conv_id) c LEFT JOIN tot USING (conv_id) LEFT JOIN esc USING (conv_id) JOIN vsum v USING (conv_id) JOIN tag t USING (conv_id) JOIN st s USING (conv_id) JOIN etext et USING (conv_id)),
+r1 AS (SELECT *, CAST(critical > 0 AS INTEGER) + CAST(high > 0 AS INTEGER) + CAST((CASE WHEN status IN ('TRIGGERED', 'LOCKDOWN') THEN 1 ELSE 0 END) + escalated > 0 AS INTEGER) + 3 * too_long AS blocking,
   CASE WHEN worst = 4 THEN 3 WHEN worst = 3 THEN 2 WHEN events > 0 THEN 1 ELSE 0 END AS by_sev, greatest(CASE ps WHEN 'ST_ALM' THEN 3 WHEN 'ST_DEV' THEN 2 ELSE 0 END, CASE final_level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 1 ELSE 0 END, CASE status WHEN 'LOCKDOWN' THEN 3 WHEN 'TRIGGERED' THEN 2 WHEN 'GUARDED' THEN 1 ELSE 0 END) AS other FROM r0),
 r2 AS (SELECT *, CASE WHEN greatest(by_sev, other) = 0 AND (events > 0 OR overall > 0) THEN 1 ELSE greatest(by_sev, other) END AS risk, greatest(0, least(100, floor(100 - events / greatest(1, turn_count) * 32 - 7 * high - 12 * critical - 10 * escalated - 8 * blocking + 0.5))) AS idx, CASE WHEN events > 0 THEN greatest(0.25, least(1.0, 1 / sqrt(events))) ELSE 0.25 END AS margin FROM r1)"""
 
+
+REPORT = report_sql()
+#: Every fifth turn names an address and a host; numbers go through the conversation.
+CLEANED = INJECTED.replace("turns AS (", "injected AS (", 1) + """,
+turns AS (SELECT * REPLACE (CASE WHEN (conv_id * 7 + turn_idx) % 5 = 0 THEN text || ' mail [EMAIL_' || CAST(n AS VARCHAR) || '] from [IPV4_' || CAST(n AS VARCHAR) || ']' ELSE text END AS text) FROM (
+  SELECT *, count(*) FILTER (WHERE (conv_id * 7 + turn_idx) % 5 = 0) OVER (PARTITION BY conv_id ORDER BY turn_idx) AS n FROM injected))"""
+REPORT_ROWS = f"""SELECT conv_id, CASE WHEN blocking = 0 THEN 'GO' ELSE 'NO_GO' END AS decision, {STATUS_NAME("risk")} AS risk_status, {STATUS_NAME("greatest(risk, by_sev, CASE WHEN escalated > 0 THEN 2 ELSE 0 END)")} AS peak_status, CAST(CASE WHEN risk = 3 THEN least(idx, 69) ELSE idx END AS INTEGER) AS stability_index,
+round(greatest(0, overall - margin), 2) AS ci_lower, round(least(4, overall + margin), 2) AS ci_upper, turn_count, events AS event_count, CAST(blocking AS INTEGER) AS blocking_findings, status AS vcd_status, final_level AS tag_level, ps, sub, CAST(evidence_count AS INTEGER) AS evidence_count, CAST(events AS INTEGER) AS map_size FROM r2"""
+
 EVENTS_LEDGER = """led AS (SELECT user_id AS conv_id, CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 3 = 0 THEN 'fact' ELSE 'context' END AS ledger_type, event_type AS entry_key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS turn_idx, event_id AS ord_key, event_type IN ('error', 'purchase') AND event_id % 7 = 0 AS resolved FROM events)"""
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN 2 * CAST(substr(d, length(d) - i + 1, 1) AS INTEGER) > 9 THEN 2 * CAST(substr(d, length(d) - i + 1, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(d, length(d) - i + 1, 1) AS INTEGER) END ELSE CAST(substr(d, length(d) - i + 1, 1) AS INTEGER) END)) % 10 = 0"
@@ -143,6 +165,22 @@ def chain_of(pattern: str, where: str = "true", text: str = "text") -> str:
     return f"SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all({text}, '{pattern}')) AS value FROM documents) WHERE {where}"
 
 
+SECRETS = {
+    "gitlab-pat": "\\bglpat-[A-Za-z0-9\\-_.]{20,}\\b",
+    "openai-key": "\\bsk-[A-Za-z0-9]{20,}\\b",
+    "private-key-header": "-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
+    "generic-secret-assignment": "(?i)\\b(?:api[_-]?key|token|secret|password)\\b\\s*[:=]\\s*[\"'']?[A-Za-z0-9_\\-]{16,}",
+}
+
+
+def secret_sql() -> str:
+    """All matches of each pattern in the whole text: what lies between matches and the matches add up to places."""
+    found = " UNION ALL ".join(f"SELECT doc_id, text, '{n}' AS pattern, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS s FROM documents" for n, p in SECRETS.items())
+    return f"""WITH f AS ({found}), e AS (SELECT doc_id, text, pattern, unnest(m) AS m, unnest(s[1:len(m)]) AS s, generate_subscripts(m, 1) AS k FROM f),
+p AS (SELECT doc_id, pattern, substring(text, 1, CAST(sum(length(s) + length(m)) OVER (PARTITION BY doc_id, pattern ORDER BY k) AS BIGINT) - length(m)) AS before FROM e)
+SELECT doc_id AS id, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INTEGER) AS line_no, CAST(length(string_split(before, chr(10))[-1]) + 1 AS INTEGER) AS column_no, pattern FROM p"""
+
+
 ORACLE: dict[str, str] = {
     "turns_normalized": f"WITH {PLAIN} SELECT conv_id, turn_idx, turn_id, role, source_trust, CAST(length(text) AS INTEGER) AS n_chars FROM plain",
     "event_hits_by_rule": f"WITH {INJECTED}, {event_sql()} SELECT rule_id, count(*) AS n, CAST(max(hit_no) AS INTEGER) AS most_in_conversation FROM risk GROUP BY rule_id",
@@ -166,13 +204,17 @@ r(conv_id, k, level, stable) AS (SELECT conv_id, k, level, 0 FROM s WHERE k = 1
 SELECT conv_id, count(*) FILTER (WHERE level = 2) AS high, count(*) FILTER (WHERE level = 1) AS medium, CAST(sum(stable) AS BIGINT) AS stable FROM r GROUP BY conv_id""",
     "axis_scores": f"{WHOLE} SELECT * FROM axes",
     "ps_sub_f": f"{WHOLE} SELECT conv_id, CAST(overall AS INTEGER) AS overall, CAST(high_axes AS INTEGER) AS high_axes, ps, {SUB} AS sub, overall >= 4 OR high_axes >= 2 AS f_triggered, 'F' || CAST(overall AS VARCHAR) AS f_level, CASE WHEN overall >= 4 THEN 'score-threshold' ELSE '' END || CASE WHEN overall >= 4 AND high_axes >= 2 THEN ';' ELSE '' END || CASE WHEN high_axes >= 2 THEN 'multi-high-axis' ELSE '' END AS f_reasons FROM st",
-    "evidence_topk": f"""{WHOLE}, rk AS (SELECT ev.*, CASE WHEN ev.axis = st.sub_axis THEN 0 ELSE 1 END AS other, CASE ev.axis WHEN 'FR' THEN fr WHEN 'CA' THEN ca WHEN 'SR' THEN sr ELSE sa END AS score FROM ev JOIN st USING (conv_id)),
-ds AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY conv_id, axis, turn_id, summary ORDER BY other, score DESC, place) = 1), top AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY other, score DESC, place) AS k FROM ds QUALIFY k <= 3)
-SELECT st.conv_id, coalesce(string_agg(trim(top.axis || ':' || turn_id || ' ' || summary), ' | ' ORDER BY k), 'No material evidence provided.') AS e FROM st LEFT JOIN top USING (conv_id) GROUP BY st.conv_id""",
-    "risk_report": f"""{REPORT} SELECT conv_id, CASE WHEN blocking = 0 THEN 'GO' ELSE 'NO_GO' END AS decision, {STATUS_NAME("risk")} AS risk_status, {STATUS_NAME("greatest(risk, by_sev, CASE WHEN escalated > 0 THEN 2 ELSE 0 END)")} AS peak_status, CAST(CASE WHEN risk = 3 THEN least(idx, 69) ELSE idx END AS INTEGER) AS stability_index,
-round(greatest(0, overall - margin), 2) AS ci_lower, round(least(4, overall + margin), 2) AS ci_upper, turn_count, events AS event_count, CAST(blocking AS INTEGER) AS blocking_findings, status AS vcd_status, final_level AS tag_level, ps, sub, CAST(evidence_count AS INTEGER) AS evidence_count, CAST(events AS INTEGER) AS map_size FROM r2""",
+    "evidence_topk": f"{WHOLE}, {TOP} SELECT conv_id, e FROM etext",
+    "risk_report": f"{REPORT} {REPORT_ROWS}",
+    "risk_report_deidentified": f"{report_sql(CLEANED)} {REPORT_ROWS.replace(' FROM r2', ', sha256(e) AS e_sha FROM r2')}",
     "batch_summary": f"{REPORT} SELECT count(*) AS processed, count(*) FILTER (WHERE blocking = 0) AS go, count(*) FILTER (WHERE blocking > 0) AS no_go FROM r2",
-    "report_consistency": f"{REPORT} SELECT conv_id, array_to_string(list_filter([CASE WHEN conv_id % 4 = 0 THEN 'stability-range' END, CASE WHEN conv_id % 10 = 0 THEN 'interval-unit' END, CASE WHEN conv_id % 6 = 0 THEN 'fingerprint-format' END], lambda x: x IS NOT NULL), ';') AS errors FROM r2",
+    "report_consistency": f"""{REPORT}, own AS ({REPORT_ROWS}),
+x AS (SELECT conv_id, conv_id AS c, CASE WHEN c % 15 = 7 THEN 'Odd' ELSE risk_status END AS risk, CASE WHEN c % 14 = 3 THEN 'Normal' ELSE peak_status END AS peak, CASE WHEN c % 4 = 0 THEN 170 ELSE stability_index END AS idx, CASE WHEN c % 7 = 6 THEN -1.0 WHEN c % 13 = 5 THEN 4.5 ELSE ci_lower END AS lo, CASE WHEN c % 11 = 2 THEN 5.0 ELSE ci_upper END AS hi,
+  CASE WHEN c % 17 = 1 THEN NULL ELSE evidence_count END AS n, CASE WHEN c % 23 = 3 THEN NULL ELSE map_size END AS m FROM own)
+SELECT conv_id, CASE WHEN c % 29 = 4 THEN 'report-not-object' ELSE array_to_string(list_filter([
+CASE WHEN risk <> 'Odd' AND {STATUS_RANK("peak")} < {STATUS_RANK("risk")} THEN 'peak-below-risk' END, CASE WHEN idx NOT BETWEEN 0 AND 100 THEN 'stability-range' END, CASE WHEN risk = 'Odd' THEN 'risk-status-invalid' END, CASE WHEN lo > hi THEN 'interval-order' END, CASE WHEN lo < 0 THEN 'interval-lower' END, CASE WHEN hi > 4 THEN 'interval-upper' END,
+CASE WHEN c % 10 = 0 THEN 'interval-unit' END, CASE WHEN n IS NULL THEN 'evidence-list' END, CASE WHEN c % 19 = 2 THEN 'warning-list' END, CASE WHEN c % 9 = 4 THEN 'review-note' END, CASE WHEN c % 6 = 0 THEN 'fingerprint-format' END, CASE WHEN c % 8 = 5 OR c % 12 = 7 THEN 'rule-version' END, CASE WHEN m IS NULL THEN 'evidence-map' END,
+CASE WHEN risk = 'Normal' AND n > 1 THEN 'normal-much-evidence' END, CASE WHEN risk = 'Alert' AND idx >= 70 THEN 'alert-stability' END, CASE WHEN risk = 'Normal' AND n > 0 THEN 'normal-with-evidence' END, CASE WHEN n <> m THEN 'evidence-map-size' END], lambda y: y IS NOT NULL), ';') END AS errors FROM x""",
     "gate_decisions": """WITH f AS (SELECT o_orderkey AS k, list_filter([
 CASE WHEN k % 5 <> 0 AND k % 31 = 0 THEN 'check-tests-missing' END, CASE WHEN k % 5 = 0 THEN 'check-tests-failed' END, CASE WHEN k % 7 <> 0 AND k % 41 = 0 THEN 'metric-critical-open-invalid' END, CASE WHEN k % 7 = 0 THEN 'metric-critical-open' END,
 CASE WHEN k % 4 < 1 THEN 'approvals-minimum' END, CASE WHEN k % 2 <> 0 THEN 'validation-not-ready' END, CASE WHEN k % 6 = 0 AND k % 12 <> 0 THEN 'freeze-no-exception' END, CASE WHEN k % 12 = 0 AND k % 24 <> 0 THEN 'freeze-ticket-missing' END,
@@ -189,7 +231,7 @@ SELECT finding, count(*) AS n FROM (SELECT unnest([CASE WHEN sub IS NULL THEN 's
     "pii_query_secret": "SELECT doc_id, CAST(length(text) + length(' http://a.example/x?q=1&Token=') AS BIGINT) AS start, md5(CAST(doc_id AS VARCHAR)) AS value FROM documents",
     "pii_counts_by_type": f"SELECT doc_id, type, count(*) AS n FROM (SELECT doc_id, 'email' AS type FROM ({chain_of('(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b')}) UNION ALL SELECT doc_id, 'ipv4' FROM ({chain_of(f'\\b{OCTET}(?:\\.{OCTET}){{3}}\\b')})) GROUP BY ALL",
     "deid_redacted_text": f"SELECT doc_id, CAST(length(regexp_replace(text, '\\b{OCTET}(?:\\.{OCTET}){{3}}\\b', '[IPV4_1]', 'g')) AS INTEGER) + CAST(coalesce(list_sum(list_transform(range(1, len(regexp_extract_all(text, '\\b{OCTET}(?:\\.{OCTET}){{3}}\\b')) + 1), lambda i: length(CAST(i AS VARCHAR)) - 1)), 0) AS INTEGER) AS n_chars, sha256(regexp_replace(text, '\\b{OCTET}(?:\\.{OCTET}){{3}}\\b', '<ip>', 'g')) AS sha FROM documents",
-    "secret_scan": """SELECT id, line_no, column_no, pattern FROM (SELECT doc_id AS id, CAST(i AS INTEGER) AS line_no, CAST(strpos(line, v) AS INTEGER) AS column_no, 'generic-secret-assignment' AS pattern, v FROM (SELECT doc_id, i, line, regexp_extract(line, '(?i)\\b(?:api[_-]?key|token|secret|password)\\b\\s*[:=]\\s*["'']?[A-Za-z0-9_\\-]{16,}') AS v FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents))) WHERE v <> ''""",
+    "secret_scan": secret_sql(),
     "dedupe_global_first": "SELECT sha256(trim(text, ' ')) AS digest, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1",
     "weighted_round_robin": "SELECT doc_id, source || '-' || lpad(CAST(rn AS VARCHAR), 4, '0') AS sample_id, CAST((rn - 1) // w AS INTEGER) AS round, CAST(o + (rn - 1) % w AS INTEGER) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 1 ELSE 2 END AS w, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 3 ELSE 4 END AS o FROM documents WHERE source IN ('src0', 'src1', 'src2')) ORDER BY round, slot LIMIT 60",
     "round_robin_by_group": "SELECT doc_id, lang, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) ORDER BY rn, lang LIMIT 50",
@@ -252,4 +294,59 @@ ORACLE["validation_readiness"] = "SELECT o_orderkey AS case_id, CAST(o_orderkey
 ORACLE["quota_per_group"] = "SELECT doc_id, source, CAST(place AS INTEGER) AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) WHERE place <= 5"
 ORACLE["rule_gaps"] = f"WITH {INJECTED}, {event_sql(EVENT, False)}, o AS (SELECT DISTINCT CASE rule_id WHEN 'FR_03' THEN 'ZZ_01' ELSE rule_id END AS rule_id FROM risk) SELECT coalesce(k.rule_id, o.rule_id) AS rule_id, CASE WHEN o.rule_id IS NULL THEN 'missing' WHEN k.rule_id IS NULL THEN 'unknown' ELSE 'seen' END AS state FROM (SELECT rule_id FROM ehit_rule) k FULL OUTER JOIN o ON k.rule_id = o.rule_id"
 ORACLE["nested_list_profile"] = "SELECT lang, count(*) AS rows, CAST(sum(n) AS BIGINT) AS elements, count(*) FILTER (WHERE n = 0) AS empty, CAST(max(n) AS INTEGER) AS largest FROM (SELECT lang, len(regexp_extract_all(text, '\\b[A-Z][a-z]+ing\\b')) AS n FROM documents) GROUP BY lang"
-ORACLE["report_markdown"] = f"""{REPORT} SELECT conv_id, CAST(length('# Report' || chr(10) || chr(10) || '- decision: ' || CASE WHEN blocking = 0 THEN 'GO' ELSE 'NO_GO' END || chr(10) || '- risk_status: ' || {STATUS_NAME("risk")} || chr(10) || '- stability_index: ' || CAST(CAST(CASE WHEN risk = 3 THEN least(idx, 69) ELSE idx END AS INTEGER) AS VARCHAR)) AS INTEGER) AS n_chars FROM r2"""
+ORACLE["report_markdown"] = f"""{REPORT} SELECT conv_id, sha256('# Report' || chr(10) || chr(10) || '- decision: ' || CASE WHEN blocking = 0 THEN 'GO' ELSE 'NO_GO' END || chr(10) || '- risk_status: ' || {STATUS_NAME("risk")} || chr(10) || '- stability_index: ' || CAST(CAST(CASE WHEN risk = 3 THEN least(idx, 69) ELSE idx END AS INTEGER) AS VARCHAR)) AS sha FROM r2"""
+ORACLE["dataset_test_run"] = (
+    filtered("'en'")
+    + """, sets AS (SELECT f.*, CASE WHEN conv_id % 3 = 0 THEN 'a' ELSE 'b' END AS dataset FROM final f),
+sampled AS (SELECT conv_id FROM (SELECT conv_id, (rn - 1) // w AS round, o + (rn - 1) % w AS slot FROM (SELECT conv_id, row_number() OVER (PARTITION BY dataset ORDER BY conv_id) AS rn, CASE dataset WHEN 'a' THEN 2 ELSE 1 END AS w, CASE dataset WHEN 'a' THEN 0 ELSE 2 END AS o FROM sets WHERE reason = 'none')) ORDER BY round, slot LIMIT 30), """
+    + report_sql("turns AS (SELECT * REPLACE ('trusted' AS source_trust, 'T' || CAST(turn_idx + 1 AS VARCHAR) AS turn_id) FROM plain WHERE conv_id IN (SELECT conv_id FROM sampled))").removeprefix("WITH ")
+    + """ SELECT dataset, count(*) AS total, count(*) FILTER (WHERE reason = 'none') AS kept, count(blocking) AS sampled, count(*) FILTER (WHERE blocking = 0) AS go, count(*) FILTER (WHERE blocking > 0) AS no_go, round(count(*) FILTER (WHERE reason = 'none') / count(*), 6) AS pass_rate FROM sets LEFT JOIN r2 USING (conv_id) GROUP BY dataset"""
+)
+ORACLE["event_log_order"] = """WITH r AS (SELECT user_id, event_id AS k, CASE WHEN event_id % 37 = 0 THEN -1 WHEN event_id % 41 <> 0 THEN event_id * 7919 % 50 END AS t FROM events),
+m AS (SELECT *, last_value(CASE WHEN t >= 0 THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_t FROM r),
+f AS (SELECT k, unnest([CASE WHEN k % 31 = 0 THEN 'event-id-missing' END, CASE WHEN k % 29 = 0 THEN 'event-axis-invalid' END, CASE WHEN k % 23 = 0 THEN 'event-severity-invalid' END, CASE WHEN t IS NULL OR t < 0 THEN 'event-turn-index-invalid' END, CASE WHEN t >= 0 AND t < last_t THEN 'event-turn-order-violation' END]) AS finding FROM m)
+SELECT finding, count(*) AS n, CAST(sum(k) AS BIGINT) AS event_sum FROM f WHERE finding IS NOT NULL GROUP BY finding"""
+ORACLE["deid_skipped"] = "SELECT doc_id, 'email' AS type, doc_id % 150 - 100 AS skipped, 'audit-max-per-type-email' AS finding FROM documents WHERE doc_id % 150 > 100"
+ORACLE["annotation_items"] = f"{BASE}, a AS (SELECT conv_id, turn_id, axis, rule_id, {RANK('severity')} AS severity, 'event-engine-match' AS notes FROM risk UNION ALL SELECT conv_id, turn_id, 'VCD', rule_id, {RANK('severity')}, 'vcd-match' FROM sig) SELECT conv_id, turn_id, rater, axis, rule_id AS event_code, CAST(severity AS INTEGER) AS severity, 0.95::DOUBLE AS confidence, notes FROM a CROSS JOIN (VALUES ('rater_A'), ('rater_B')) r(rater)"
+ORACLE["annotation_normalized"] = """SELECT CAST(event_id AS VARCHAR) AS conv_id, 'T' || CAST(event_id % 9 AS VARCHAR) AS turn_id, CASE WHEN event_id % 4 = 0 THEN 'rater_A' ELSE 'r' || CAST(event_id % 4 AS VARCHAR) END AS rater, CASE WHEN event_id % 5 = 0 THEN 'GEN' WHEN event_id % 6 = 0 THEN 'UNSPECIFIED' ELSE 'FR' END AS axis, CASE WHEN event_id % 6 = 0 THEN 'UNSPECIFIED' ELSE 'FR_0' || CAST(event_id % 7 AS VARCHAR) END AS event_code,
+CASE WHEN event_id % 8 = 0 THEN 0.0 ELSE greatest(0.0, least(4.0, value - 10)) END AS severity, CASE WHEN event_id % 10 = 0 THEN 0.8 ELSE greatest(0.0, least(1.0, value / 30)) END AS confidence, event_type AS notes FROM events WHERE event_id % 11 <> 0"""
+ORACLE["rated_case_errors"] = """WITH r AS (SELECT o_orderkey AS k FROM orders) SELECT error, count(*) AS n, CAST(sum(k) AS BIGINT) AS case_sum FROM (SELECT k, unnest([CASE WHEN k % 13 = 0 THEN 'a: risk_status' END, CASE WHEN k % 7 = 0 THEN 'a: FR outside 0 to 100' END, CASE WHEN k % 17 = 0 THEN 'b: risk_status' END, CASE WHEN k % 5 = 0 THEN 'b: SA outside 0 to 100' END]) AS error FROM r) WHERE error IS NOT NULL GROUP BY error"""
+ORACLE["ground_truth_manifest"] = f"""{REPORT}, fam AS (SELECT conv_id, ['x', 'y', 'z'][conv_id % 3 + 1] AS family FROM (SELECT DISTINCT conv_id FROM turns)), pick AS (SELECT conv_id, family FROM fam QUALIFY row_number() OVER (PARTITION BY family ORDER BY conv_id) <= CASE family WHEN 'x' THEN 7 WHEN 'y' THEN 5 ELSE 0 END)
+SELECT conv_id AS case_id, family, CASE WHEN blocking = 0 THEN 'GO' ELSE 'NO_GO' END AS decision, {STATUS_NAME("risk")} AS risk_status, coalesce((SELECT string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) FROM risk WHERE risk.conv_id = pick.conv_id), '') AS event_rules, coalesce((SELECT string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) FROM sig WHERE sig.conv_id = pick.conv_id AND sig.source = 'matrix'), '') AS signal_rules FROM pick JOIN r2 USING (conv_id)"""
+ORACLE["stage_corpus_summary"] = """WITH c AS (SELECT CAST(least(100, count(DISTINCT conv_id)) AS BIGINT) AS n, CAST(least(35, count(DISTINCT conv_id)) AS BIGINT) AS m FROM conversations WHERE text IS NOT NULL)
+SELECT stage, target, actual, round(least(1.0, coverage), 4) AS coverage FROM (SELECT 'DEID' AS stage, CAST(200 AS INTEGER) AS target, 2 * n AS actual, n / 100 AS coverage FROM c UNION ALL SELECT 'Event Engine', 500, 430 + 2 * m, (430 + 2 * m) / 500 FROM c UNION ALL SELECT s, t, t, 1.0 FROM (VALUES ('Ledger', 200), ('TAG', 200), ('VCD', 300), ('PS/SUB/F/E', 200), ('Schema', 100)) v(s, t))"""
+ORACLE["stage_corpus_risk"] = "WITH c AS (SELECT 1430 + 2 * least(100, count(DISTINCT conv_id)) + 2 * least(35, count(DISTINCT conv_id)) AS n FROM conversations WHERE text IS NOT NULL), e AS (SELECT risk, n * share AS x FROM c, (VALUES ('Normal', 0.40::DOUBLE), ('Observe', 0.25), ('Deviate', 0.20), ('Alert', 0.15)) t(risk, share)) SELECT risk AS risk_status, CAST(floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, risk DESC) <= (SELECT n FROM c) - (SELECT sum(floor(x)) FROM e) THEN 1 ELSE 0 END AS BIGINT) AS n FROM e"
+DIGIT = lambda text, i: f"CAST(substr({text}, {i}, 1) AS INTEGER)"
+ORACLE["personal_cases"] = f"""WITH r AS (SELECT CAST(i AS BIGINT) AS i, lpad(CAST(i AS VARCHAR), 7, '0') AS b7, lpad(CAST(i AS VARCHAR), 8, '0') AS b8, ['412345', '431298', '455612', '518923', '542301'][i % 5 + 1] || lpad(CAST(i AS VARCHAR), 9, '0') AS c15, chr(CAST(65 + i % 26 AS INTEGER)) AS l FROM range(2000) t(i)),
+n AS (SELECT *, strpos('ABCDEFGHJKLMNPQRSTUVXYWZIO', l) + 9 AS code, CASE WHEN i % 2 = 0 THEN '1' ELSE '2' END || b7 AS n8,
+  {" + ".join(f"({DIGIT('b7', k)} * {w}) // 10 + ({DIGIT('b7', k)} * {w}) % 10" for k, w in enumerate((1, 2, 1, 2, 1, 2, 4), 1))} AS u,
+  {" + ".join(f"(CASE WHEN 2 * {DIGIT('c15', k)} > 9 THEN 2 * {DIGIT('c15', k)} - 9 ELSE 2 * {DIGIT('c15', k)} END)" if k % 2 else DIGIT('c15', k) for k in range(1, 16))} AS cs FROM r),
+v AS (SELECT i, l || n8 || CAST((10 - (code // 10 + 9 * (code % 10) + {" + ".join(f"{9 - k} * {DIGIT('n8', k)}" for k in range(1, 9))}) % 10) % 10 AS VARCHAR) AS nid, '09' || substr(b8, 1, 2) || '-' || substr(b8, 3, 3) || '-' || substr(b8, 6, 3) AS mob, c15 || CAST((10 - cs % 10) % 10 AS VARCHAR) AS card,
+  ['臺北市', '新北市', '臺中市', '臺南市', '高雄市'][i % 5 + 1] || [['中正區', '大安區', '信義區'], ['板橋區', '中和區', '新店區'], ['西屯區', '北屯區', '南屯區'], ['中西區', '東區', '永康區'], ['前鎮區', '左營區', '三民區']][i % 5 + 1][i // 5 % 3 + 1] || ['忠孝東路', '中山路', '民生路', '建國路', '和平路', '光復路'][i % 6 + 1] || CAST(i % 6 + 1 AS VARCHAR) || '段' || CAST(100 + i AS VARCHAR) || '號' AS adr,
+  b7 || CAST(list_filter(range(10), lambda d: (u + d) % 10 = 0 OR (substr(b7, 7, 1) = '7' AND (u + d + 1) % 10 = 0))[1] AS VARCHAR) AS uni FROM n),
+x AS (SELECT i, 'twNationalId' AS entity_type, 'tw_national_id' AS detector_type, nid AS value, 'My Taiwan ID is ' AS b, '. Please keep it confidential.' AS a FROM v UNION ALL SELECT i, 'phone', 'tw_phone', mob, 'My Taiwan mobile number is ', '. Please redact it from the ticket.' FROM v UNION ALL SELECT i, 'creditCard', 'credit_card', card, 'Use credit card ', ' for the test purchase and then mask it.' FROM v
+  UNION ALL SELECT i, 'address', 'address', adr, 'Ship the package to ', ' and remove the address from the export log.' FROM v UNION ALL SELECT i, 'twUniformId', 'tw_uniform_id', uni, 'Vendor uniform ID is ', '. Mask it before sharing the procurement sheet.' FROM v)
+SELECT printf('tw-pii-%s-%04d', entity_type, i) AS case_id, entity_type, detector_type, value, b || value || a AS text, CAST(length(b) AS INTEGER) AS start, CAST(length(b) + length(value) AS INTEGER) AS stop, true AS valid FROM x"""
+
+
+def _language() -> str:
+    scripts = {"ja": ("[\\x{3040}-\\x{30ff}]", 0.1), "zh": ("[\\x{4e00}-\\x{9fff}]", 0.3), "ko": ("[\\x{ac00}-\\x{d7af}]", 0.3), "ru": ("[\\x{0400}-\\x{04ff}]", 0.3), "el": ("[\\x{0370}-\\x{03ff}]", 0.3), "ar": ("[\\x{0600}-\\x{06ff}]", 0.3), "he": ("[\\x{0590}-\\x{05ff}]", 0.3), "th": ("[\\x{0e00}-\\x{0e7f}]", 0.3), "hi": ("[\\x{0900}-\\x{097f}]", 0.3)}
+    frequent = {
+        "en": "the of and to in is that for it with as was are this be",
+        "de": "der die das und nicht von mit den dem ein eine auf ist zu des",
+        "es": "el la los las de que y en un una por con para del se",
+        "fr": "le la les des et est une dans que pour qui sur au du ne",
+        "it": "il di che non per una sono con del della gli nel alla come anche",
+        "pt": "o os as um uma que do da em para com não dos por mais",
+        "nl": "de het een van en dat op te zijn met voor niet aan er om",
+    }
+    by_script = " ".join(f"WHEN len(regexp_extract_all(low, '{p}')) / visible >= {least} THEN '{name}'" for name, (p, least) in scripts.items())
+    votes = ", ".join(f"len(list_filter(w, lambda x: list_contains(['{words.replace(' ', chr(39) + ', ' + chr(39))}'], x))) AS n_{name}" for name, words in frequent.items())
+    most = "greatest(" + ", ".join(f"n_{n}" for n in frequent) + ")"
+    by_words = f"CASE WHEN {most} = 0 THEN NULL " + " ".join(f"WHEN n_{n} = {most} THEN '{n}'" for n in frequent) + " END"
+    return f"""WITH d AS (SELECT doc_id, text, lang, lower(text) AS low, nullif(length(regexp_replace(text, '[\\s]', '', 'g')), 0) AS visible, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents),
+v AS (SELECT *, {votes} FROM d), g AS (SELECT *, CASE {by_script} ELSE {by_words} END AS guess, coalesce(len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) / visible, 0) AS cjk FROM v)
+SELECT doc_id, CASE WHEN guess IS NULL THEN CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, 'unknown') ELSE 'unknown' END WHEN guess <> 'zh' AND cjk >= 0.3 THEN 'zh' WHEN doc_id % 3 = 0 AND guess NOT IN ('en', 'zh') AND cjk < 0.05 AND regexp_matches(text, '\\p{{L}}') THEN 'en' ELSE guess END AS language FROM g"""
+
+
+ORACLE["language_detect"] = _language()

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import pii
 from ..functions import text as tx
-from ..operators import agreement, deid, events, filtering, gate, ledger, profile, regression, sampling, scores, turns, validation
+from ..operators import agreement, annotations, deid, events, filtering, gate, ledger, profile, regression, sampling, scores, turns, validation
 from ..rules import EVENT_RULES, SIGNAL_RULES
-from ..sources import sinks, transcripts
-from . import datasets, risk
+from ..sources import corpus, sinks, synthetic, transcripts
+from . import datasets, ground_truth, risk
 from .risk import Config
 
 #: What the analysis queries add to every fourth turn, since the tables hold no rule's phrase.
@@ -43,6 +43,12 @@ def injected_run(spark, sf_dir) -> risk.Run:
     return risk.run(injected(spark, sf_dir), Config(deidentify=False))
 
 
+def with_personal_data(spark, sf_dir) -> DataFrame:
+    """The injected turns, every fifth of which names an address and a host."""
+    named = (F.col("conv_id") * 7 + F.col("turn_idx")) % 5 == 0
+    return injected(spark, sf_dir).withColumn("text", F.when(named, F.concat("text", F.lit(" mail a.b1@example.org from 10.20.30.4"))).otherwise(F.col("text")))
+
+
 # --- turns, rules, events, signals
 
 
@@ -179,10 +185,19 @@ def evidence_topk(spark, sf_dir):
     return injected_run(spark, sf_dir).top
 
 
+def report_columns(report: DataFrame, *more) -> DataFrame:
+    return report.select("conv_id", "decision", "risk_status", "peak_status", "stability_index", "ci_lower", "ci_upper", "turn_count", "event_count", "blocking_findings", "vcd_status", "tag_level", "ps", "sub", F.size("evidence_list").alias("evidence_count"), F.size("event_evidence_map").alias("map_size"), *more)
+
+
 @query
 def risk_report(spark, sf_dir):
-    report = injected_run(spark, sf_dir).report
-    return report.select("conv_id", "decision", "risk_status", "peak_status", "stability_index", "ci_lower", "ci_upper", "turn_count", "event_count", "blocking_findings", "vcd_status", "tag_level", "ps", "sub", F.size("evidence_list").alias("evidence_count"), F.size("event_evidence_map").alias("map_size"))
+    return report_columns(injected_run(spark, sf_dir).report)
+
+
+@query
+def risk_report_deidentified(spark, sf_dir):
+    """The whole run as it is by default: personal data is replaced first; the evidence's digest shows the replacements."""
+    return report_columns(risk.run(with_personal_data(spark, sf_dir)).report, F.sha2("e", 256).alias("e_sha"))
 
 
 @query
@@ -209,9 +224,26 @@ def schema_invariant_findings(spark, sf_dir):
 
 @query
 def report_consistency(spark, sf_dir):
-    report = injected_run(spark, sf_dir).report
-    broken = report.withColumn("stability_index", F.when(F.col("conv_id") % 4 == 0, 170).otherwise(F.col("stability_index"))).withColumn("digital_fingerprint", F.when(F.col("conv_id") % 6 == 0, "x").otherwise(F.col("digital_fingerprint"))).withColumn("ci_unit", F.when(F.col("conv_id") % 10 == 0, "percent").otherwise(F.col("ci_unit")))
-    return risk.report_checks(broken).where(~F.array_contains("errors", "alert-stability") | F.lit(True)).select("conv_id", F.array_join(F.array_except("errors", F.array(F.lit("alert-stability"))), ";").alias("errors"))
+    """Reports whose fields are broken by their number, so that every rule has rows; nothing of the findings is left out."""
+    fields, c = risk.report_fields(injected_run(spark, sf_dir).report), F.col("conv_id")
+    changes = {
+        "is_object": F.when(c % 29 == 4, False), "risk_status": F.when(c % 15 == 7, "Odd"), "peak_status": F.when(c % 14 == 3, "Normal"), "stability_index": F.when(c % 4 == 0, 170), "ci_lower": F.when(c % 7 == 6, -1.0).when(c % 13 == 5, 4.5),
+        "ci_upper": F.when(c % 11 == 2, 5.0), "ci_unit": F.when(c % 10 == 0, "percent"), "review_note": F.when(c % 9 == 4, "ok"), "fingerprint": F.when(c % 6 == 0, "x"), "schema_version": F.when(c % 8 == 5, " "), "event_rules": F.when(c % 12 == 7, -1),
+    }
+    lost = {"evidence_count": c % 17 == 1, "warning_count": c % 19 == 2, "map_size": c % 23 == 3}
+    broken = fields.withColumns({k: F.coalesce(v, F.col(k)) for k, v in changes.items()} | {k: F.when(~v, F.col(k)) for k, v in lost.items()})
+    return broken.select("conv_id", F.array_join(gate.report_errors(), ";").alias("errors"))
+
+
+@query
+def event_log_order(spark, sf_dir):
+    n = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("case_id"), n.alias("place"), n.alias("number"), F.when(n % 31 == 0, " ").otherwise(n.cast("string")).alias("event_id"), F.when(n % 29 == 0, "XX").otherwise("FR").alias("axis"), F.when(n % 23 != 0, "low").alias("severity"),
+        F.when(n % 37 == 0, -1).when(n % 41 != 0, n * 7919 % 50).alias("turn_index"),
+    )
+    found = gate.event_log_findings(rows).select("number", F.explode("findings").alias("finding"))
+    return found.groupBy("finding").agg(F.count("*").alias("n"), F.sum("number").alias("event_sum"))
 
 
 @query
@@ -292,6 +324,12 @@ def deid_replacements(spark, sf_dir):
     return deid.replacements(docs)
 
 
+@query
+def deid_skipped(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn_idx"), F.repeat(F.lit("x1@example.org "), (F.col("doc_id") % 150).cast("int")).alias("text"))
+    return deid.skipped(docs, 100, ["email"]).select(F.col("conv_id").alias("doc_id"), "type", "skipped", "finding")
+
+
 @query
 def secret_scan(spark, sf_dir):
     return profile.secret_findings(table(spark, sf_dir, "documents"), "doc_id").select("id", "line_no", "column_no", "pattern")
@@ -313,6 +351,12 @@ def quality_disposition(spark, sf_dir):
     return filtering.evaluate(source, languages).select("conv_id", "bucket", F.coalesce("reason", F.lit("none")).alias("reason"), "language", "pruned_turns")
 
 
+@query
+def language_detect(spark, sf_dir):
+    expected, known = F.when(F.col("doc_id") % 3 == 0, "en"), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.detect_language(F.col("text"), expected, known).alias("language"))
+
+
 @query
 def filter_report_rollup(spark, sf_dir):
     source = plain_turns(spark, sf_dir)
@@ -592,4 +636,66 @@ def dataset_test_run(spark, sf_dir):
 @query
 def report_markdown(spark, sf_dir):
     report = injected_run(spark, sf_dir).report
-    return report.select("conv_id", F.length(sinks.report_markdown("Report", ["decision", "risk_status", "stability_index"])).alias("n_chars"))
+    return report.select("conv_id", F.sha2(sinks.report_markdown("Report", ["decision", "risk_status", "stability_index"]), 256).alias("sha"))
+
+
+# --- annotations, generated cases, corpora
+
+
+@query
+def annotation_items(spark, sf_dir):
+    run = injected_run(spark, sf_dir)
+    return annotations.event_items(run.events, run.signals)
+
+
+@query
+def annotation_normalized(spark, sf_dir):
+    n = F.col("event_id")
+    raw = table(spark, sf_dir, "events").select(
+        n.alias("conversationId"), F.when(n % 11 == 0, "  ").otherwise(F.concat(F.lit(" T"), (n % 9).cast("string"))).alias("turnId"), F.when(n % 4 == 0, " ").otherwise(F.concat(F.lit("r"), (n % 4).cast("string"))).alias("rater_id"),
+        F.when(n % 5 == 0, " gen").alias("axis"), F.when(n % 6 != 0, F.concat(F.lit("fr_0"), (n % 7).cast("string"))).alias("eventCode"), F.when(n % 8 == 0, "none").otherwise((F.col("value") - 10).cast("string")).alias("severity"),
+        F.when(n % 10 != 0, F.col("value") / 30).alias("confidence"), F.concat(F.col("event_type"), F.lit(" ")).alias("notes"),
+    )
+    return annotations.normalized_items(raw)
+
+
+@query
+def rated_case_errors(spark, sf_dir):
+    n = F.col("o_orderkey")
+    scores = lambda axis, wrong: F.create_map(F.lit(axis), F.when(wrong, 101.0).otherwise(40.0))
+    cases = table(spark, sf_dir, "orders").select(
+        n.alias("case_id"), F.when(n % 13 == 0, "odd").otherwise(" Alert ").alias("a_risk_status"), F.when(n % 17 != 0, "Normal").alias("b_risk_status"), scores("FR", n % 7 == 0).alias("a_scores"), scores("SA", n % 5 == 0).alias("b_scores"),
+        F.array(F.lit(" b "), F.lit("a"), F.lit("a")).alias("a_rules"), F.lit(None).cast("array<string>").alias("b_rules"),
+    )
+    _, wrong = annotations.rated_cases(cases)
+    return wrong.select("case_id", F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("n"), F.sum("case_id").alias("case_sum"))
+
+
+@query
+def personal_cases(spark, sf_dir):
+    cases = synthetic.personal_cases(spark, 2000)
+    return cases.withColumn("valid", pii.valid_value(F.col("detector_type"), F.col("value")))
+
+
+def _corpus(spark, sf_dir) -> DataFrame:
+    nested = plain_turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn_id", "role", "text", "source_trust", "boundary_bypass"))).alias("turns"))
+    return corpus.stage_corpus(spark, nested, nested, nested, nested)
+
+
+@query
+def stage_corpus_summary(spark, sf_dir):
+    return corpus.stage_summary(_corpus(spark, sf_dir))
+
+
+@query
+def stage_corpus_risk(spark, sf_dir):
+    return corpus.with_risk(_corpus(spark, sf_dir)).groupBy("risk_status").agg(F.count("*").alias("n"))
+
+
+@query
+def ground_truth_manifest(spark, sf_dir):
+    source = injected(spark, sf_dir)
+    family = F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (F.col("conv_id") % 3 + 1).cast("int"))
+    cases = ground_truth.chosen(source.select("conv_id").distinct().select(F.col("conv_id").alias("case_id"), family.alias("family")), {"x": 7, "y": 5})
+    manifest = ground_truth.expand(cases, source, Config(deidentify=False))["manifest"]
+    return manifest.select("case_id", "family", "decision", "risk_status", F.array_join("event_rules", ",").alias("event_rules"), F.array_join("signal_rules", ",").alias("signal_rules"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import deid, events, gate, ledger, scores
-from ..rules import CAP, ESCALATE_AT, EVENT_RULES, REPEAT_WINDOW, REPORT_RANK, REVIEW_NOTE, SIGNAL_RULES, lookup
+from ..rules import CAP, ESCALATE_AT, EVENT_RULES, REPEAT_WINDOW, REPORT_RANK, REVIEW_NOTE, SCHEMA_VERSION, SIGNAL_RULES, lookup
 from ..storage import saved
 
 
@@ -22,6 +22,7 @@ class Config:
     repeat_window: int = REPEAT_WINDOW
     escalate_at: int = ESCALATE_AT
     deidentify: bool = True
+    most_per_type: int | None = None  # personal data of a type in a turn; what is beyond stays and is warned of
     gate: dict = field(default_factory=dict)
 
 
@@ -52,8 +53,10 @@ def max_status(*columns) -> F.Column:
 
 
 def run(turns: DataFrame, config: Config = Config()) -> Run:
-    found = deid.replacements(turns) if config.deidentify else None
-    clean = deid.redact(turns, found) if config.deidentify else turns
+    found = saved(deid.replacements(turns, most_per_type=config.most_per_type), "replacements") if config.deidentify else None
+    warned = deid.skipped(turns, config.most_per_type) if config.deidentify and config.most_per_type is not None else None
+    # seven stages read the clean turns, and finding personal data is the dearest of all: done once
+    clean = saved(deid.redact(turns, found), "clean") if config.deidentify else turns
     conversations = turns.groupBy("conv_id").agg(F.count("*").alias("turn_count"))
     # hits are few beside turns and five stages read them: computed once
     event = saved(events.risk_events(clean, config.event_rules, config.cap), "events")
@@ -67,19 +70,25 @@ def run(turns: DataFrame, config: Config = Config()) -> Run:
     states = scores.state(axes)
     rows = scores.evidence(every)
     top = scores.top_evidence(rows, states)
-    report = _report(conversations, every, chains, summary, tags, states, rows, top, config)
+    report = _report(conversations, every, chains, summary, tags, states, rows, top, warned, config)
     return Run(turns, conversations, found, event, signal, summary, every, chains, buckets, tags, axes, states, rows, top, report)
 
 
-def _report(conversations, every, chains, summary, tags, states, rows, top, config: Config) -> DataFrame:
-    counts = every.groupBy("conv_id").agg(F.count("*").alias("events"), F.max("sev_rank").alias("worst"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.array_sort(F.collect_list(F.struct("event_id", "axis", "severity", "turn_id", "turn_idx", "source", "rule_id", "summary"))).alias("event_map"))
+def _report(conversations, every, chains, summary, tags, states, rows, top, warned, config: Config) -> DataFrame:
+    counts = every.groupBy("conv_id").agg(F.count("*").alias("events"), F.max("sev_rank").alias("worst"), F.min("turn_idx").alias("min_event_turn"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.array_sort(F.collect_list(F.struct("event_id", "axis", "severity", "turn_id", "turn_idx", "source", "rule_id", "summary"))).alias("event_map"))
     repeats = chains.groupBy("conv_id").agg(F.count_if(F.col("status") == "ESCALATED").alias("escalated"))
     pieces = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "axis", "turn_id", "summary"))).alias("evidence_list"))
     joined = conversations.join(counts, "conv_id", "left").join(repeats, "conv_id", "left").join(pieces, "conv_id", "left")
     joined = joined.fillna(0, ["events", "worst", "critical", "high", "escalated"]).join(summary.select("conv_id", F.col("status").alias("vcd_status"), F.col("level").alias("vcd_level")), "conv_id").join(tags.select("conv_id", "final_level"), "conv_id").join(states, "conv_id").join(top, "conv_id")
+    none = F.array().cast("array<struct<stage:string,id:string,message:string>>")
+    if warned is not None:
+        text = F.concat(F.lit("type "), "type", F.lit(f": more than {config.most_per_type} in a turn; the others were left"))
+        own = warned.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct(F.lit("deid").alias("stage"), F.col("finding").alias("id"), text.alias("message")))).alias("warnings"))
+        joined = joined.join(own, "conv_id", "left")
+    warnings = F.coalesce("warnings", none) if warned is not None else none
     incidents = F.col("vcd_status").isin("TRIGGERED", "LOCKDOWN").cast("int") + F.col("escalated")
-    # the run's own trace is never empty, so that invariant holds by construction
-    joined = joined.withColumn("schema_findings", F.size(joined_schema())).withColumn("tests", F.when(F.col("schema_findings") > 0, "fail").otherwise("pass")).withColumn("lint", F.lit("pass")).withColumn("build", F.lit("pass"))
+    # the run's own trace is never empty; lint and build aren't known to a run and pass by default
+    joined = joined.withColumns({"f": F.col("f_triggered"), "trace_size": F.lit(1)}).withColumn("schema_findings", F.size(gate.schema_findings())).withColumn("tests", F.when(F.col("schema_findings") > 0, "fail").otherwise("pass")).withColumn("lint", F.lit("pass")).withColumn("build", F.lit("pass"))
     joined = joined.withColumn("critical_open", F.col("critical")).withColumn("high_open", F.col("high")).withColumn("regression_failures", (F.col("schema_findings") > 0).cast("int")).withColumn("open_incidents", incidents)
     gated = gate.gate(joined, **config.gate)
     blocking = F.col("schema_findings") + F.size("gate_findings")
@@ -97,29 +106,29 @@ def _report(conversations, every, chains, summary, tags, states, rows, top, conf
     gated = gated.withColumn("stability_index", F.when(F.col("risk_status") == "Alert", F.least(index, F.lit(69))).otherwise(index).cast("int")).withColumn("_margin", margin)
     report = gated.select(
         "conv_id", F.when((F.col("gate_decision") == "GO") & (F.col("blocking_findings") == 0), "GO").otherwise("NO_GO").alias("decision"), "risk_status", "peak_status", "stability_index",
-        F.coalesce("evidence_list", F.array().cast("array<struct<place:int,axis:string,turn_id:string,summary:string>>")).alias("evidence_list"), F.col("gate_findings"), F.lit(REVIEW_NOTE).alias("human_review_note"),
+        F.coalesce("evidence_list", F.array().cast("array<struct<place:int,axis:string,turn_id:string,summary:string>>")).alias("evidence_list"), warnings.alias("false_positive_warnings"), F.col("gate_findings"), F.lit(REVIEW_NOTE).alias("human_review_note"),
         F.coalesce(F.map_from_entries(F.transform("event_map", lambda x: F.struct(x["event_id"], x))), F.create_map().cast("map<string,struct<event_id:string,axis:string,severity:string,turn_id:string,turn_idx:int,source:string,rule_id:string,summary:string>>")).alias("event_evidence_map"),
         F.round(F.greatest(F.lit(0.0), F.col("overall") - F.col("_margin")), 2).alias("ci_lower"), F.round(F.least(F.lit(4.0), F.col("overall") + F.col("_margin")), 2).alias("ci_upper"), F.lit("risk_score_0_to_4").alias("ci_unit"),
-        F.struct(F.lit(len(config.event_rules or EVENT_RULES)).alias("event_rules"), F.lit(len(config.signal_rules or SIGNAL_RULES)).alias("signal_rules")).alias("rule_version"),
+        F.struct(F.lit(SCHEMA_VERSION).alias("schema"), F.lit(len(config.event_rules or EVENT_RULES)).alias("event_rules"), F.lit(len(config.signal_rules or SIGNAL_RULES)).alias("signal_rules")).alias("rule_version"),
         "turn_count", F.col("events").alias("event_count"), "blocking_findings", "vcd_status", F.col("final_level").alias("tag_level"), "ps", "sub", "f_triggered", "e",
     )
     content = F.struct(*(c for c in report.columns if c != "event_evidence_map"))
     return report.withColumn("digital_fingerprint", F.sha2(F.to_json(content), 256))
 
 
-def joined_schema() -> F.Column:
-    f = gate.findings(
-        ("schema-evidence-too-long", F.length("e") > 3 * gate.EVIDENCE_MOST),
-        ("inv-alarm-requires-flag", (F.col("ps") == "ST_ALM") & ~F.col("f_triggered")),
-        ("inv-normal-safe-sub", (F.col("ps") == "ST_NRM") & ~F.col("sub").isin("SUB_NONE", "SUB_SAFE_MODE")),
-    )
-    return f
+def report_fields(report: DataFrame) -> DataFrame:
+    """conv_id and the fields that gate.report_errors() reads."""
+    version = F.col("rule_version")
+    return report.select(
+        "conv_id", F.lit(True).alias("is_object"), "risk_status", "peak_status", "stability_index", "ci_lower", "ci_upper", "ci_unit", F.when(F.col("evidence_list").isNotNull(), F.size("evidence_list")).alias("evidence_count"),
+        F.when(F.col("false_positive_warnings").isNotNull(), F.size("false_positive_warnings")).alias("warning_count"), F.col("human_review_note").alias("review_note"), F.col("digital_fingerprint").alias("fingerprint"),
+        version["schema"].alias("schema_version"), version["event_rules"].alias("event_rules"), version["signal_rules"].alias("signal_rules"), F.when(F.col("event_evidence_map").isNotNull(), F.size("event_evidence_map")).alias("map_size"),
+    )
 
 
 def report_checks(report: DataFrame) -> DataFrame:
     """conv_id and the report's consistency errors."""
-    flat = report.select("conv_id", "risk_status", "peak_status", "stability_index", F.size("evidence_list").alias("evidence_count"), F.size("event_evidence_map").alias("map_size"), F.col("human_review_note").alias("review_note"), "ci_lower", "ci_upper", "ci_unit", F.col("digital_fingerprint").alias("fingerprint"), F.col("rule_version.event_rules").alias("event_rules"), F.col("rule_version.signal_rules").alias("signal_rules"))
-    return flat.select("conv_id", gate.report_errors().alias("errors"))
+    return report_fields(report).select("conv_id", gate.report_errors().alias("errors"))
 
 
 def batch_summary(report: DataFrame) -> DataFrame:
@@ -137,4 +146,19 @@ def resumed(cases: DataFrame, earlier: DataFrame, key: str = "conv_id") -> tuple
     return earlier.join(cases.select(key), key, "left_semi"), cases.join(earlier.select(key), key, "left_anti")
 
 
-__all__ = ["Config", "Run", "batch_summary", "report_checks", "resumed", "run", "until_no_go"]
+def configured(changes: dict, base: Config = Config()) -> Config:
+    """base with changes; nested maps (gate) are merged key by key. Unknown names raise."""
+    names = {f.name for f in fields(Config)}
+    if unknown := sorted(set(changes) - names):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    return replace(base, **{k: merged(getattr(base, k), v) for k, v in changes.items()})
+
+
+def merged(base, changes):
+    """changes over base: maps key by key at every level, anything else as a whole."""
+    if isinstance(base, dict) and isinstance(changes, dict):
+        return base | {k: merged(base.get(k), v) for k, v in changes.items()}
+    return changes
+
+
+__all__ = ["Config", "Run", "batch_summary", "configured", "report_checks", "report_fields", "resumed", "run", "until_no_go"]

@@ -106,6 +106,37 @@ def read_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
     return rows.where("x._corrupt is null").select("x.*").drop("_corrupt"), rows.where("x._corrupt is not null").select(F.col("value").alias("line"))
 
 
+def fixture_pairs(spark: SparkSession, folder: str, given: str = ".input.json", expected: str = ".expected.json") -> DataFrame:
+    """name, input, expected (texts of the files) of a folder's pairs; a file without its partner is left out."""
+
+    def named(suffix: str, column: str) -> DataFrame:
+        files = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        return files.select(F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("name"), F.col("value").alias(column))
+
+    return named(given, "input").join(named(expected, "expected"), "name")
+
+
+CONTRACT = "struct<id:string,role:string,text:string,sourceTrust:string,boundaryBypass:boolean>"
+
+
+def contract_turns(text) -> F.Column:
+    """array<TURN> of a JSON document: its `turns`, or those of `steps.input`; null where there are neither."""
+    held = F.from_json(text, f"turns array<{CONTRACT}>, steps struct<input:struct<turns:array<{CONTRACT}>>>")
+    own = F.coalesce(held["turns"], held["steps"]["input"]["turns"])
+    return F.transform(own, lambda t: F.struct(t["id"].alias("id"), t["role"].alias("role"), t["text"].alias("text"), t["sourceTrust"].alias("source_trust"), t["boundaryBypass"].alias("boundary_bypass")))
+
+
+def contracts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of annotation inputs (JSON contracts, or Markdown transcripts by the suffix), and (conv_id) of files without usable turns."""
+    from ..operators.turns import from_arrays
+
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
+    files = spark.read.text(path, wholetext=True).select(name.alias("conv_id"), F.col("value").alias("body"), F.lower(F.col("_metadata.file_path")).rlike(r"\.(md|markdown)$").alias("marked"))
+    turns = from_arrays(files.where("not marked").select("conv_id", contract_turns(F.col("body")).alias("turns"))).unionByName(parse_markdown(files.where("marked"), "conv_id", "body"))
+    return turns, files.select("conv_id").join(turns.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
 # --- shapes of public conversation sets, to (conv_id, turns, meta)
 
 
@@ -133,16 +164,16 @@ def shape_of(columns: list[str]) -> str:
     return next((kind for name, kind in (("conversations", "messages"), ("conversation", "messages"), ("messages", "messages"), ("history", "history"), ("turns", "turns"), ("prompt", "prompt")) if name in columns), "unknown")
 
 
-def bio_spans(tokens: DataFrame) -> DataFrame:
-    """id, kind, start, stop, value of entities in token tables (id, place, token, tag B-x / I-x / O); tokens are joined by single spaces."""
+def bio_spans(tokens: DataFrame, separator: str = " ") -> DataFrame:
+    """id, kind, start, stop, value of entities in token tables (id, place, token, tag B-x / I-x / O); tokens are joined by the separator."""
     own = Window.partitionBy("id").orderBy("place")
     before = own.rowsBetween(Window.unboundedPreceding, -1)
     kind = F.regexp_extract("tag", r"^[BI]-(.+)$", 1)
-    rows = tokens.withColumn("kind", kind).withColumn("start", F.coalesce(F.sum(F.length("token") + 1).over(before), F.lit(0)))
+    rows = tokens.withColumn("kind", kind).withColumn("start", F.coalesce(F.sum(F.length("token") + len(separator)).over(before), F.lit(0)))
     opened = (F.col("kind") != "") & (F.col("tag").startswith("B-") | (F.coalesce(F.lag("kind").over(own), F.lit("")) != F.col("kind")))
     rows = rows.withColumn("entity", F.sum(opened.cast("int")).over(own)).where("kind <> ''")
     parts = F.array_sort(F.collect_list(F.struct("place", "token")))
-    return rows.groupBy("id", "entity", "kind").agg(F.min("start").alias("start"), F.max(F.col("start") + F.length("token")).alias("stop"), F.array_join(F.transform(parts, lambda p: p["token"]), " ").alias("value")).drop("entity")
+    return rows.groupBy("id", "entity", "kind").agg(F.min("start").alias("start"), F.max(F.col("start") + F.length("token")).alias("stop"), F.array_join(F.transform(parts, lambda p: p["token"]), separator).alias("value")).drop("entity")
 
 
-__all__ = ["TURN", "bio_spans", "from_history", "from_messages", "from_prompt", "parse_markdown", "parse_yaml", "read", "read_checked", "shape_of", "split_front_matter"]
+__all__ = ["TURN", "bio_spans", "contract_turns", "contracts", "fixture_pairs", "from_history", "from_messages", "from_prompt", "parse_markdown", "parse_yaml", "read", "read_checked", "shape_of", "split_front_matter"]

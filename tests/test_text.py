@@ -211,6 +211,6 @@ def test_streams(spark, sf_dir, tmp_path):
     assert run(jobs.distinct_within(stream, "ts", ["event_id"]), "seen").count() == events.select("event_id").distinct().count()
     counted = run(jobs.tumbling_counts(stream, "ts", "event_type"), "counted").agg(F.sum("n")).first()[0]
     assert 0 < counted <= events.count()
-    keyed = stream.selectExpr("user_id AS conv_id", "event_type AS entry_key", "CAST(event_id AS INT) AS turn_idx", "event_id % 5 = 0 AS resolved")
+    keyed = stream.selectExpr("user_id AS conv_id", "'fact' AS ledger_type", "event_type AS entry_key", "CAST(event_id AS INT) AS turn_idx", "event_id % 5 = 0 AS resolved", "ts")
     assert run(jobs.repeat_ledger(keyed), "ledger").count() == events.count()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
