@@ -13,10 +13,10 @@ more than a shard's rows is dealt over several shards row by row, whatever its t
 or boolean (KEY_TYPES); others raise TypeError and are to be cast.
 
 Size. A shard has about `shard_rows` rows at every size of the table, so the manifest has a line for each; ids go to the file as they come, and a task holds
-no more than its shard's keys and offsets. The driver draws some KEYS_A_SHARD keys for each shard to place the shards' bounds; all rows are written.
+no more than its shard's keys and offsets. The driver draws some KEYS_A_SHARD keys for each shard (KEYS_LEAST in all at least) to place the shards' bounds; all rows are written.
 
-Encoding. Texts are split as the tokenizer itself splits them before merging and each distinct piece goes through the tokenizers library once
-while a worker remembers it; a text with a special token's string, or with numbers that re doesn't know as such, goes through it whole. Both give the ids of encode(text, add_special_tokens=False).
+Encoding. The ids are those of encode(text, add_special_tokens=False). Stretches of text between spaces go through the tokenizers library once while a
+worker remembers them (see Encoder).
 
 Recovery. A shard is written to a name of its own attempt and then renamed, so a repeated or doubled task leaves whole files with equal content.
 
@@ -30,13 +30,15 @@ import datetime
 import decimal
 import io
 import json
+import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +46,10 @@ from .common import by_batch, file_system, fresh_dir, once_a_process, pieces, sh
 from .near_copies import mix
 
 END_ID = 2
-SHARD_ROWS, KEYS_A_SHARD = 16_384, 20
-#: Bounds of the encoder's memory: characters split at a time, distinct pieces remembered.
-PART_CHARS, PIECES_KEPT = 500_000, 300_000
+SHARD_ROWS, KEYS_A_SHARD, KEYS_LEAST = 16_384, 20, 4_000
+#: Bounds of the encoder's memory: bytes of text split at a time, stretches remembered in a generation, their length, and how many
+#: go through the library together.
+PART_BYTES, STRETCHES_KEPT, STRETCH_KEPT, AT_ONCE = 6 << 20, 500_000, 100, 200
 READ_BYTES = 8 << 20
 GAMMA, LEVELS = 1.6, 40
 _U = np.uint64
@@ -199,66 +202,121 @@ _KINDS = {bytes: "bytes", decimal.Decimal: "decimal", datetime.date: "date"}
 KEY_TYPES = ("tinyint", "smallint", "int", "bigint", "string", "date", "decimal", "binary", "boolean")
 
 
-# Fixed value: Unicode white space.
-_SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-# Fixed value: how a byte-level tokenizer splits texts before merging. Letters and numbers are those of re, which differ from Unicode's in the numbers of Nl and No alone.
-_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^{_SPACES}\w]|_)+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+# Fixed value: the character that stands for a space in a byte-level vocabulary.
+SHOWN_SPACE = "\u0120"
+#: In Encoder.known: a stretch that isn't one.
+NONE = 0
 
 
 class Encoder:
-    """Texts to ids with one tokenizer, given as the text of its file. Remembers pieces in two generations: those in use stay."""
+    """Texts to ids with one tokenizer, given as the text of its file.
 
-    def __init__(self, tokenizer_json: str, width: int):
-        import unicodedata
+    A byte-level tokenizer splits before a space that stands alone between other characters, whatever these are, so what lies between two such spaces has ids
+    of its own. In a part of the texts each distinct stretch is looked up once and its ids are laid out at all its places.
+    Stretches are remembered, in two generations: those in use stay. New ones go through the library many at a time, with a space before each: the ids
+    whose tokens begin with a space tell where each begins. Texts with spaces beside other white space, and texts for other tokenizers, go through it whole."""
 
+    def __init__(self, tokenizer_json: str, width: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.tokenizer, source = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
         byte_level = source["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.split = re.compile(_SPLIT).findall if byte_level and not source["normalizer"] and not source["post_processor"] else None
-        self.special = [t["content"] for t in source["added_tokens"]]
-        self.odd = frozenset(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No"))
-        # The characters that stand for bytes in a byte-level vocabulary; bytes that don't show get those from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.shown = {b: b if b in plain else 256 + i for i, b in enumerate([b for b in range(256) if b not in plain] + plain)}
-        self.code = {2: "H", 4: "I"}[width]
-        self.end = array(self.code, [END_ID]).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids with the end id, as bytes."""
-        out, part, size = [], [], 0
-        for t in texts:  # pieces of a part's texts are held at a time
-            part.append(t or "")
-            size += len(part[-1])
-            if size >= PART_CHARS:
-                out += self._part(part)
-                part, size = [], 0
-        return out + self._part(part)
-
-    def _part(self, texts: list[str]) -> list[bytes]:
-        split = [None if self._whole(t) else self.split(t) for t in texts]
-        new = set().union(*(p for p in split if p is not None)).difference(self.known)
-        seen = [w for w in new if w in self.older]
-        self.known.update((w, self.older[w]) for w in seen)
-        self.known.update((w, self._merged(w)) for w in new.difference(seen))
-        out = [(self._bytes(self.tokenizer.encode(t, add_special_tokens=False)) if p is None else b"".join(map(self.known.__getitem__, p))) + self.end for t, p in zip(texts, split, strict=True)]
-        if len(self.known) > PIECES_KEPT:
+        # a special token within a stretch stays there, unless it takes white space or what stands around it into account
+        inner = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in source["added_tokens"])
+        self.by_stretch = byte_level and inner and not source["normalizer"] and not source["post_processor"]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(SHOWN_SPACE)]] = True
+        self.type = np.dtype(f"<u{width}")
+        self.end = np.array([END_ID], self.type).tobytes()
+        self.known: dict = {}
+        self.older: dict = {}
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        """The ids of texts (strings or nulls) with the end id, as bytes."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_stretch:
+            return pa.array([self._whole(t) + self.end for t in texts.to_pylist()], pa.binary())
+        reached = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        out, a = [pa.array([], pa.binary())], 0
+        while a < len(texts):  # a text at least, and PART_BYTES or those of one text
+            b = max(a + 1, int(np.searchsorted(reached, (reached[a - 1] if a else 0) + PART_BYTES, "right")))
+            out.append(self._part(texts.slice(a, b - a)))
+            a = b
+        return pa.concat_arrays(out)
+
+    def _part(self, texts: pa.Array) -> pa.Array:
+        """Each distinct stretch is looked up once; its ids are then laid out at all its places."""
+        n, numbers = len(texts), np.arange(len(texts))
+        split = pc.split_pattern(texts, " ")
+        bounds, coded = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if lacking:
+            for i, x in zip(lacking, self._learn([words[i] for i in lacking]), strict=True):
+                found[i] = x
+        owner = np.repeat(numbers, np.diff(bounds))
+        firsts = [words[i] for i in index[bounds[:-1]]]  # they have no space before them
+        whole = np.array([_open(x) for x in firsts], bool) & (np.diff(bounds) > 1)
+        if none := [i for i, x in enumerate(found) if x is NONE]:
+            places = np.flatnonzero(np.isin(index, none))
+            whole[owner[np.setdiff1d(places, bounds[:-1])]] = True
+        heads = [self._whole(texts[i].as_py() if whole[i] else firsts[i]) for i in range(n)]
+        entries = [x or b"" for x in found] + heads + [self.end, b""]
+        data, sizes = np.frombuffer(b"".join(entries), self.type), np.fromiter(map(len, entries), np.int64, len(entries)) // self.type.itemsize
+        starts = np.cumsum(sizes) - sizes
+        # each text is its head, its other stretches and the end; a text that went through whole is its head and the end
+        line = np.empty(len(index) + n, np.int64)
+        line[np.arange(len(index)) + owner] = np.where(whole[owner], len(entries) - 1, index)
+        line[bounds[:-1] + numbers], line[bounds[1:] + numbers] = len(words) + numbers, len(entries) - 2
+        own = sizes[line]
+        ends = np.cumsum(own)
+        near = np.int32 if max(len(data), int(ends[-1])) < 1 << 30 else np.int64
+        ids = data[np.repeat((starts[line] - (ends - own)).astype(near), own) + np.arange(ends[-1], dtype=near)]
+        offsets = np.concatenate([[0], ends[bounds[1:] + numbers]]) * self.type.itemsize
+        if len(self.known) > STRETCHES_KEPT:
             self.known, self.older = {}, self.known
-        return out
-
-    def _whole(self, text: str) -> bool:
-        """Texts that re would split in another way than the tokenizer."""
-        return self.split is None or any(s in text for s in self.special) or not (text.isascii() or self.odd.isdisjoint(set(text)))
-
-    def _merged(self, piece: str) -> bytes:
-        """The library's merging step alone, for a piece that its splitting would leave whole."""
-        shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-        return array(self.code, [x.id for x in self.tokenizer.model.tokenize(shown)]).tobytes()
-
-    def _bytes(self, encoding) -> bytes:
-        return array(self.code, encoding.ids).tobytes()
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+
+    def _learn(self, new: list[str]) -> list:
+        """Ids of distinct stretches with the space before them; NONE for those that are empty or have white space at an end. Remembers them but the longest."""
+        got = list(map(self.older.get, new))
+        lacking = [i for i, x in enumerate(got) if x is None]
+        if lacking:
+            made = self._made([new[i] for i in lacking])
+            for i, x in zip(lacking, made, strict=True):
+                got[i] = x
+        if sum(map(len, new)) > STRETCH_KEPT * len(new) or max(map(len, new)) > STRETCH_KEPT:
+            self.known.update((x, ids) for x, ids in zip(new, got, strict=True) if len(x) <= STRETCH_KEPT)
+        else:
+            self.known.update(zip(new, got, strict=True))
+        return got
+
+    def _made(self, new: list[str]) -> list:
+        got = [NONE if _open(x) else None for x in new]
+        clean = [x for x, none in zip(new, got, strict=True) if none is None]
+        blocks = [clean[a : a + AT_ONCE] for a in range(0, len(clean), AT_ONCE)]
+        made = []
+        for block, coded in zip(blocks, self.tokenizer.encode_batch_fast([" " + " ".join(x) for x in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids)
+            places = np.flatnonzero(self.opens[ids])
+            if len(places) == len(block) and not places[0]:
+                data, at = ids.astype(self.type).tobytes(), (places * self.type.itemsize).tolist()
+                made += map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))
+            else:
+                made += [self._whole(" " + x) for x in block]
+        found = iter(made)
+        return [next(found) if x is None else x for x in got]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes() if text else b""
+
+
+def _open(stretch: str) -> bool:
+    """Whether white space at an end, or nothing, makes a stretch depend on what stands beside it."""
+    return not stretch or stretch[0].isspace() or stretch[-1].isspace()
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None = None, text_col: str = "text", id_col: str = "doc_id", shard_rows: int = SHARD_ROWS) -> str:
@@ -287,21 +345,22 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
         keyed = keyed.withColumn("part", F.coalesce(F.pmod(F.monotonically_increasing_id(), "parts"), F.lit(0)).cast("int")).drop("_hot", "parts")
     else:
         keyed = keyed.withColumn("part", F.lit(0))
-    drawn = docs.select(F.col(id_col).alias("key")).where(F.rand(7) * shard_rows < KEYS_A_SHARD) if n_shards > 1 else keyed.limit(0)
-    drawn = sorted((*sort_key(r["key"]), 0) for r in drawn.select("key").collect())
-    bounds = sorted({*drawn[:: max(1, len(drawn) // max(1, n_shards))], *((*sort_key(k), p) for k, n in hot.items() for p in range(n))})
+    wanted = max(KEYS_A_SHARD * n_shards, KEYS_LEAST)
+    lot = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(1 << 40))
+    drawn = docs.select(F.col(id_col).alias("key")).where(lot < F.lit(min(1 << 40, (wanted << 40) // max(1, total)))).collect() if n_shards > 1 else []
+    drawn = sorted((*sort_key(r["key"]), 0) for r in drawn)
+    bounds = sorted({*(drawn[len(drawn) * k // n_shards] for k in range(1, n_shards) if drawn), *((*sort_key(k), p) for k, n in hot.items() for p in range(n))})
     places = _numbers_of_partitions(spark, len(bounds) + 1)
 
-    def encode():
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once_a_process("encoder", lambda: Encoder(source(), width), f"{name}-{width}")
+        for batch in batches:
+            for part in pieces(batch):
+                key, numbers, texts = part.columns
+                shard = [bisect.bisect_right(bounds, (*sort_key(k), p)) for k, p in zip(key.to_pylist(), numbers.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([places[x] for x in shard], pa.int32()), pa.array(shard, pa.int32()), key, encoder(texts)], ["place", "shard", "key", "ids"])
 
-        def do(columns):
-            shard = [bisect.bisect_right(bounds, (*sort_key(k), p)) for k, p in zip(columns["key"], columns["part"], strict=True)]
-            return {"place": [places[x] for x in shard], "shard": shard, "key": columns["key"], "ids": encoder(columns["_text"])}
-
-        return do
-
-    rows = by_batch(keyed, encode, f"place int, shard int, key {key_type}, ids binary")
+    rows = keyed.select("key", "part", "_text").mapInArrow(encoded, f"place int, shard int, key {key_type}, ids binary")
     dealt = rows.repartition(len(places), "place").sortWithinPartitions("shard", "key", F.xxhash64("ids")).select("shard", "key", "ids")
     written = dealt.mapInArrow(lambda batches: _write_shards(batches, folder, width), "shard int, file string, n_docs long, n_ids long, first_key string").collect()
     before, shards = 0, []
@@ -347,8 +406,6 @@ class _Shard:
 
 
 def _write_shards(batches: Iterator, folder: str, width: int) -> Iterator:
-    import pyarrow as pa
-
     schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.string())])
     shard = None
     for batch in batches:

@@ -7,6 +7,7 @@ import zlib
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,14 +85,20 @@ def test_keys_of_other_types(spark, kind):
         token_files.write_token_files(rows.selectExpr("now() AS doc_id", "text"), TOKENIZER)
 
 
-def test_encoder_is_exact():
+def test_encoder_is_exact(monkeypatch):
     draw = random.Random(8)
     letters = "ab  Z's'll\t\n\r\x1c\x85 ²½Ⅷ٣é漢_-!０　̈'reİſ"
     texts = ["", None, "<|endoftext|> x", "a\n\n b", *("".join(draw.choice(letters) for _ in range(draw.randint(0, 50))) for _ in range(1500))]
     with open(TOKENIZER, encoding="utf-8") as f:
-        got = token_files.Encoder(f.read(), 2)(texts)
+        made = token_files.Encoder(f.read(), 2)
     encode = encoder()
-    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [encode(t) for t in texts]
+    expected = [encode(t) for t in texts]
+    for kept, part in ((token_files.STRETCHES_KEPT, token_files.PART_BYTES), (50, 300)):  # and with hardly any memory
+        monkeypatch.setattr(token_files, "STRETCHES_KEPT", kept)
+        monkeypatch.setattr(token_files, "PART_BYTES", part)
+        got = made(pa.array(texts, pa.string())).to_pylist()
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == expected
+    assert made(pa.array([], pa.string())).to_pylist() == []
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 5000])
