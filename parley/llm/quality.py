@@ -21,7 +21,6 @@ tables: empty results, no cutoffs. Extra columns don't matter: only the named on
 
 from __future__ import annotations
 
-import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -159,7 +158,9 @@ def judged(measured: DataFrame, cutoffs: dict, stratum_col: str = "lang", measur
     joined = measured.join(F.broadcast(strata) if few else strata, measured[stratum_col].eqNullSafe(strata["_of"]), "left")
     m = F.col(measures_col)
     rejects = [F.coalesce(value > F.col(f"_cut.{rule}"), F.lit(False)) for rule, value in rule_values(m).items() if rule in rules]
-    return joined.withColumn(to, functools.reduce(lambda kept, x: kept & ~x, rejects, ~base_failed(m))).drop("_of", "_cut")
+    # as an array, or the optimizer tests the base limits below the join and so measures every text twice
+    passes = F.array(~base_failed(m), *(~x for x in rejects))
+    return joined.withColumn(to, F.forall(passes, lambda x: x)).drop("_of", "_cut")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
