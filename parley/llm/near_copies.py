@@ -275,8 +275,9 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("node", "component")
 
 
-def links_in_open_buckets(docs: DataFrame, nodes: DataFrame, members: DataFrame, hubs: DataFrame, links: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """links (those to hubs) and all that join further components: between a bucket's members outside its hub's component and its other members (see step 3)."""
+def settled(docs: DataFrame, nodes: DataFrame, members: DataFrame, hubs: DataFrame, links: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """components() of links (those to hubs) and of all that join further components: between a bucket's members outside its hub's component and its other
+    members (see step 3)."""
     found = components(links)
     of = lambda name, to: found.select(F.col("node").alias(name), F.col("component").alias(to))
     # buckets of two are settled by their hub
@@ -285,7 +286,7 @@ def links_in_open_buckets(docs: DataFrame, nodes: DataFrame, members: DataFrame,
     buckets = placed.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("n_outside"), F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"))
     buckets = saved(buckets.where("n_outside > 0").groupBy("n", "sum", "xor").agg(F.min("key").alias("key"), F.max("n_outside").alias("n_outside")).select("key", "n_outside"), "open")
     if not buckets.limit(1).count():
-        return links
+        return found
     n_out, n_in = F.ceil(F.col("n_outside") / OUTSIDE_BLOCK), F.ceil(F.col("n") / MEMBER_BLOCK)
     drawn = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30))
     own = placed.where("not is_hub").join(buckets, "key").select("key", "n", "node", "component", "outside", drawn.alias("_d"), n_out.cast("int").alias("_o"), n_in.cast("int").alias("_i"))
@@ -295,19 +296,21 @@ def links_in_open_buckets(docs: DataFrame, nodes: DataFrame, members: DataFrame,
     schema = "key long, ob int, ib int, n long, node binary, outside boolean, best binary, agree int, likely int"
     likely = saved(blocks.groupBy("key", "ob", "ib").applyInArrow(_likely_of_block, schema), "likely")
     if not likely.limit(1).count():
-        return links
+        return found
     texts = texts_of(docs, likely.select("node").distinct().join(nodes.select("node", "id"), "node"), text_col, id_col)
     best = saved(likely.where("outside").groupBy("key", "node").agg(F.max(F.struct("agree", "best")).getField("best").alias("b"), F.max("n").alias("n")), "best")
-    links = saved(links.unionByName(verified(best.select(F.col("node").alias("a"), "b", "n"), texts)), "links")
+    better = verified(best.select(F.col("node").alias("a"), "b", "n"), texts)
+    if better.limit(1).count():
+        links = links.unionByName(better)
+        found = components(links)
     # what the best partners left: in blocks that hold several components, rows with likely partners that weren't tried
-    now = components(links)
-    held = likely.join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = likely.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tried = held.join(best.select("key", "node", "b"), ["key", "node"], "left").withColumn("tried", F.col("likely").isNull() | ((F.col("likely") == 1) & (F.col("best") == F.col("b"))))
     unsettled = tried.groupBy("key", "ob", "ib").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.bool_and("tried").alias("tried"))
     unsettled = unsettled.where("x <> y and not tried").select("key", "ob", "ib")
     rest = held.join(unsettled, ["key", "ob", "ib"], "left_semi").join(nodes.select("node", "signature"), "node").join(texts, "node")
     more = saved(rest.groupBy("key", "ob", "ib").applyInArrow(_links_of_block, "a binary, b binary"), "more-links")
-    return saved(links.unionByName(more), "links")
+    return components(links.unionByName(more)) if more.limit(1).count() else found
 
 
 def _agreements(points: np.ndarray, out: list[int], rest: list[int]):
@@ -401,7 +404,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     pairs = saved(members.join(hubs, "key").where("node != hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "pairs")
     ends = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node"), "ends")
     links = verified(pairs, texts_of(docs, ends, text_col, id_col))
-    found = components(links_in_open_buckets(docs, nodes, members, hubs, links, text_col, id_col))
+    found = settled(docs, nodes, members, hubs, links, text_col, id_col)
     named = saved(nodes.select("node", "id", "row").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     few = named.count() <= BROADCAST_ROWS
     keepers = named.groupBy("component").agg(F.min(F.struct("id", "node", "row")).alias("keeper"))
