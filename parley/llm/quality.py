@@ -164,13 +164,13 @@ def judged(measured: DataFrame, cutoffs: dict, stratum_col: str = "lang", measur
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that pass, with their own columns. Measures twice (once for the cutoffs, once to decide) so that no text is shuffled."""
-    # saved, or the optimizer measures once for the filter and once more for the values
-    held = saved(measure(docs.select(id_col, stratum_col, text_col), text_col).select(id_col, stratum_col, "_quality"), "quality")
-    cutoffs = fit(held, labels, stratum_col, id_col)
+    """The documents that pass, with their own columns. Measures once: the rows are kept in the shared folder with their measures, which costs a copy
+    of docs there and no shuffle of texts; the cutoffs read ids, strata and measures alone."""
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    measured = measure(docs.select(own, F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum")), "_text")
-    return judged(measured.drop("_text"), cutoffs, "_stratum", to="_kept").where("_kept").select("_row.*")
+    rows = docs.select(own, F.col(text_col).alias("_text"), F.col(stratum_col).alias("_stratum"), F.col(id_col).alias("_key"))
+    held = saved(measure(rows, "_text").drop("_text"), "quality")
+    cutoffs = fit(held.select("_key", "_stratum", "_quality"), labels.select(F.col(id_col).alias("_key"), "quality"), "_stratum", "_key")
+    return judged(held, cutoffs, "_stratum", to="_kept").where("_kept").select("_row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
