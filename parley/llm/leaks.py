@@ -32,6 +32,8 @@ MASKS = ("1111111", "110110111", "11101001011", "1101100010111")
 MATCH, DIFFER = 1, 3
 LEAST_TOKENS, LEAST_SHARE, LEAST_IDENTITY = 12, 0.7, 0.75
 BLOCK_TOKENS, TABLE_BITS, HITS_AT_ONCE = 2_000_000, 24, 1_000_000
+#: Words whose hashes a Python worker remembers: some 40 MB.
+REMEMBERED = 250_000
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(16)], np.uint64) | np.uint64(1)
 
 
@@ -41,7 +43,7 @@ class Tokens(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -152,7 +154,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col
 
 def _scanner(shipped, name: str):
     ids, items, index = _held(shipped, name)
-    words = once_a_process("leak-words", Tokens)
+    words = Tokens()
 
     def do(columns):
         out = {k: [] for k in ("doc_id", "item_id", "n_matched", "n_item", "first_word", "last_word", "identity")}
@@ -202,7 +204,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         shipped, name = ship(docs.sparkSession, (ids, tokens)), uuid.uuid4().hex
 
         def make(shipped=shipped, name=name):
-            index, words = _held(shipped, name)[2], once_a_process("leak-words", Tokens)
+            index, words = _held(shipped, name)[2], Tokens()
 
             def do(got):
                 clean = [not x for x in leaks_of(index, [words.of(t) for t in got[text_col]])]

@@ -63,6 +63,8 @@ HOT_ROWS, HOT_MOST = 100_000, 100_000
 HUB_ROWS = 20_000
 OUTSIDE_BLOCK, MEMBER_BLOCK = 64, 256
 AT_ONCE = 250
+#: Words whose hashes a Python worker remembers: some 40 MB.
+REMEMBERED = 250_000
 
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
@@ -81,7 +83,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found
