@@ -13,9 +13,11 @@ Classes.
    original agree with it more than with each other). Each member is verified against its buckets' hubs: linear in members. A hub of very many is
    dealt over tasks.
 3. Links give components. A bucket is open while it has members outside its hub's component. Their signatures alone are compared with those of
-   the bucket's other members, in blocks of bounded size; each outside member is then verified against the one it agrees with most. Where it has
+   the bucket's other members, in blocks; each outside member is then verified against the one it agrees with most. Where it has
    more likely partners in other components after that, these and it, and no others, meet with their texts in blocks and are compared until no
-   two components are left that a link could join. No group is gathered in one task, no pairs are emitted but each outside member's best.
+   two components are left that a link could join; texts that share several buckets are compared in that with the least key. No group is gathered
+   in one task, no pairs are emitted but each outside member's best. Outside members are cut into PARTS blocks at most, and a block has at least
+   as many members as outside ones, so a bucket's blocks have (2 * PARTS + 1) * (members) rows at most, however large it is.
    Buckets with the same members are done once. The work is (members outside) * (members) comparisons of signatures, only in open buckets.
 4. Links of all rounds give the classes; a class's keeper is its smallest (doc_id, md5, number of the row).
 
@@ -62,6 +64,10 @@ HOT_ROWS, HOT_MOST = 100_000, 100_000
 #: Members of a bucket that meet their hub's text in one task.
 HUB_ROWS = 20_000
 OUTSIDE_BLOCK, MEMBER_BLOCK = 64, 256
+#: Blocks that a bucket's outside members are cut into at most: beyond PARTS * OUTSIDE_BLOCK of them blocks grow, not the copies of rows.
+PARTS = 2
+#: Shingles of members that are compared with an outside row at once: some 60 MB.
+SHINGLES_AT_ONCE = 1 << 21
 AT_ONCE = 250
 #: Words whose hashes a Python worker remembers: some 40 MB.
 REMEMBERED = 250_000
@@ -289,7 +295,8 @@ def settled(docs: DataFrame, nodes: DataFrame, members: DataFrame, hubs: DataFra
     buckets = saved(buckets.where("n_outside > 0").groupBy("n", "sum", "xor").agg(F.min("key").alias("key"), F.max("n_outside").alias("n_outside")).select("key", "n_outside"), "open")
     if not buckets.limit(1).count():
         return found
-    n_out, n_in = F.ceil(F.col("n_outside") / OUTSIDE_BLOCK), F.ceil(F.col("n") / MEMBER_BLOCK)
+    n_out = F.least(F.lit(PARTS), F.ceil(F.col("n_outside") / OUTSIDE_BLOCK))
+    n_in = F.ceil(F.col("n") / F.greatest(F.lit(MEMBER_BLOCK), F.ceil(F.col("n_outside") / n_out)))
     drawn = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30))
     own = placed.where("not is_hub").join(buckets, "key").select("key", "n", "node", "component", "outside", drawn.alias("_d"), n_out.cast("int").alias("_o"), n_in.cast("int").alias("_i"))
     as_outside = own.where("outside").select("key", "n", "node", "component", F.lit(True).alias("outside"), (F.col("_d") % F.col("_o")).cast("int").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("ib"))
@@ -306,11 +313,11 @@ def settled(docs: DataFrame, nodes: DataFrame, members: DataFrame, hubs: DataFra
         links = links.unionByName(better)
         found = components(links)
     # what the best partners left: in blocks that hold several components, rows with likely partners that weren't tried
-    held = likely.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = saved(likely.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
     tried = held.join(best.select("key", "node", "b"), ["key", "node"], "left").withColumn("tried", F.col("likely").isNull() | ((F.col("likely") == 1) & (F.col("best") == F.col("b"))))
     unsettled = tried.groupBy("key", "ob", "ib").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.bool_and("tried").alias("tried"))
     unsettled = unsettled.where("x <> y and not tried").select("key", "ob", "ib")
-    rest = held.join(unsettled, ["key", "ob", "ib"], "left_semi").join(nodes.select("node", "signature"), "node").join(texts, "node")
+    rest = held.join(unsettled, ["key", "ob", "ib"], "left_semi").join(nodes.select("node", "signature", "bands"), "node").join(texts, "node")
     more = saved(rest.groupBy("key", "ob", "ib").applyInArrow(_links_of_block, "a binary, b binary"), "more-links")
     return components(links.unionByName(more)) if more.limit(1).count() else found
 
@@ -358,17 +365,19 @@ def likely_rows(node: list, component: list, outside: list, signature: list) ->
 def _links_of_block(block):
     import pyarrow as pa
 
-    columns = {n: block.column(n).to_pylist() for n in ("node", "component", "outside", "signature", "text")}
-    links = block_links(**columns)
+    columns = {n: block.column(n).to_pylist() for n in ("node", "component", "outside", "signature", "bands", "text")}
+    links = block_links(block.column("key")[0].as_py(), **columns)
     return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
 
-def block_links(node: list, component: list, outside: list, signature: list, text: list) -> list[tuple]:
-    """Verified links that join components: outside rows against the others, the likeliest first."""
+def block_links(key: int, node: list, component: list, outside: list, signature: list, bands: list, text: list) -> list[tuple]:
+    """Verified links that join components: outside rows against the others, but for pairs that share a bucket of a lesser key and so meet there."""
     out, rest = [i for i, o in enumerate(outside) if o], [i for i, o in enumerate(outside) if not o]
     if not out or not rest:
         return []
     points = np.frombuffer(b"".join(signature), np.uint16).reshape(len(node), COMPONENTS)
+    keys = np.array(bands, np.int64)
+    lesser = keys < key
     root = {c: c for c in component}
 
     def find(c):
@@ -377,21 +386,61 @@ def block_links(node: list, component: list, outside: list, signature: list, tex
             c = root[c]
         return c
 
-    words, bags, links = Words(), {}, []
+    words, links = Words(), []
+    bags = {i: shingles(text[i], words) for i in out}
+    for part, members in _parts(rest, text, words):
+        for i, agree in _agreements(points, out, part):
+            near = [k for k in np.flatnonzero(agree >= LIKELY) if find(component[i]) != find(component[part[k]])]
+            if not near:
+                continue
+            own = [part[k] for k in near]
+            here = ~((keys[own] == keys[i]) & lesser[own]).any(1)
+            if not here.any():
+                continue
+            alike = members.similarities(bags[i], np.array(near)[here])
+            for k in np.array(near)[here][alike >= SIMILAR]:
+                j = part[k]
+                if find(component[i]) != find(component[j]):
+                    links.append((node[i], node[j]))
+                    root[find(component[i])] = find(component[j])
+    return links
 
-    def bag(i):
-        if node[i] not in bags:
-            bags[node[i]] = shingles(text[i], words)
-        return bags[node[i]]
 
-    for i, agree in _agreements(points, out, rest):
-        likely = np.flatnonzero(agree >= LIKELY)
-        for k in likely[np.argsort(-agree[likely], kind="stable")]:
-            j = rest[k]
-            if find(component[i]) != find(component[j]) and similarity(bag(i), bag(j)) >= SIMILAR:
-                links.append((node[i], node[j]))
-                root[find(component[i])] = find(component[j])
-    return links
+def _parts(rest: list[int], text: list, words: Words):
+    """rest in parts of SHINGLES_AT_ONCE or one row more, each with its Bags."""
+    part, bags, size = [], [], 0
+    for j in rest:
+        part.append(j)
+        bags.append(shingles(text[j], words))
+        size += len(bags[-1][0])
+        if size >= SHINGLES_AT_ONCE:
+            yield part, Bags(bags)
+            part, bags, size = [], [], 0
+    if part:
+        yield part, Bags(bags)
+
+
+class Bags:
+    """Multisets that others are compared with, many at a time."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]]):
+        self.known, self.place = np.unique(np.concatenate([x for x, _ in bags]), return_inverse=True)
+        self.weight = np.concatenate([n for _, n in bags])
+        self.ends = np.cumsum([0] + [len(x) for x, _ in bags])
+        self.total = np.array([n.sum() for _, n in bags], np.int64)
+
+    def similarities(self, bag: tuple[np.ndarray, np.ndarray], which: np.ndarray) -> np.ndarray:
+        """similarity() of bag and each of which (ascending places)."""
+        x, n = bag
+        at = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
+        same = self.known[at] == x
+        held = np.zeros(len(self.known), np.int64)
+        held[at[same]] = n[same]
+        sizes = self.ends[which + 1] - self.ends[which]
+        starts = np.cumsum(sizes) - sizes
+        rows = np.arange(sizes.sum()) + np.repeat(self.ends[which] - starts, sizes)
+        both = np.add.reduceat(np.minimum(held[self.place[rows]], self.weight[rows]), starts)
+        return both / (int(n.sum()) + self.total[which] - both)
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -153,6 +153,37 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, rows):
     assert got == brute_classes(texts)
 
 
+def test_rows_of_open_buckets_grow_with_their_members(spark, monkeypatch):
+    """However many members are outside a hub's component, each is copied to few blocks, and no link is lost."""
+    tables = {}
+
+    def kept(df, tag):
+        tables[tag] = saved(df, tag)
+        return tables[tag]
+
+    saved = near_copies.saved
+    monkeypatch.setattr(near_copies, "saved", kept)
+    for name in ("OUTSIDE_BLOCK", "MEMBER_BLOCK"):
+        monkeypatch.setattr(near_copies, name, 2)
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join(w if draw.random() > 0.04 else f"z{draw.randint(0, 999)}" for w in base) for i in range(160)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.id: r.keeper.id for r in near_copies.classes(df).collect()} == brute_classes(texts)
+    copies = tables["likely"].groupBy("key").agg(F.count("*").alias("rows"), F.max("n").alias("n")).collect()
+    assert max(r.n for r in copies) > 40
+    assert all(r.rows <= 5 * r.n for r in copies), max(r.rows / r.n for r in copies)
+
+
+def test_many_similarities_at_once():
+    draw, words = random.Random(3), near_copies.Words()
+    bags = [near_copies.shingles(" ".join(draw.choice("ab") for _ in range(draw.randint(1, 60))), words) for _ in range(30)]
+    made = near_copies.Bags(bags[:20])
+    for bag in bags:
+        for which in (range(20), (0, 7, 19), (4,)):
+            assert made.similarities(bag, np.array(which)).tolist() == [near_copies.similarity(bag, bags[k]) for k in which]
+
+
 def test_chains_in_open_buckets(spark):
     """Texts that are similar only to their neighbours in a chain, so hubs reach few of them; and recall on pairs about the limit."""
     draw = random.Random(8)
