@@ -66,8 +66,8 @@ HUB_ROWS = 20_000
 OUTSIDE_BLOCK, MEMBER_BLOCK = 64, 256
 #: Blocks that a bucket's outside members are cut into at most: beyond PARTS * OUTSIDE_BLOCK of them blocks grow, not the copies of rows.
 PARTS = 2
-#: Shingles of members that are compared with an outside row at once: some 60 MB.
-SHINGLES_AT_ONCE = 1 << 21
+#: Shingles of members that are compared with an outside row at once: some 20 MB.
+SHINGLES_AT_ONCE = 1 << 19
 AT_ONCE = 250
 #: Words whose hashes a Python worker remembers: some 40 MB.
 REMEMBERED = 250_000
@@ -301,7 +301,10 @@ def settled(docs: DataFrame, nodes: DataFrame, members: DataFrame, hubs: DataFra
     own = placed.where("not is_hub").join(buckets, "key").select("key", "n", "node", "component", "outside", drawn.alias("_d"), n_out.cast("int").alias("_o"), n_in.cast("int").alias("_i"))
     as_outside = own.where("outside").select("key", "n", "node", "component", F.lit(True).alias("outside"), (F.col("_d") % F.col("_o")).cast("int").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("ib"))
     as_member = own.select("key", "n", "node", "component", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("_o") - 1)).alias("ob"), (F.col("_d") % F.col("_i")).cast("int").alias("ib"))
-    blocks = as_outside.unionByName(as_member).join(nodes.select("node", "signature"), "node")
+    asked = saved(own.select("node").distinct(), "asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    signed = saved(nodes.select("node", "signature", "bands").join(asked, "node", "left_semi"), "signed")  # of open buckets alone, since all are many
+    blocks = as_outside.unionByName(as_member).join(signed.select("node", "signature"), "node")
     schema = "key long, ob int, ib int, n long, node binary, outside boolean, best binary, agree int, likely int"
     likely = saved(blocks.groupBy("key", "ob", "ib").applyInArrow(_likely_of_block, schema), "likely")
     if not likely.limit(1).count():
@@ -317,7 +320,7 @@ def settled(docs: DataFrame, nodes: DataFrame, members: DataFrame, hubs: DataFra
     tried = held.join(best.select("key", "node", "b"), ["key", "node"], "left").withColumn("tried", F.col("likely").isNull() | ((F.col("likely") == 1) & (F.col("best") == F.col("b"))))
     unsettled = tried.groupBy("key", "ob", "ib").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.bool_and("tried").alias("tried"))
     unsettled = unsettled.where("x <> y and not tried").select("key", "ob", "ib")
-    rest = held.join(unsettled, ["key", "ob", "ib"], "left_semi").join(nodes.select("node", "signature", "bands"), "node").join(texts, "node")
+    rest = held.join(unsettled, ["key", "ob", "ib"], "left_semi").join(signed, "node").join(texts, "node")
     more = saved(rest.groupBy("key", "ob", "ib").applyInArrow(_links_of_block, "a binary, b binary"), "more-links")
     return components(links.unionByName(more)) if more.limit(1).count() else found
 
